@@ -40,6 +40,7 @@ _WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ'’-])*")
 _ITEM = re.compile(r"^\s*(?:[-–—•*·▪◦+]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)]|\(?[ivx]{1,4}[.)])\s+\S")
 _CODE = re.compile(r"[{}();=<>\[\]]|=>|!==|\b(?:var|let|const|function|return|if|else|def|import|class)\b|</?\w+")
 _RULE = re.compile(r"^[\W_]+$")
+_APART = ("; ", ", ", " · ", " • ", " / ", " - ", " – ")
 _CELLS = re.compile(r"\t|\s*\|\s*|;(?=\S)|\",\"|,(?=\S)| {2,}")
 
 
@@ -80,7 +81,7 @@ def statistics(text: str | None) -> list[float]:
             rule += k
         elif c >= 2 and c in width and not (stop and own >= 7 and "," in t and "\t" not in t and "|" not in t):
             cell += k
-        elif _ITEM.match(s) or (t.count("; ") >= 4 and own <= 6 * (t.count("; ") + 1) and not re.search(r"[.!?]\s", t)):
+        elif _ITEM.match(s) or any(t.count(x) >= 5 and own <= 5 * (t.count(x) + 1) for x in _APART) and not re.search(r"[.!?]\s", t):
             item += k  # a bullet, or items in a row
         elif own >= 7:
             long += k
