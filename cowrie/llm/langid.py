@@ -6,11 +6,11 @@ fitted through Nystroem landmarks. As the kernel is a product of presence vector
 fold into one matrix (n-gram x language), and a batch of segments is scored by one sparse matrix product.
 
 Training: sentences of a bounded, hash-chosen sample of labelled documents (at most `per_language` documents of
-each language expected, 600 by default), each also without accents. Labels are noisy, so the model is fitted twice, the
+each language expected, 300 by default), each also without accents. Labels are noisy, so the model is fitted twice, the
 second time without sentences that a model fitted on the other half calls otherwise. Everything else covers all
 rows and whole texts.
 
-Scale: one pass, no shuffle; the model is a matrix of fixed size (dims x languages, 4 MB).
+Scale: one pass, no shuffle; the model is a matrix of fixed size (dims x languages, 2 MB).
 
 Defined results: null and blank texts have no segments and no language; a segment without letters is "und" with
 confidence 0; capitalised words and quoted titles inside a sentence are not evidence; a document's language is
@@ -103,8 +103,9 @@ class Grams:
         out = np.zeros((len(self.sizes), matrix.shape[1]), dtype=np.float32)
         some = np.flatnonzero(self.sizes)
         if len(some):
-            for at in range(0, len(some), 4096):
-                rows = some[at : at + 4096]
+            step = max(16, 8_000_000 // (matrix.shape[1] * max(1, int(self.sizes[some].mean()))))  # some 32 MB at a time
+            for at in range(0, len(some), step):
+                rows = some[at : at + step]
                 low, high = self.starts[rows[0]], self.starts[rows[-1]] + self.sizes[rows[-1]]
                 out[rows] = np.add.reduceat(matrix[self.ids[low:high]], self.starts[rows] - low, axis=0)
             out[some] /= np.sqrt(self.sizes[some])[:, None]
@@ -150,17 +151,20 @@ def _ridge(texts: list[str], labels: np.ndarray, k: int, dims: int, landmarks: i
     values, vectors = np.linalg.eigh((kzz + kzz.T) / 2)
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])  # kernel values to Nystroem features
-    x = Grams(texts, dims)
-    phi = x.product(zt).astype(np.float64) @ root
-    y = np.where(labels[:, None] == np.arange(k), 1.0, -1.0 / max(1, k - 1))
     weight = 1.0 / np.bincount(labels, minlength=k).clip(1)[labels]  # each language counts alike
     weight *= len(labels) / k
-    a = (phi * weight[:, None]).T @ phi + ridge * np.eye(phi.shape[1])
-    w = np.linalg.solve(a, (phi * weight[:, None]).T @ y)
-    return (zt.astype(np.float64) @ (root @ w)).astype(np.float32)
+    y = np.where(labels[:, None] == np.arange(k), 1.0, -1.0 / max(1, k - 1))
+    a, b = ridge * np.eye(root.shape[1]), np.zeros((root.shape[1], k))
+    for at in range(0, len(texts), 1000):  # normal equations by blocks, so memory does not grow with the sample
+        phi = Grams(texts[at : at + 1000], dims).product(zt).astype(np.float64) @ root
+        weighed = phi * weight[at : at + 1000, None]
+        a += weighed.T @ phi
+        b += weighed.T @ y[at : at + 1000]
+    w = np.linalg.solve(a, b)
+    return zt @ (root @ w).astype(np.float32)
 
 
-def train(texts: list[str], labels: list[str], languages: tuple[str, ...] = LANGUAGES, dims: int = 1 << 17, landmarks: int = 240, ridge: float = 1.0, seed: int = 42) -> LanguageModel:
+def train(texts: list[str], labels: list[str], languages: tuple[str, ...] = LANGUAGES, dims: int = 1 << 16, landmarks: int = 240, ridge: float = 1.0, seed: int = 42) -> LanguageModel:
     """A model of sentences with (noisy) labels; see the module's docstring."""
     code = {c: i for i, c in enumerate(languages)}
     y = np.array([code[c] for c in labels], dtype=np.int64)
@@ -174,7 +178,7 @@ def train(texts: list[str], labels: list[str], languages: tuple[str, ...] = LANG
     for side in (0, 1):
         own, other = np.flatnonzero(half == side), np.flatnonzero(half != side)
         model = LanguageModel(_ridge([texts[i] for i in other], y[other], k, dims, landmarks, ridge, seed), languages, 1.0)
-        s, _ = model.scores([texts[i] for i in own])
+        s = np.concatenate([model.scores([texts[i] for i in own[at : at + 1000]])[0] for at in range(0, len(own), 1000)] or [np.zeros((0, k), np.float32)])
         said[own] = s.argmax(axis=1)
         two = np.partition(s, -2, axis=1)
         margin[own] = two[:, -1] - two[:, -2]
@@ -188,7 +192,7 @@ def train(texts: list[str], labels: list[str], languages: tuple[str, ...] = LANG
     return LanguageModel(final, languages, float(np.log(0.98 / 0.02) / max(low, 1e-3)))
 
 
-def training_sentences(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", languages: tuple[str, ...] = LANGUAGES, per_language: int = 600) -> tuple[list[str], list[str]]:
+def training_sentences(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", languages: tuple[str, ...] = LANGUAGES, per_language: int = 300) -> tuple[list[str], list[str]]:
     """Sentences of prose and their documents' labels from a sample of at most about per_language documents each."""
     label = F.lower(F.trim(F.col(lang)))
     known = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), label.alias("l")).where(F.col("l").isin(*languages) & F.col("t").rlike(r"[.!?]\s"))
