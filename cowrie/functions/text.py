@@ -121,7 +121,7 @@ def token_legality(composed: Column) -> Column:
     """(tokens, legal) of a text: tokens are stripped of outer punctuation; those left empty do not count."""
     outer = r"^[.,;:!?'\"()]+|[.,;:!?'\"()]+$"
     words = F.filter(F.transform(tokens(composed), lambda t: F.regexp_replace(t, outer, "")), lambda t: t != "")
-    return F.struct(F.size(words).cast("long").alias("tokens"), F.size(F.filter(words, legal_spelling)).cast("long").alias("legal"))
+    return F.struct(F.size(words).cast("long").alias("tokens"), F.size(F.filter(words, lambda t: legal_spelling(t))).cast("long").alias("legal"))
 
 
 def repeated_bigram(text: Column) -> Column:

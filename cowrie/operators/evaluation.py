@@ -70,7 +70,12 @@ def term_matches(df: DataFrame, terms: DataFrame, key: list[str], text: str, ter
     clean = terms.where(F.col(term).isNotNull()).select(F.col(term).alias("term")).distinct().withColumn("run", F.array_join(_term_words(F.col("term")), " ")).where("run <> ''")
     longest = clean.agg(F.max(F.size(F.split("run", " ")))).first()[0] or 1
     words = df.select(*key, F.col(text).alias("_text"), _term_words(F.col(text)).alias("_w"))
-    runs = F.array_distinct(F.flatten(F.array(*[F.when(F.size("_w") >= n, F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i, n=n: F.array_join(F.slice("_w", i, n), " "))).otherwise(F.array().cast("array<string>")) for n in range(1, longest + 1)])))
+
+    def runs_of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size("_w") - n + 1)
+        return F.when(F.size("_w") >= n, F.transform(starts, lambda i: F.array_join(F.slice("_w", i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    runs = F.array_distinct(F.flatten(F.array(*[runs_of(n) for n in range(1, longest + 1)])))
     met = words.select(*key, "_text", F.explode(runs).alias("run")).join(clean, "run")
     quoted = F.concat(F.lit(r"(?i)\b\Q"), F.col("term"), F.lit(r"\E\b"))
     return met.where(F.regexp_like("_text", quoted)).select(*key, "term")
@@ -110,8 +115,8 @@ def best_matches(queries: DataFrame, entries: DataFrame, weights: DataFrame, anc
     highest = weights.agg(F.max("idf")).first()[0] or 1.0
     held = e.select("entry_id", F.explode("ew").alias("word")).join(heavy, "word")
     salts = held.groupBy("word").agg(F.ceil(F.count("*") / crowd).cast("int").alias("salts"))
-    right = held.join(salts, "word").select("word", F.pmod(F.xxhash64("entry_id"), F.col("salts")).alias("salt"), "entry_id")
-    left = q.select("query_id", F.explode("qw").alias("word")).join(salts, "word").select("query_id", "word", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).cast("long").alias("salt"))
+    right = held.join(salts, "word").select("word", F.pmod(F.xxhash64("entry_id"), F.col("salts")).cast("int").alias("salt"), "entry_id")
+    left = q.select("query_id", F.explode("qw").alias("word")).join(salts, "word").select("query_id", "word", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     met = left.join(right, ["word", "salt"]).select("query_id", "entry_id").distinct()
     # weighted overlap from the words of both sides, by joins with the weights
     qw = q.select("query_id", F.explode("qw").alias("word")).join(weights.select("word", "idf"), "word", "left").withColumn("idf", F.coalesce("idf", F.lit(highest)))
@@ -122,8 +127,14 @@ def best_matches(queries: DataFrame, entries: DataFrame, weights: DataFrame, anc
     total = lambda m: F.aggregate(F.map_values(m), F.lit(0.0), lambda s, x: s + x)
     shared = F.aggregate(F.array_intersect(F.map_keys("qm"), F.map_keys("em")), F.lit(0.0), lambda s, w: s + F.element_at("qm", w))
     scored = both.withColumn("common", shared).withColumn("overlap", F.col("common") / (total("qm") + total("em") - F.col("common")))
-    scored = scored.join(q.select("query_id", "q"), "query_id").join(e.select("entry_id", "e", "len"), "entry_id").withColumn("ratio", character_similarity(F.col("q"), F.col("e")))
-    good = scored.where((F.col("overlap") >= overlap) | (F.col("ratio") >= ratio)).withColumn("score", F.round(F.greatest(F.col("overlap") / overlap, F.col("ratio") / ratio), 9))
+    # the costly similarity is at most 1: where a query's best overlap is worth more, it cannot decide
+    scored = scored.withColumn("worth", F.col("overlap") / overlap).join(e.select("entry_id", "e", "len"), "entry_id")
+    best = scored.groupBy("query_id").agg(F.max("worth").alias("most"))
+    scored = scored.join(best, "query_id")
+    clear = scored.where((F.col("most") > 1 / ratio) & (F.col("worth") == F.col("most"))).withColumn("score", F.col("worth"))
+    close = scored.where(F.col("most") <= 1 / ratio).join(q.select("query_id", "q"), "query_id").withColumn("ratio", character_similarity(F.col("q"), F.col("e")))
+    close = close.where((F.col("overlap") >= overlap) | (F.col("ratio") >= ratio)).withColumn("score", F.greatest("worth", F.col("ratio") / ratio))
+    good = clear.select("query_id", "entry_id", "len", "score").unionByName(close.select("query_id", "entry_id", "len", "score")).withColumn("score", F.round("score", 9))
     top = good.groupBy("query_id").agg(F.max_by("entry_id", F.struct("score", "len")).alias("_any"), F.max(F.struct("score", "len")).alias("_best"))
     tied = good.join(top, "query_id").where((F.col("score") == F.col("_best.score")) & (F.col("len") == F.col("_best.len")))
     return tied.groupBy("query_id").agg(F.min("entry_id").alias("entry_id"), F.round(F.max("score"), 6).alias("score"))

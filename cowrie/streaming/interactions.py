@@ -41,3 +41,10 @@ def run_once(df: DataFrame, out: str, checkpoint: str, mode: str = "append") ->
     query = df.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def run_complete(grouped: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Process what is there and keep the whole aggregate of the last batch at out."""
+    query = grouped.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
