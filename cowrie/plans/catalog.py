@@ -279,7 +279,7 @@ def q_retrieval(spark, d):
     """Working questions against released ones of the training split."""
     entries = final(spark, d).where("split = 'train' and output is not null").select(F.col("id").alias("entry_id"), F.col("instruction").alias("question"), F.col("output").alias("answer"), F.coalesce(tidy("topic"), F.lit("unknown")).alias("topic"))
     asked = working(spark, d).where("question_yo_final is not null").select(F.col("id").alias("query_id"), F.col("question_yo_final").alias("question"))
-    return evaluation.best_matches(asked, entries, evaluation.topic_weights(entries, "question", "topic"), anchor=1.5)
+    return evaluation.best_matches(asked, entries, evaluation.topic_weights(entries, "question", "topic"))
 
 
 @query
