@@ -141,6 +141,7 @@ def _balance(items: DataFrame, bins: int) -> DataFrame:
 
 def balanced_bins(weights: DataFrame, bins: int = 200, block: int = 20_000) -> DataFrame:
     """(stratum, item, weight, bin) from (stratum, item, weight): nearly equal bins within each stratum."""
+    block = max(block, 4 * bins)  # so that each level has at most a quarter of the weights of the one below
     level = weights.select("stratum", "item", "weight")
     steps: list[DataFrame] = []
     while True:

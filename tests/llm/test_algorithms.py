@@ -36,8 +36,8 @@ def test_largest_differencing():
 def test_split_keeps_claims_whole(spark):
     rows = [(f"r{i}", f"s-t-{i // 3}", "T1" if i % 2 else "t1 ", "train" if i % 5 else "val") for i in range(900)] + [(f"h{i}", "hot-t-1", None if i % 7 else "t2", "train") for i in range(500)]
     df = spark.createDataFrame([*rows, rows[0], ("n", None, "t1", "train")], "id string, claim_id string, topic string, split string").withColumn("component", F.lit("clash"))
-    for block in (20_000, 50):
-        out = S.split_components(df, "id", {"claim": S.claim_key(F.col("claim_id"))}, F.col("topic"), F.col("split"), bins=40, block=block)
+    for block in (20_000, 100):
+        out = S.split_components(df, "id", {"claim": S.claim_key(F.col("claim_id"))}, F.col("topic"), F.col("split"), bins=20, block=block)
         got = {r["component"]: r for r in out.collect()}
         assert len(got) == 301 and sum(r["records"] for r in got.values()) == 1400 and got["hot-t-001"]["stratum"] == "t2" and got["s-t-001"]["stratum"] == "t1"
         share = Counter()
