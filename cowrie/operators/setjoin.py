@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from cowrie.functions.grams import distinct_grams, gram_set, mixed, plain, text_key
 from cowrie.session import cut, partitions, spread
 
-BUCKETS, CHUNK, BATCH = 1 << 18, 1 << 12, 2500
+BUCKETS, CHUNK, BATCH = 1 << 18, 1 << 12, 1000
 ENTRY = np.dtype([("key", "<u4"), ("size", "<u4"), ("place", "<u4"), ("left", "<u4"), ("cls", "<i8"), ("bits", "<u8", (4,))])
 
 
@@ -72,7 +72,7 @@ def prefixes(texts: list[str], counts: np.ndarray, threshold: float, n: int) ->
     return h[keep], owner[keep], place[keep], size, parity_sketch(h, owner, len(texts))
 
 
-def meetings(entry: np.ndarray, threshold: float, block: int = 1 << 21) -> np.ndarray:
+def meetings(entry: np.ndarray, threshold: float, block: int = 1 << 18) -> np.ndarray:
     """Distinct (right class, left class) of the entries of one task that pass all filters."""
     code = (entry["key"].astype(np.uint64) << np.uint64(16)) | np.minimum(entry["size"], 0xFFFF).astype(np.uint64)
     order = np.argsort(code, kind="stable")
@@ -113,7 +113,7 @@ def meetings(entry: np.ndarray, threshold: float, block: int = 1 << 21) -> np.nd
     return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
 
-def candidates(texts: DataFrame, threshold: float, n: int = 5, per_task: int = 1_000_000, crowd: int = 50_000) -> DataFrame:
+def candidates(texts: DataFrame, threshold: float, n: int = 5, per_task: int = 400_000, crowd: int = 50_000) -> DataFrame:
     """(l, r): distinct pairs of a left and a right class that pass all filters. texts: (cls long, l int, r int, text);
     l and r say on which sides a class is."""
     rows = texts.count()
