@@ -31,15 +31,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cowrie.session import cut, partitions, spread
+from cowrie.functions.grams import text_key
+from cowrie.operators.setjoin import candidates, similarity
+from cowrie.session import cut, spread
 
-from .grams import distinct_grams, gram_set, mixed, text_key
 from .pairs import PLACEHOLDERS, fold
 
-BUCKETS, CHUNK = 1 << 18, 1 << 12
-ENTRY = np.dtype([("key", "<u4"), ("size", "<u4"), ("place", "<u4"), ("train", "<u4"), ("cls", "<i8"), ("bits", "<u8", (4,))])
-
-
 def bare(text: str) -> str:
     """No accents, lower case, letters and digits only, one space between words."""
     flat = unicodedata.normalize("NFD", text.lower())
@@ -78,94 +75,6 @@ def _keys(df: DataFrame) -> DataFrame:
     return spread(df).mapInPandas(run, "id string, split string, source string, h1 long, h2 long")
 
 
-def _counts(texts: DataFrame) -> np.ndarray:
-    """Texts in which each bucket's grams occur, summed: a table of BUCKETS numbers."""
-
-    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros(BUCKETS, dtype=np.int64)
-        for pdf in parts:
-            for at in range(0, len(pdf), 2500):
-                h, _, _ = distinct_grams(list(pdf["text"].iloc[at : at + 2500]))
-                sums += np.bincount((h >> np.uint64(46)).astype(np.int64), minlength=BUCKETS)
-        for k in range(BUCKETS // CHUNK):
-            part = sums[k * CHUNK : (k + 1) * CHUNK]
-            if part.any():
-                yield pd.DataFrame({"chunk": [k], "sums": [part.tobytes()]})
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, dtype=np.int64) for x in pdf["sums"])
-        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1].to_numpy(), "sums": [total.tobytes()]})
-
-    out = np.zeros(BUCKETS, dtype=np.int64)
-    for r in texts.select("text").mapInPandas(count, "chunk int, sums binary").groupBy("chunk").applyInPandas(add, "chunk int, sums binary").collect():  # BUCKETS / CHUNK rows
-        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["sums"], dtype=np.int64)
-    return out
-
-
-def _sketch(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """(n, 4) words: the parity of each text's grams in 256 cells. Sets that differ in d grams differ in at most d
-    cells."""
-    cell = owner * 256 + (mixed(h, 21) >> np.uint64(56)).astype(np.int64)
-    odd = (np.bincount(cell, minlength=n * 256) & 1).astype(bool).reshape(n, 256)
-    return np.packbits(odd, axis=1).view(np.uint64)
-
-
-def prefix_entries(texts: list[str], counts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(gram, text, place, size, sketch of each text) of all prefix grams, the rarest first in each text."""
-    h, owner, size = distinct_grams(texts)
-    order = np.lexsort((h, counts[(h >> np.uint64(46)).astype(np.int64)], owner))
-    h, owner = h[order], owner[order]
-    start = np.cumsum(size) - size
-    place = np.arange(len(h)) - start[owner]
-    length = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
-    keep = place < length[owner]
-    return h[keep], owner[keep], place[keep], size, _sketch(h, owner, len(texts))
-
-
-def _meet(entry: np.ndarray, threshold: float, block: int = 1 << 21) -> np.ndarray:
-    """Distinct (evaluation class, training class) of the entries of one task that pass all filters."""
-    wide = np.minimum(entry["size"], 0xFFFF).astype(np.uint64)
-    code = (entry["key"].astype(np.uint64) << np.uint64(16)) | wide
-    order = np.argsort(code, kind="stable")
-    entry, code = entry[order], code[order]
-    train = entry["train"] == 1
-    sides = {1: (entry[train], code[train]), 0: (entry[~train], code[~train])}
-    share = threshold / (1 + threshold)
-    found = []
-    for small in (0, 1):  # the smaller set of a pair is on this side; of equal sizes, the evaluation's
-        own, _ = sides[small]
-        other, codes = sides[1 - small]
-        size = own["size"].astype(np.int64)
-        first = size - np.ceil(share * 2 * size - 1e-9).astype(np.int64)  # last place that leaves room for the overlap
-        own = own[own["place"] <= first]
-        if not len(own) or not len(other):
-            continue
-        size = own["size"].astype(np.int64)
-        most = np.minimum(np.floor(size / threshold + 1e-9).astype(np.int64), 0xFFFF)
-        base = own["key"].astype(np.uint64) << np.uint64(16)
-        low = np.searchsorted(codes, base | np.minimum(size + small, 0xFFFF).astype(np.uint64), side="left")
-        high = np.searchsorted(codes, base | most.astype(np.uint64), side="right")
-        n = np.maximum(high - low, 0)
-        edge = np.concatenate([[0], np.cumsum(n)])
-        at = 0
-        while at < len(own):
-            stop = max(at + 1, int(np.searchsorted(edge, edge[at] + block, side="right")) - 1)
-            some = n[at:stop]
-            x = np.repeat(np.arange(at, stop), some)
-            y = np.arange(some.sum()) - np.repeat(edge[at:stop] - edge[at], some) + np.repeat(low[at:stop], some)
-            sx, sy = own["size"][x].astype(np.int64), other["size"][y].astype(np.int64)
-            need = np.ceil(share * (sx + sy) - 1e-9).astype(np.int64)
-            room = np.minimum(sx - own["place"][x], sy - other["place"][y])
-            ok = (room >= need) & (np.minimum(sx, sy) >= threshold * np.maximum(sx, sy) - 1e-9)
-            x, y, most_apart = x[ok], y[ok], (sx + sy - 2 * need)[ok]
-            apart = np.bitwise_count(own["bits"][x] ^ other["bits"][y]).sum(axis=1)
-            ok = apart <= most_apart
-            a, b = own["cls"][x[ok]], other["cls"][y[ok]]
-            found.append(np.unique(np.stack([a, b] if small == 0 else [b, a], axis=1), axis=0))
-            at = stop
-    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-
-
 class Overlaps:
     """links: (a, b, similarity): training and evaluation classes, by h1; members: (h1, id, split, source)."""
 
@@ -187,9 +96,8 @@ class Overlaps:
         return self.pairs().groupBy("split", "source").agg(F.countDistinct("eval_id").alias("records"), F.count("*").alias("pairs"))
 
 
-def cross_split_overlaps(df: DataFrame, source: Column, key: str = "id", instruction: str = "instruction", output: str = "output", split: str = "split", train: str = "train", evaluation: tuple[str, ...] = ("val", "test"), threshold: float = 0.8, per_task: int = 1_000_000, crowd: int = 50_000, small: int = 200_000) -> Overlaps:
+def cross_split_overlaps(df: DataFrame, source: Column, key: str = "id", instruction: str = "instruction", output: str = "output", split: str = "split", train: str = "train", evaluation: tuple[str, ...] = ("val", "test"), threshold: float = 0.8, crowd: int = 50_000, small: int = 200_000) -> Overlaps:
     """Overlaps between training and evaluation records of df. small: rows up to which a checked list is broadcast."""
-    spark = df.sparkSession
     flat = df.select(F.col(f"`{key}`").cast("string").alias("id"), F.col(f"`{split}`").alias("split"), source.alias("source"), F.col(f"`{instruction}`").alias("ask"), F.col(f"`{output}`").alias("out"))
     flat = flat.where(F.col("id").isNotNull() & F.col("split").isin(train, *evaluation))
     members = cut(_keys(flat).dropDuplicates(["id"]), "members")
@@ -199,59 +107,13 @@ def cross_split_overlaps(df: DataFrame, source: Column, key: str = "id", instruc
     n = members.count()
     texts = flat.select("id", _text("ask", "out").alias("text")).join(F.broadcast(classes) if n <= small else classes, "id").dropDuplicates(["id"]).select("h1", "t", "e", "text")
     texts = cut(texts, "texts")
-    counts = spark.sparkContext.broadcast(_counts(texts))  # BUCKETS numbers
-    parts = partitions(texts, -(-n * 60 // per_task))
-
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = counts.value
-
-        def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-            gram, own, place, size, bits = prefix_entries(list(pdf["text"]), table, threshold)
-            rows = []
-            salts = np.maximum(1, -(-table[(gram >> np.uint64(46)).astype(np.int64)] // crowd))
-            cls = pdf["h1"].to_numpy()
-            for kind, flag in (("t", 1), ("e", 0)):
-                mine = np.flatnonzero(pdf[kind].to_numpy()[own] == 1)
-                if flag:  # a training row goes to one salt of a crowded gram, an evaluation row to each
-                    which, salt = mine, (mixed(cls[own[mine]].view(np.uint64), 22) % salts[mine].astype(np.uint64)).astype(np.uint64)
-                else:
-                    which = np.repeat(mine, salts[mine])
-                    salt = (np.arange(len(which)) - np.repeat(np.cumsum(salts[mine]) - salts[mine], salts[mine])).astype(np.uint64)
-                e = np.empty(len(which), dtype=ENTRY)
-                g = mixed(gram[which] + salt * np.uint64(0x9E3779B97F4A7C15), 23)
-                e["key"], e["size"], e["place"], e["train"] = (g >> np.uint64(32)).astype(np.uint32), size[own[which]], place[which], flag
-                e["cls"], e["bits"] = cls[own[which]], bits[own[which]]
-                rows.append((e, ((g & np.uint64(0xFFFFFFFF)) % np.uint64(parts)).astype(np.int64)))
-            entry, part = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
-            order = np.argsort(part, kind="stable")
-            entry, part = entry[order], part[order]
-            edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
-            stop = np.concatenate([edge[1:], [len(part)]])
-            return pd.DataFrame({"part": part[edge], "entries": [entry[a:b].tobytes() for a, b in zip(edge, stop, strict=True)]})
-
-        for pdf in batches:
-            for at in range(0, len(pdf), 2500):
-                yield packed(pdf.iloc[at : at + 2500])
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        both = _meet(np.concatenate([np.frombuffer(x, dtype=ENTRY) for x in pdf["entries"]]), threshold)
-        return pd.DataFrame({"b": both[:, 0], "a": both[:, 1]})
-
-    met = texts.mapInPandas(emit, "part long, entries binary").groupBy("part").applyInPandas(search, "b long, a long").distinct()
+    sided = texts.select(F.col("h1").alias("cls"), F.col("t").alias("l"), F.col("e").alias("r"), "text")
+    met = candidates(sided, threshold, crowd=crowd).select(F.col("r").alias("b"), F.col("l").alias("a"))
     met = cut(met, "met")
     involved = met.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
     held = cut(texts.join(F.broadcast(involved) if met.count() <= small else involved, "h1", "left_semi").select("h1", "text"), "held")
-    check = F.pandas_udf(_similarity, T.DoubleType())
     linked = met.join(held.select(F.col("h1").alias("a"), F.col("text").alias("t")), "a").join(held.select(F.col("h1").alias("b"), F.col("text").alias("u")), "b")
-    links = cut(linked.withColumn("similarity", check("t", "u")).where(F.col("similarity") >= threshold - 1e-12).select("a", "b", "similarity"), "links")
+    links = cut(linked.withColumn("similarity", similarity()("t", "u")).where(F.col("similarity") >= threshold - 1e-12).select("a", "b", "similarity"), "links")
     near = links.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
     return Overlaps(links, members.join(near, "h1", "left_semi").select("h1", "id", "split", "source"), train)
 
-
-def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = []
-    for x, y in zip(a, b, strict=True):
-        p, q = gram_set(x), gram_set(y)
-        both = len(p & q)
-        out.append(both / (len(p) + len(q) - both))
-    return pd.Series(out, dtype="float64")

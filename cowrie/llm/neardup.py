@@ -33,9 +33,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cowrie.functions.grams import gram_hashes, gram_set, mixed, plain, text_key
 from cowrie.session import cut, partitions, spread
 
-from .grams import gram_hashes, gram_set, mixed, plain, text_key
 from .gray_index import GrayIndex
 
 ROWS, BANDS, BITS, RADIUS = 4, 20, 128, 32
