@@ -38,12 +38,14 @@ def merged_lines(text: Column) -> Column:
     lines = F.transform(F.split(text, LINE_ENDS), strip)
     plain = F.transform(lines, lambda s: F.struct(s.alias("s"), ((s != "") & ~s.rlike(BOILERPLATE_PATTERN)).alias("p")))
 
-    def joined(x: Column, i: Column) -> Column:
-        before = F.try_element_at(plain, i)  # element i (1-based) is the line before line i (0-based)
-        goes_on = (i > 0) & x["p"] & before["p"] & ~before["s"].rlike(r"[.!?:]$") & x["s"].rlike(r"^[\p{Ll},;)]")
+    # each line beside the one before it: a lambda that looked back into the array would evaluate it anew per line
+    before = F.concat(F.array(F.struct(F.lit("").alias("s"), F.lit(False).alias("p"))), F.slice(plain, F.lit(1), F.greatest(F.size(plain) - 1, F.lit(0))))
+
+    def joined(b: Column, x: Column) -> Column:
+        goes_on = x["p"] & b["p"] & ~b["s"].rlike(r"[.!?:]$") & x["s"].rlike(r"^[\p{Ll},;)]")
         return F.concat(F.when(goes_on, " ").otherwise("\u0001"), x["s"])
 
-    return F.filter(F.split(F.array_join(F.transform(plain, joined), ""), "\u0001"), lambda s: s != "")
+    return F.filter(F.split(F.array_join(F.zip_with(before, plain, joined), ""), "\u0001"), lambda s: s != "")
 
 
 def looks_like_a_sentence(text: Column, words: int = 5) -> Column:
