@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cowrie.functions.metrics import character_similarity
+from cowrie.functions.metrics import character_ratio
 from cowrie.functions.text import content_words, nfc, repeated_bigram, strip_diacritics, token_legality, tokens
+from cowrie.session import cut
 
 HARM = ("None", "Low", "Moderate", "Severe")
 
@@ -103,41 +109,105 @@ def topic_weights(entries: DataFrame, question: str, topic: str) -> DataFrame:
     return words.groupBy("word").agg(F.count("*").alias("topics")).withColumn("idf", F.round(F.log((F.lit(n) + 1.0) / (F.col("topics") + 1)) + 1, 6))
 
 
-def best_matches(queries: DataFrame, entries: DataFrame, weights: DataFrame, anchor: float = 2.0, overlap: float = 0.16, ratio: float = 0.55, crowd: int = 2_000) -> DataFrame:
-    """(query_id, entry_id, score): each query's best entry, by weighted word overlap or character similarity, whichever
-    is larger in units of its threshold; ties: the longer answer, then the smaller id.
-
-    A match must share a word of idf >= anchor, so an equi-join on such words finds every candidate. A crowded anchor
-    word is salted on the entries' side. queries: (query_id, question); entries: (entry_id, question, answer)."""
-    heavy = weights.where(F.col("idf") >= anchor).select("word", "idf")
-    q = queries.select("query_id", F.lower(F.trim(strip_diacritics(F.col("question")))).alias("q")).withColumn("qw", content_words(F.col("q")))
-    e = entries.select("entry_id", F.lower(F.trim(strip_diacritics(F.col("question")))).alias("e"), F.length("answer").alias("len")).withColumn("ew", content_words(F.col("e")))
-    highest = weights.agg(F.max("idf")).first()[0] or 1.0
-    held = e.select("entry_id", F.explode("ew").alias("word")).join(heavy, "word")
-    salts = held.groupBy("word").agg(F.ceil(F.count("*") / crowd).cast("int").alias("salts"))
-    right = held.join(salts, "word").select("word", F.pmod(F.xxhash64("entry_id"), F.col("salts")).cast("int").alias("salt"), "entry_id")
-    left = q.select("query_id", F.explode("qw").alias("word")).join(salts, "word").select("query_id", "word", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    met = left.join(right, ["word", "salt"]).select("query_id", "entry_id").distinct()
-    # weighted overlap from the words of both sides, by joins with the weights
-    qw = q.select("query_id", F.explode("qw").alias("word")).join(weights.select("word", "idf"), "word", "left").withColumn("idf", F.coalesce("idf", F.lit(highest)))
-    ew = e.select("entry_id", F.explode("ew").alias("word")).join(weights.select("word", "idf"), "word", "left").withColumn("idf", F.coalesce("idf", F.lit(highest)))
-    packed_q = qw.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "idf"))).alias("qm"))
-    packed_e = ew.groupBy("entry_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "idf"))).alias("em"))
-    both = met.join(packed_q, "query_id").join(packed_e, "entry_id")
-    total = lambda m: F.aggregate(F.map_values(m), F.lit(0.0), lambda s, x: s + x)
-    shared = F.aggregate(F.array_intersect(F.map_keys("qm"), F.map_keys("em")), F.lit(0.0), lambda s, w: s + F.element_at("qm", w))
-    scored = both.withColumn("common", shared).withColumn("overlap", F.col("common") / (total("qm") + total("em") - F.col("common")))
-    # the costly similarity is at most 1: where a query's best overlap is worth more, it cannot decide
-    scored = scored.withColumn("worth", F.col("overlap") / overlap).join(e.select("entry_id", "e", "len"), "entry_id")
-    best = scored.groupBy("query_id").agg(F.max("worth").alias("most"))
-    scored = scored.join(best, "query_id")
-    clear = scored.where((F.col("most") > 1 / ratio) & (F.col("worth") == F.col("most"))).withColumn("score", F.col("worth"))
-    close = scored.where(F.col("most") <= 1 / ratio).join(q.select("query_id", "q"), "query_id").withColumn("ratio", character_similarity(F.col("q"), F.col("e")))
-    close = close.where((F.col("overlap") >= overlap) | (F.col("ratio") >= ratio)).withColumn("score", F.greatest("worth", F.col("ratio") / ratio))
-    good = clear.select("query_id", "entry_id", "len", "score").unionByName(close.select("query_id", "entry_id", "len", "score")).withColumn("score", F.round("score", 9))
-    top = good.groupBy("query_id").agg(F.max_by("entry_id", F.struct("score", "len")).alias("_any"), F.max(F.struct("score", "len")).alias("_best"))
-    tied = good.join(top, "query_id").where((F.col("score") == F.col("_best.score")) & (F.col("len") == F.col("_best.len")))
-    return tied.groupBy("query_id").agg(F.min("entry_id").alias("entry_id"), F.round(F.max("score"), 6).alias("score"))
+def best_of_block(queries: pd.DataFrame, entries: pd.DataFrame, anchor: float, overlap: float, ratio: float) -> Iterator[tuple]:
+    """(q, entry_id, len, score) of the best entry for each query of a block (q, words, idf); entries: (e, words, idf,
+    entry_id, len). The character ratio is skipped only where a bound shows that it cannot reach the best score so far
+    or its own threshold: twice the common characters, then twice the longest common subsequence, over all characters."""
+    places: dict[str, list[int]] = {}
+    for k, words in enumerate(entries["words"]):
+        for w in words:
+            places.setdefault(w, []).append(k)
+    at = {w: np.array(ks) for w, ks in places.items()}
+    totals = np.array([math.fsum(i) for i in entries["idf"]])
+    texts, ids, lens = entries["e"].to_list(), entries["entry_id"].to_list(), entries["len"].to_list()
+    sizes = np.array([len(t) for t in texts])
+    counts = np.array([_character_counts(t) for t in texts], dtype=np.int16)
+    for q, words, idf in zip(queries["q"], queries["words"], queries["idf"], strict=True):
+        heavy = [at[w] for w, i in zip(words, idf, strict=True) if i >= anchor and w in at]
+        if not heavy:
+            continue
+        met = np.unique(np.concatenate(heavy))
+        common = np.zeros(len(texts))
+        for w, i in zip(words, idf, strict=True):
+            if w in at:
+                common[at[w]] += i
+        shared = common[met] / (math.fsum(idf) + totals[met] - common[met])
+        most = 2.0 * np.minimum(counts[met], np.array(_character_counts(q), dtype=np.int16)).sum(axis=1) / (len(q) + sizes[met])
+        best, found = -1.0, []
+        strong = shared >= overlap
+        if strong.any():
+            best = float(shared[strong].max())
+            found = [(float(x), int(k)) for x, k in zip(shared[strong], met[strong], strict=True) if x > best - 1e-9]
+        masks: dict[str, int] = {}
+        for j, c in enumerate(q):
+            masks[c] = masks.get(c, 0) | 1 << j
+        for j in np.argsort(-most, kind="stable"):
+            if most[j] < best - 1e-9:
+                break
+            k = int(met[j])
+            least = max(best - 1e-9, 0.0 if strong[j] else ratio)
+            if most[j] < least - 1e-9 or 2.0 * _subsequence(masks, len(q), texts[k]) / (len(q) + len(texts[k])) < least - 1e-9:
+                continue
+            alike = character_ratio(q, texts[k])
+            score = max(alike, float(shared[j]))
+            if (strong[j] or alike >= ratio) and score > best - 1e-9:
+                best = max(best, score)
+                found.append((score, k))
+        if found:
+            x, n, e = min((-round(x, 9), -lens[k], ids[k]) for x, k in found)
+            yield q, e, -n, -x
+
+
+def _character_counts(text: str, kinds: int = 64) -> list[int]:
+    """Counts of characters by code modulo kinds; codes that fall together only raise the bound."""
+    out = [0] * kinds
+    for c in text:
+        out[ord(c) % kinds] += 1
+    return [min(n, 32767) for n in out]
+
+
+def _subsequence(masks: dict[str, int], n: int, text: str) -> int:
+    """Length of the longest common subsequence of a text and one of n characters, given as bits of their places."""
+    full = (1 << n) - 1
+    v = full
+    for c in text:
+        if m := masks.get(c):
+            u = v & m
+            v = ((v + u) | (v - u)) & full
+    return n - v.bit_count()
+
+
+def best_matches(queries: DataFrame, entries: DataFrame, weights: DataFrame, anchor: float = 2.0, overlap: float = 0.16, ratio: float = 0.55, block: int = 40_000) -> DataFrame:
+    """(query_id, entry_id, score): each query's best entry by the larger of weighted word overlap and character
+    similarity, if it shares a word of idf >= anchor and one of the two reaches its threshold; ties: the longer answer,
+    then the smaller id. Words that no entry has weigh as words of no topic.
+
+    Equal questions are one query, and equal questions of entries one entry, as their scores are the same. Blocks of
+    queries meet blocks of entries (at most about `block` rows). queries: (query_id, question); entries: (entry_id, question, answer)."""
+    folded = F.regexp_replace(F.lower(strip_diacritics(F.col("question"))), r"(?U)^\s+|\s+$", "")
+    asked = cut(queries.select("query_id", folded.alias("q")), "asked")
+    q = asked.select("q").where("q <> ''").distinct()
+    e = entries.select("entry_id", folded.alias("e"), F.length("answer").cast("long").alias("len")).where("e <> ''")
+    e = e.groupBy("e").agg(F.min(F.struct((-F.col("len")).alias("n"), "entry_id")).alias("b")).select("e", "b.entry_id", (-F.col("b.n")).alias("len"))
+    every = weights.agg(F.max(F.round(F.exp(F.col("idf") - 1) * (F.col("topics") + 1)))).first()[0] or 1.0  # topics of all, and one
+    exact = weights.select("word", (F.log(F.lit(every) / (F.col("topics") + 1)) + 1).alias("idf"))
+
+    def weighed(df: DataFrame, key: str) -> DataFrame:
+        words = df.select(key, F.explode(content_words(F.col(key))).alias("word")).join(exact, "word", "left").withColumn("idf", F.coalesce("idf", F.log(F.lit(every)) + 1))
+        return words.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("word", "idf"))).alias("w")).select(key, F.col("w.word").alias("words"), F.col("w.idf").alias("idf"))
+
+    q, e = cut(weighed(q, "q"), "queries"), cut(weighed(e, "e").join(e, "e"), "entries")
+    n = q.count()
+    parts, blocks = max(math.ceil(n / 8_000), min(24, math.ceil(n / 50)), 1), max(math.ceil(e.count() / block), 1)
+    left = q.withColumn("part", F.pmod(F.xxhash64("q"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = e.withColumn("block", F.pmod(F.xxhash64("e"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(list(best_of_block(a, b, anchor, overlap, ratio)) if len(a) and len(b) else [], columns=["q", "entry_id", "len", "score"])
+
+    near = left.repartition(parts * blocks, "part", "block").groupBy("part", "block").cogroup(right.repartition(parts * blocks, "part", "block").groupBy("part", "block")).applyInPandas(run, "q string, entry_id string, len long, score double")
+    best = near.groupBy("q").agg(F.min(F.struct((-F.col("score")).alias("s"), (-F.col("len")).alias("n"), "entry_id")).alias("b"))
+    return asked.join(best, "q").select("query_id", F.col("b.entry_id").alias("entry_id"), F.round(-F.col("b.s"), 6).alias("score"))
 
 
 # --- fertility

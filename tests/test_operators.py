@@ -187,3 +187,39 @@ def test_retrieval(spark):
     q = spark.createDataFrame([("q1", "Kí ni àmì ibà?"), ("q2", "iresi sise")], "query_id string, question string")
     got = {r["query_id"]: r["entry_id"] for r in E.best_matches(q, entries, E.topic_weights(entries, "question", "topic"), anchor=1.5).collect()}
     assert got == {"q1": "e1"}
+
+
+def test_retrieval_follows_the_plain_rule(spark):
+    import difflib
+    import math
+
+    rng = np.random.default_rng(4)
+    words = [f"w{i}{'abcdefgh'[i % 8] * (i % 4)}" for i in range(200)]
+    ask = lambda k: " ".join(rng.choice(words, k))
+    data = [(f"e{i:03d}", ask(int(rng.integers(3, 9))), "x" * int(rng.integers(1, 5)), f"t{i % 9}") for i in range(150)]
+    data += [(f"f{i}", data[i][1], "longer answer", "t1") for i in range(9)]
+    # the top overlap exceeds 0.29 with e-hi, but e-chars has the higher score by its characters
+    data += [("e-hi", "kokoro iba gbona pupo", "a", "u1"), ("e-chars", "kokoro ibaa gbonaa patapat", "b", "u2")]
+    asked = [(f"q{i:03d}", ask(int(rng.integers(3, 9)))) for i in range(60)] + [("r", data[3][1] + " unseen"), ("c", "kokoro ibaa gbona patapata"), ("s", " "), ("t", None)]
+    entries = spark.createDataFrame(data, "entry_id string, question string, answer string, topic string")
+    topics = {}
+    for _, t, _, k in data:
+        for w in set(t.split()):
+            topics.setdefault(w, set()).add(k)
+    n = len({k for *_, k in data})
+    idf = lambda w: math.log((n + 1) / (len(topics.get(w, ())) + 1)) + 1
+    want = {}
+    for i, t in asked:
+        a, found = set((t or "").split()), []
+        for e, u, answer, _ in data:
+            b = set(u.split())
+            overlap = sum(map(idf, a & b)) / sum(map(idf, a | b))
+            ratio = difflib.SequenceMatcher(None, t or "", u).ratio()
+            if max(map(idf, a & b), default=0.0) >= 1.5 and (overlap >= 0.16 or ratio >= 0.55):
+                found.append((-round(max(overlap, ratio), 9), -len(answer), e))
+        if found:
+            want[i] = (min(found)[2], round(-min(found)[0], 6))
+    for blocks in ({}, {"block": 30}):
+        rows = E.best_matches(spark.createDataFrame(asked, "query_id string, question string"), entries, E.topic_weights(entries, "question", "topic"), anchor=1.5, **blocks).collect()
+        assert {r["query_id"]: (r["entry_id"], r["score"]) for r in rows} == want
+    assert len(want) > 30 and want["c"][0] == "e-chars"
