@@ -8,7 +8,7 @@ import operator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cowrie.functions.text import blank_to_null
+from cowrie.functions.text import blank_to_null, nfc, strip_diacritics, token_legality
 
 
 class MissingInputError(FileNotFoundError):
@@ -111,8 +111,20 @@ def problems(checks: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in checks.items()]))
 
 
+#: A text counts as Yoruba from this share of words in its spelling on.
+CONSISTENT = 0.5
+
+
+def _foreign(text: Column) -> Column:
+    """Whether a text that is not empty has too few words in legal spelling."""
+    t = token_legality(nfc(text))
+    return (text != "") & (F.when(t["tokens"] > 0, t["legal"] / t["tokens"]).otherwise(0.0) < CONSISTENT)
+
+
 def record_problems(kinds: tuple[str, ...], topics: tuple[str, ...]) -> Column:
-    """What is wrong with a released record (id, claim_id, instruction, output, topic, question_type)."""
+    """What is wrong with a released record (id, claim_id, instruction, instruction_nodia, output, topic, question_type,
+    validated_ling, validated_clin)."""
+    texts = ("instruction", "output")
     return problems(
         {
             "id missing": blank_to_null(F.col("id")).isNull(),
@@ -121,10 +133,21 @@ def record_problems(kinds: tuple[str, ...], topics: tuple[str, ...]) -> Column:
             "output missing": blank_to_null(F.col("output")).isNull(),
             "question_type unknown": ~F.col("question_type").isin(*kinds),
             "topic unknown": F.col("topic").isNull() | ~F.col("topic").isin(*topics),
+            **{f"{c} missing": F.col(c).isNull() for c in ("validated_ling", "validated_clin")},
+            "instruction_nodia out of sync": F.col("instruction").isNotNull() & ~F.col("instruction_nodia").eqNullSafe(strip_diacritics(F.col("instruction"))),
+            **{f"{c} not composed": nfc(F.col(c)) != F.col(c) for c in texts},
+            **{f"{c} not Yoruba": _foreign(F.col(c)) for c in texts},
         }
     )
 
 
+def edit_problems() -> Column:
+    """What is wrong with an edited row (id, question_yo_final, answer_yo_final)."""
+    texts = ("question_yo_final", "answer_yo_final")
+    trimmed = lambda c: F.coalesce(blank_to_null(F.col(c)), F.lit(""))
+    return problems({**{f"{c} missing": trimmed(c) == "" for c in ("id", *texts)}, **{f"{c} not Yoruba": _foreign(trimmed(c)) for c in texts}})
+
+
 def verdict_problems(verdict: Column, reason: Column) -> Column:
     clean = F.lower(F.trim(verdict))
     return problems({"verdict unknown": verdict.isNull() | ~clean.isin("pass", "fail"), "reason missing": (clean == "fail") & blank_to_null(reason).isNull()})

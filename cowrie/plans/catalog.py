@@ -196,6 +196,13 @@ def q_record_problems(spark, d):
     return r.groupBy("problem").agg(F.count("*").alias("n"))
 
 
+@query
+def q_edit_problems(spark, d):
+    """Over the rows that an editor has changed."""
+    r = working(spark, d).where("post_edited").select(F.explode(records.edit_problems()).alias("problem"))
+    return r.groupBy("problem").agg(F.count("*").alias("n"))
+
+
 @query
 def q_rating_problems(spark, d):
     r = table(spark, d, "unblinded_rating").select(F.explode(records.rating_problems(F.col("ratings"), S.DIMENSIONS, F.col("harm"), evaluation.HARM)).alias("problem"))

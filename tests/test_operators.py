@@ -62,6 +62,27 @@ def test_gates(spark):
     assert df.select(records.appended_note(F.lit(None).cast("string"), F.lit("n"))).first()[0] == "n"
 
 
+def test_record_and_edit_problems(spark):
+    kind = "id string, claim_id string, instruction string, instruction_nodia string, output string, topic string, question_type string, validated_ling boolean, validated_clin boolean"
+    good = ("r", "c", "Kí ni ibà?", "Ki ni iba?", "Ibà ni.", "t", "derived", True, False)
+    put = lambda **new: tuple(new.get(k, v) for k, v in zip([c.split()[0] for c in kind.split(", ")], good, strict=True))
+    rows = [
+        (good, []),
+        (put(instruction_nodia="Kí ni ibà?"), ["instruction_nodia out of sync"]),
+        (put(instruction_nodia=None), ["instruction_nodia out of sync"]),
+        (put(output="Iba\u0300 ni."), ["output not composed"]),
+        (put(output="vaccines reduce cholera ni"), []),
+        (put(output="vaccines reduce exact ni"), ["output not Yoruba"]),
+        (put(output="..."), ["output not Yoruba"]),
+        (put(validated_ling=None, output=None), ["output missing", "validated_ling missing"]),
+        (put(instruction=None, instruction_nodia=None), ["instruction missing"]),
+    ]
+    df = spark.createDataFrame([r for r, _ in rows], kind).coalesce(1)
+    assert [r[0] for r in df.select(records.record_problems(("derived",), ("t",))).collect()] == [w for _, w in rows]
+    edits = spark.createDataFrame([("a", "Kí ni ibà?", "Ibà ni."), ("b", " ", None), (None, "which causes make cholera exactly", "Ibà")], "id string, question_yo_final string, answer_yo_final string").coalesce(1)
+    assert [r[0] for r in edits.select(records.edit_problems()).collect()] == [[], ["question_yo_final missing", "answer_yo_final missing"], ["id missing", "question_yo_final not Yoruba"]]
+
+
 def test_sampling(spark):
     df = spark.range(300).select(F.format_string("r%03d", "id").alias("id"), F.when(F.col("id") < 10, "small").when(F.col("id") < 200, "big").alias("topic"), (F.col("id") % 40).cast("string").alias("g"))
     s = {r["topic"]: r["count"] for r in sampling.stratified_sample(df, "topic", "id", 0.1).groupBy("topic").count().collect()}
