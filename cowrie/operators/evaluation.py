@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cowrie.functions.metrics import character_ratio
+from cowrie.functions.metrics import character_ratio, sentence_diacritics
 from cowrie.functions.text import content_words, nfc, repeated_bigram, strip_diacritics, token_legality, tokens
 from cowrie.session import cut
 
@@ -28,8 +28,8 @@ def harm_distribution(df: DataFrame, by: str, harm: str, levels: tuple[str, ...]
 
 
 def flagged(df: DataFrame, hyp: str = "hypothesis", ref: str = "reference") -> DataFrame:
-    """df with code_switching, omission and disfluency: few legal words, under half of the reference's length, a pair of
-    words said twice."""
+    """df with code_switching, omission, disfluency and diacritic_error: few legal words, under half of the reference's
+    length, a pair of words said twice, marks that agree on less than 0.7 of the words that align."""
     words = F.size(tokens(F.col(hyp)))
     ref_words = F.size(tokens(F.col(ref)))
     legal = token_legality(nfc(F.coalesce(F.col(hyp), F.lit(""))))
@@ -38,6 +38,7 @@ def flagged(df: DataFrame, hyp: str = "hypothesis", ref: str = "reference") -> D
             "code_switching": (words > 0) & (F.when(legal["tokens"] > 0, legal["legal"] / legal["tokens"]).otherwise(0.0) < 0.85),
             "omission": F.when(ref_words > 0, words / ref_words).otherwise(1.0) < 0.5,
             "disfluency": repeated_bigram(F.col(hyp)),
+            "diacritic_error": sentence_diacritics(F.col(hyp), F.col(ref)) < 0.7,
         }
     )
 

@@ -497,7 +497,7 @@ def q_worst(spark, d):
     return evaluation.lowest(a.select("sample_id", "system_id", "ratio"), "ratio", ["sample_id", "system_id"], 50)
 
 
-FLAGS = ["code_switching", "omission", "disfluency"]
+FLAGS = ["code_switching", "omission", "disfluency", "diacritic_error"]
 
 
 @query

@@ -244,3 +244,13 @@ def test_retrieval_follows_the_plain_rule(spark):
         rows = E.best_matches(spark.createDataFrame(asked, "query_id string, question string"), entries, E.topic_weights(entries, "question", "topic"), anchor=1.5, **blocks).collect()
         assert {r["query_id"]: (r["entry_id"], r["score"]) for r in rows} == want
     assert len(want) > 30 and want["c"][0] == "e-chars"
+
+
+def test_flags_of_wrong_marks(spark):
+    from cowrie.plans.catalog import FLAGS
+
+    rows = [("ibà ni àrùn", "ibà ni àrùn", "t"), ("iba ni arun", "ibà ni àrùn", "t"), ("ibà ni arun wa", "ibà ni àrùn wa", "t"), ("omi", "ibà ni", "u"), (None, "ibà", "u")]
+    df = E.flagged(spark.createDataFrame(rows, "hypothesis string, reference string, topic string").coalesce(1))
+    assert [r[0] for r in df.select("diacritic_error").collect()] == [False, True, False, True, True]
+    assert {(r["topic"], r["n"]) for r in E.error_counts(df, "topic", FLAGS).where("error = 'diacritic_error'").collect()} == {("t", 1), ("u", 2)}
+    assert {(r["topic"], r["diacritic_error"]) for r in E.error_pivot(df, "topic", FLAGS).collect()} == {("t", 1), ("u", 2)}
