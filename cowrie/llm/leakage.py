@@ -92,8 +92,13 @@ class Overlaps:
         return self.links.join(t, "a").join(e, "b").where(f"not {big} or tl or el").select("train_id", "eval_id", "split", "source")
 
     def report(self) -> DataFrame:
-        """(split, source, records, pairs): evaluation records that recur in training, and the pairs listed."""
-        return self.pairs().groupBy("split", "source").agg(F.countDistinct("eval_id").alias("records"), F.count("*").alias("pairs"))
+        """(split, source, records, pairs): evaluation records that recur in training, and all pairs of them, counted by
+        class without being listed."""
+        side = F.col("split") == self.train
+        copies = self.members.where(side).groupBy(F.col("h1").alias("a")).agg(F.count("*").alias("copies"))
+        partners = self.links.join(copies, "a").groupBy(F.col("b").alias("h1")).agg(F.sum("copies").alias("copies"))
+        held = self.members.where(~side).groupBy("h1", "split", "source").agg(F.count("*").alias("n"))
+        return held.join(partners, "h1").groupBy("split", "source").agg(F.sum("n").alias("records"), F.sum(F.col("n") * F.col("copies")).alias("pairs"))
 
 
 def cross_split_overlaps(df: DataFrame, source: Column, key: str = "id", instruction: str = "instruction", output: str = "output", split: str = "split", train: str = "train", evaluation: tuple[str, ...] = ("val", "test"), threshold: float = 0.8, crowd: int = 50_000, small: int = 200_000) -> Overlaps:

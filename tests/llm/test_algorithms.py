@@ -158,6 +158,15 @@ def test_overlaps_against_brute_force(spark):
     assert O.cross_split_overlaps(df.limit(0), F.col("source")).pairs().count() == 0
 
 
+def test_report_counts_all_pairs_of_many_copies(spark):
+    text = "one exact copy of a text that many records share"
+    rows = [(f"t{i:03d}", "train", "s", "", text) for i in range(40)] + [(f"u{i}", "train", "s", "", text + "s") for i in range(3)]
+    rows += [(f"e{i:03d}", ("val", "test")[i % 2], ("x", "y")[i % 3 == 0], "", text) for i in range(30)]
+    got = O.cross_split_overlaps(spark.createDataFrame(rows, "id string, split string, source string, instruction string, output string"), F.col("source"))
+    want = Counter((s, c) for _, s, c, *_ in rows if s != "train")
+    assert {(r["split"], r["source"]): (r["records"], r["pairs"]) for r in got.report().collect()} == {k: (n, n * 43) for k, n in want.items()}
+
+
 def test_splitting_tree():
     counts = np.array([1000, 7, 0, 333])
     tree = M.split_tree(counts, 13, 1)
