@@ -29,9 +29,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ["question_yo_final", "answer_yo_final"]
-    work = table(spark, sf_dir, "working_record").select("id", *columns).dropDuplicates(["id"])
-    return with_consistent_text(work, columns).select("id", *[c + "_canonical" for c in columns])
+    """(id, field, form) of every text of the three fields; a null text has a null form."""
+
+    def forms(name: str, columns: list[str]) -> DataFrame:
+        once = table(spark, sf_dir, name).select("id", *columns).dropDuplicates(["id"])
+        long = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c + "_canonical").alias("form")) for c in columns])
+        return with_consistent_text(once, columns).select("id", F.explode(long).alias("x")).select("id", "x.field", "x.form")
+
+    return forms("working_record", ["question_yo_final", "answer_yo_final"]).unionByName(forms("final_record", ["instruction_nodia"]))
 
 
 def _split(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,3 +120,13 @@ def test_quality(spark):
     assert np.mean([got[i]["kind"] == k for i, (k, _) in enumerate(Q.CHECKED)]) >= 0.9 and got[903]["n_words"] == 40000
     assert Q.text_quality(df.limit(0), m).count() == 0
     assert (m.probabilities(x).sum(axis=1).round(6) == 1).all() and len(y) == len(docs)
+
+
+def test_forms_of_all_three_fields(spark, tmp_path):
+    from cowrie.llm.queries import p1_forms
+
+    spark.createDataFrame([("w", "iba\u0300", None), ("w", "iba\u0300", None)], "id string, question_yo_final string, answer_yo_final string").write.parquet(f"{tmp_path}/working_record.parquet")
+    spark.createDataFrame([("f", "Ki ni\u00a0iba?"), ("g", None)], "id string, instruction_nodia string").write.parquet(f"{tmp_path}/final_record.parquet")
+    want = {("w", "question_yo_final", "ibà"), ("w", "answer_yo_final", None), ("f", "instruction_nodia", "Ki ni iba?"), ("g", "instruction_nodia", None)}
+    rows = p1_forms(spark, str(tmp_path)).collect()
+    assert len(rows) == 4 and set(map(tuple, rows)) == want
