@@ -147,6 +147,13 @@ def p7_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_languages(segments).select(F.col("id").cast("long").alias("doc_id"), "lang", "confidence", "mixed")
 
 
+def p7_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, field, lang, confidence, mixed) of each answer text of the working records."""
+    model = fit_language_model(table(spark, sf_dir, "documents"))
+    once = table(spark, sf_dir, "working_record").dropDuplicates(["id"])
+    return document_languages(language_segments(once, model, ["answer_yo_mt", "answer_yo_final"]))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -185,6 +192,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             p1_found, p1_forms, p2_found, p2_assignment, p2_balance, p3_found, p3_labels, p4_found, p4_labels, p4_raters, p4_ratings, p4_agreement,
-            p5_found, p5_groups, p6_found, p6_report, p7_found, p7_segments, p7_documents, p8_ids, p9_found, p9_report, p9_mixture, p10_found, p10_statistics,
+            p5_found, p5_groups, p6_found, p6_report, p7_found, p7_segments, p7_documents, p7_answers, p8_ids, p9_found, p9_report, p9_mixture, p10_found, p10_statistics,
         )
     }

@@ -130,3 +130,15 @@ def test_forms_of_all_three_fields(spark, tmp_path):
     want = {("w", "question_yo_final", "ibà"), ("w", "answer_yo_final", None), ("f", "instruction_nodia", "Ki ni iba?"), ("g", "instruction_nodia", None)}
     rows = p1_forms(spark, str(tmp_path)).collect()
     assert len(rows) == 4 and set(map(tuple, rows)) == want
+
+
+def test_languages_of_answers(spark, tmp_path, monkeypatch):
+    from cowrie.llm import queries as Q
+
+    monkeypatch.setattr(Q, "fit_language_model", lambda docs: model())
+    yo, en = SENTENCES["yo"], SENTENCES["en"]
+    rows = [("1", yo[0] + " " + yo[1], en[1])] * 3 + [("2", None, yo[0] + " " + yo[1] + " " + yo[2] + " " + en[0])]
+    spark.createDataFrame(rows, "id string, answer_yo_mt string, answer_yo_final string").write.parquet(f"{tmp_path}/working_record.parquet")
+    spark.createDataFrame([(1, "x")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["id"], r["field"]): r["lang"] for r in Q.queries()["p7_answers"](spark, str(tmp_path)).collect()}
+    assert got == {("1", "answer_yo_mt"): "yo", ("1", "answer_yo_final"): "en", ("2", "answer_yo_final"): "yo"}
