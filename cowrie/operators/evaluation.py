@@ -95,10 +95,13 @@ def term_frequency(df: DataFrame, terms: DataFrame, key: str, text: str) -> Data
 
 
 def term_flags(df: DataFrame, terms: DataFrame, key: str, english: str, own: str) -> DataFrame:
-    """(key, term, expected): records whose English side holds a term but whose own side lacks its agreed form."""
+    """(key, term, expected): records whose English side holds a term but whose own side lacks its agreed form, marks
+    and case aside."""
+    folded = lambda c: F.lower(strip_diacritics(c))
     agreed = terms.where(F.trim(F.coalesce("canonical_yo", F.lit(""))) != "").select(F.col("term_en").alias("term"), F.lower(F.trim("canonical_yo")).alias("expected")).distinct()
-    met = term_matches(df, agreed.select(F.col("term").alias("term_en")), [key, own], english).distinct().join(agreed, "term")
-    return met.where(~F.contains(F.lower(F.coalesce(F.col(own), F.lit(""))), F.col("expected"))).select(key, "term", "expected")
+    said = df.select(key, english, folded(F.coalesce(F.col(own), F.lit(""))).alias("_own"))
+    met = term_matches(said, agreed.select(F.col("term").alias("term_en")), [key, "_own"], english).distinct().join(agreed.withColumn("_form", folded(F.col("expected"))), "term")
+    return met.where(~F.contains(F.col("_own"), F.col("_form"))).select(key, "term", "expected")
 
 
 # --- retrieval

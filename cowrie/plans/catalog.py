@@ -273,7 +273,10 @@ def q_term_frequency(spark, d):
 
 @query
 def q_term_flags(spark, d):
-    return evaluation.term_flags(working(spark, d), table(spark, d, "terminology"), "id", "answer_en", "answer_yo_final")
+    """Over the Yoruba question and answer together, edited or else draft; records without any are left out."""
+    said = records.joined_text(*[records.prefilled(F.col(f"{c}_yo_final"), F.col(f"{c}_yo_mt")) for c in ("question", "answer")])
+    w = working(spark, d).withColumn("own", said).where(text.blank_to_null(F.col("own")).isNotNull())
+    return evaluation.term_flags(w, table(spark, d, "terminology"), "id", "answer_en", "own")
 
 
 @query

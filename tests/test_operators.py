@@ -254,3 +254,14 @@ def test_flags_of_wrong_marks(spark):
     assert [r[0] for r in df.select("diacritic_error").collect()] == [False, True, False, True, True]
     assert {(r["topic"], r["n"]) for r in E.error_counts(df, "topic", FLAGS).where("error = 'diacritic_error'").collect()} == {("t", 1), ("u", 2)}
     assert {(r["topic"], r["diacritic_error"]) for r in E.error_pivot(df, "topic", FLAGS).collect()} == {("t", 1), ("u", 2)}
+
+
+def test_term_flags_read_question_draft_and_bare_forms(spark, tmp_path):
+    from cowrie.plans.catalog import queries
+
+    at = "2026-01-01 00:00:00"
+    rows = [("question", "Kí ni ikọ́?", "x", None, "Bẹ́ẹ̀ ni."), ("draft", None, "x", "", "Ikọ́ ni."), ("bare", "x", None, "IKO ni", None), ("lacks", "x", "ikọ́", "y", "ikọ́"), ("none", None, None, None, None), ("blank", "", None, " ", None)]
+    df = spark.createDataFrame([(i, "TB is bad", *r) for i, *r in rows], "id string, answer_en string, question_yo_final string, question_yo_mt string, answer_yo_final string, answer_yo_mt string")
+    df.withColumns({c: F.lit(at).cast("timestamp") for c in ("received_at", "updated_at")}).write.parquet(f"{tmp_path}/working_record.parquet")
+    spark.createDataFrame([("TB", "ikọ́")], "term_en string, canonical_yo string").write.parquet(f"{tmp_path}/terminology.parquet")
+    assert [tuple(r) for r in queries()["q_term_flags"](spark, str(tmp_path)).collect()] == [("lacks", "TB", "ikọ́")]
