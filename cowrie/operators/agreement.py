@@ -34,16 +34,14 @@ def double_annotation_kappa(rows: DataFrame, item: str, slot: str, verdict: str,
 
 
 def fleiss_kappa(ratings: DataFrame, item: list[str], label: str) -> DataFrame:
-    """(items, raters, observed, expected, kappa) over items rated equally often, at least twice; the most frequent
-    number of ratings per item is used, others are left out."""
+    """(items, raters, observed, expected, kappa) for each number of ratings per item from two on; every item that is
+    rated at least twice is in one row."""
     n = ratings.where(F.col(label).isNotNull()).groupBy(*item, label).agg(F.count("*").alias("c"))
-    per = n.groupBy(*item).agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("squares"))
-    usual = per.where("m > 1").groupBy("m").agg(F.count("*").alias("k")).orderBy(F.desc("k"), "m").limit(1).select("m")
-    used = per.join(F.broadcast(usual), "m")
-    shares = n.join(used.select(*item), item).groupBy(label).agg(F.sum("c").alias("c"))
-    chance = shares.agg((F.sum(F.col("c") * F.col("c")) / (F.sum("c") * F.sum("c"))).alias("pe")).withColumn("one", F.lit(1))
-    seen = used.groupBy("m").agg(F.count("*").alias("items"), F.avg((F.col("squares") - F.col("m")) / (F.col("m") * (F.col("m") - 1))).alias("po")).withColumn("one", F.lit(1))
-    out = seen.join(chance, "one")
+    per = n.groupBy(*item).agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("squares")).where("m > 1")
+    shares = n.join(per.select(*item, "m"), item).groupBy("m", label).agg(F.sum("c").alias("c"))
+    chance = shares.groupBy("m").agg((F.sum(F.col("c") * F.col("c")) / (F.sum("c") * F.sum("c"))).alias("pe"))
+    seen = per.groupBy("m").agg(F.count("*").alias("items"), F.avg((F.col("squares") - F.col("m")) / (F.col("m") * (F.col("m") - 1))).alias("po"))
+    out = seen.join(chance, "m")
     return out.select("items", F.col("m").alias("raters"), F.round("po", 6).alias("observed"), F.round("pe", 6).alias("expected"), F.round(F.when(F.col("pe") == 1, 1.0).otherwise((F.col("po") - F.col("pe")) / (1 - F.col("pe"))), 6).alias("kappa"))
 
 

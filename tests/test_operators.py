@@ -265,3 +265,15 @@ def test_term_flags_read_question_draft_and_bare_forms(spark, tmp_path):
     df.withColumns({c: F.lit(at).cast("timestamp") for c in ("received_at", "updated_at")}).write.parquet(f"{tmp_path}/working_record.parquet")
     spark.createDataFrame([("TB", "ikọ́")], "term_en string, canonical_yo string").write.parquet(f"{tmp_path}/terminology.parquet")
     assert [tuple(r) for r in queries()["q_term_flags"](spark, str(tmp_path)).collect()] == [("lacks", "TB", "ikọ́")]
+
+
+def test_fleiss_uses_every_number_of_ratings(spark):
+    votes = {"a": "xxx", "b": "xyy", "c": "yyy", "d": "xy", "e": "xx", "f": "x", "g": "xxyz"}
+    rows = [(i, r, v) for i, vs in votes.items() for r, v in enumerate(vs)] + [("h", 0, None), ("h", 1, None)]
+    got = {r["raters"]: r for r in A.fleiss_kappa(spark.createDataFrame(rows, "item string, rater int, label string"), ["item"], "label").collect()}
+    assert set(got) == {2, 3, 4} and [got[m]["items"] for m in (2, 3, 4)] == [2, 3, 1]
+    for m, row in got.items():
+        items = [vs for vs in votes.values() if len(vs) == m]
+        po = sum((sum(vs.count(c) ** 2 for c in "xyz") - m) / (m * (m - 1)) for vs in items) / len(items)
+        pe = sum(("".join(items).count(c) / (m * len(items))) ** 2 for c in "xyz")
+        assert (row["observed"], row["expected"], row["kappa"]) == (round(po, 6), round(pe, 6), round((po - pe) / (1 - pe), 6))
