@@ -1,19 +1,23 @@
-"""A Hamming-distance index of fingerprints in Gray order.
+"""A hierarchical Hamming index of fingerprints in Gray order.
 
-Fingerprints of 128 bits are sorted by their rank in the Gray code, so neighbours differ in few bits. Runs of
-`FAN` fingerprints make a node, runs of nodes an upper node; a node keeps the bits that all its members share
-(a mask and the masked pattern). Two nodes' members differ at least where both share a bit and it differs: if
-these accumulated differences exceed the radius, the two whole groups are dropped; otherwise their children are
-compared, down to single fingerprints, where the count is the exact distance. Nothing within the radius is lost.
+Fingerprints of 128 bits are sorted by their rank in the Gray code within their group (a masked pattern that all of a
+group's members share exactly). Fingerprints that share their first bits have neighbouring ranks, so every node of
+the index is a run of the sorted order: its members share a longer mask than their parent's, and the pattern behind
+the mask is kept once, however many members it has. Two nodes are compared by the bits that their masks add; the
+differences are added to those of their parents, and a pair of nodes whose accumulated differences exceed what
+similar fingerprints show behind a mask of that length is dropped with all that lies below it. Only pairs that pass
+every upper node are compared as whole fingerprints.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 
-FAN = 8
+#: Bits behind the masks of the levels of nodes; the last level are whole fingerprints.
+MASKS = (8, 16, 32, 64, 128)
 
 
 def gray_rank(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -25,67 +29,100 @@ def gray_rank(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hi, np.where(hi & np.uint64(1), ~lo, lo)
 
 
+def difference_budgets(apart: float, upper: float = 0.02, whole: float = 1e-5) -> tuple[int, ...]:
+    """How many differences a pair may have accumulated at each of MASKS if each bit differs with probability `apart`:
+    more happen with a probability of at most `upper` (at most `whole` at the last level)."""
+    out = []
+    for bits in MASKS:
+        loss, mass, k = whole if bits == MASKS[-1] else upper, 0.0, 0
+        while True:
+            mass += math.comb(bits, k) * apart**k * (1 - apart) ** (bits - k)
+            if 1 - mass <= loss:
+                break
+            k += 1
+        out.append(k)
+    return tuple(out)
+
+
+def _prefix(hi: np.ndarray, lo: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    if bits >= 128:
+        return hi, lo
+    if bits > 64:
+        return hi, lo >> np.uint64(128 - bits)
+    return hi >> np.uint64(64 - bits), np.zeros_like(lo)
+
+
 class GrayIndex:
-    """Several independent indexes in one: fingerprints are only compared within their group."""
+    """Many groups in one index: nodes are only compared within their group. `compared` counts the pairs of nodes
+    compared at each level, the last entry the pairs of whole fingerprints."""
 
     def __init__(self, group: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> None:
         rh, rl = gray_rank(hi, lo)
         self.order = np.lexsort((rl, rh, group))
-        group = group[self.order]
-        starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
-        size = np.diff(np.concatenate([starts, [len(group)]]))
-        # level 0: fingerprints; a level holds (all_hi, all_lo, any_hi, any_lo) of nodes, and where children start
-        h, low = hi[self.order], lo[self.order]
-        self.levels = [(h, low, h, low)]
-        self.children: list[np.ndarray] = [np.zeros(0, np.int64)]
-        while True:
-            count = -(-size // FAN)
-            first = np.repeat(starts, count)
-            step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            at = first + step * FAN
-            a, b, c, d = self.levels[-1]
-            if len(at):
-                self.levels.append((np.bitwise_and.reduceat(a, at), np.bitwise_and.reduceat(b, at), np.bitwise_or.reduceat(c, at), np.bitwise_or.reduceat(d, at)))
+        group, hi, lo = group[self.order], hi[self.order], lo[self.order]
+        n = len(group)
+        new = np.ones(n, dtype=bool)
+        new[1:] = group[1:] != group[:-1]
+        starts, self.codes, done = [np.flatnonzero(new)], [], 0
+        for bits in MASKS:
+            a, b = _prefix(hi, lo, bits)
+            new[1:] |= (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            at = np.flatnonzero(new)
+            starts.append(at)
+            # of each node only the bits that its mask adds to its parent's
+            if done >= 64:
+                own = lo[at] & np.uint64((1 << (128 - done)) - 1)
             else:
-                self.levels.append((a[:0],) * 4)
-            self.children.append(np.concatenate([at, [len(a)]]))
-            starts, size = np.cumsum(count) - count, count
-            if not len(size) or size.max() <= 1:
-                break
+                own = a[at] & np.uint64((1 << (bits - done)) - 1)
+            self.codes.append(own)
+            done = bits
+        starts.append(np.arange(n))
+        # children of node k of a level: nodes first[k] to first[k + 1] of the next
+        self.first = [np.concatenate([np.searchsorted(low, up), [len(low)]]) for up, low in zip(starts, starts[1:])]
+        self.compared = np.zeros(len(MASKS), dtype=np.int64)
 
-    def _differences(self, level: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        all_hi, all_lo, any_hi, any_lo = self.levels[level]
-        if level == 0:
-            return np.bitwise_count(all_hi[x] ^ all_hi[y]).astype(np.int16) + np.bitwise_count(all_lo[x] ^ all_lo[y])
-        hi = (all_hi[x] & ~any_hi[y]) | (all_hi[y] & ~any_hi[x])
-        lo = (all_lo[x] & ~any_lo[y]) | (all_lo[y] & ~any_lo[x])
-        return np.bitwise_count(hi).astype(np.int16) + np.bitwise_count(lo)
-
-    def _expand(self, level: int, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        start = self.children[level]
-        nx, ny = start[x + 1] - start[x], start[y + 1] - start[y]
-        total = nx * ny
-        k = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
-        w = np.repeat(ny, total)
-        cx, cy = np.repeat(start[x], total) + k // w, np.repeat(start[y], total) + k % w
-        if level == 1:
-            keep = cx < cy
-        else:
-            keep = cx <= cy
-        return cx[keep], cy[keep]
-
-    def self_join(self, radius: int, block: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (positions in the input) at most radius apart within a group, each once, in blocks."""
-        top = len(self.levels) - 1
-        roots = np.arange(len(self.levels[top][0]))
-        stack = [(top, roots[i : i + block], roots[i : i + block]) for i in range(0, len(roots), block)]
+    def _products(self, level: int, x: np.ndarray, y: np.ndarray, acc: np.ndarray, block: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(child of x, child of y, differences so far) of all pairs of children, in pieces of about `block`."""
+        first = self.first[level]
+        ax, ay, ny = first[x], first[y], first[y + 1] - first[y]
+        nx = first[x + 1] - ax
+        per = np.maximum(1, block // np.maximum(ny, 1))  # children of x that one piece takes
+        cuts = -(-nx // per)
+        k = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        src = np.repeat(np.arange(len(x)), cuts)
+        low = ax[src] + k * per[src]
+        size = np.minimum(per[src], ax[src] + nx[src] - low)
+        total = size * ny[src]
+        edge = np.concatenate([[0], np.cumsum(total)])
+        at = 0
+        while at < len(src):
+            stop = max(at + 1, int(np.searchsorted(edge, edge[at] + block, side="right")) - 1)
+            t = total[at:stop]
+            s = src[at:stop]
+            j = np.arange(t.sum()) - np.repeat(edge[at:stop] - edge[at], t)
+            w = np.repeat(ny[s], t)
+            cx, cy = np.repeat(low[at:stop], t) + j // w, np.repeat(ay[s], t) + j % w
+            own = np.repeat(acc[s], t)
+            same = np.repeat(x[s] == y[s], t)
+            keep = ~same | (cx <= cy)
+            yield cx[keep], cy[keep], own[keep]
+            at = stop
+
+    def self_join(self, budgets: tuple[int, ...], block: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (positions in the input) within the budgets at every level and within one group, each once."""
+        roots = np.arange(len(self.first[0]) - 1)
+        stack = [(0, roots, roots, np.zeros(len(roots), dtype=np.int64))]
+        last = len(MASKS)
         while stack:
-            level, x, y = stack.pop()
-            cx, cy = self._expand(level, x, y)
-            near = self._differences(level - 1, cx, cy) <= radius
-            cx, cy = cx[near], cy[near]
-            if level == 1:
-                if len(cx):
-                    yield self.order[cx], self.order[cy]
-            else:
-                stack += [(level - 1, cx[i : i + block], cy[i : i + block]) for i in range(0, len(cx), block)]
+            level, x, y, acc = stack.pop()
+            for cx, cy, a in self._products(level, x, y, acc, block):
+                if level == last:  # members of fingerprints that passed
+                    keep = cx < cy
+                    if keep.any():
+                        yield self.order[cx[keep]], self.order[cy[keep]]
+                    continue
+                self.compared[level] += int((cx != cy).sum())
+                a = a + np.bitwise_count(self.codes[level][cx] ^ self.codes[level][cy])
+                near = a <= budgets[level]
+                if near.any():
+                    stack.append((level + 1, cx[near], cy[near], a[near]))

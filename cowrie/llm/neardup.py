@@ -3,19 +3,21 @@
 Two texts are near duplicates if their sets of 5-character substrings (trimmed, lower-cased, white space runs as
 one space) have a Jaccard similarity of at least 0.8.
 
-Method: a Gray-order hierarchical index (gray_index.py) over fingerprints. A text's fingerprint is one-bit minwise
-hashing of its grams (128 bits) behind 80 bytes of minwise values. The top of the index are masked patterns: 20
-masks of 4 minwise bytes each; fingerprints that share a masked pattern form a group, wherever they are stored,
-and within each group the Gray-order tree finds all pairs within the Hamming radius. Survivors are verified
-exactly on their grams, so nothing false is returned.
+Method: a Gray-order hierarchical index (gray_index.py). A fingerprint is 80 minwise bytes and 128 one-bit minwise
+hashes of the grams. Each of 20 permutations puts four of the bytes first and turns the bits, so that other bits come
+next; the permuted fingerprints are ordered by Gray rank over the whole collection, in ranges. Fingerprints with the
+same leading bytes are neighbours there, wherever they are stored: they are a top node, and below it the nodes share
+8, 16, 32, 64 and 128 bits. Pairs of nodes are dropped as soon as their accumulated differences exceed what texts of
+the threshold's similarity show behind such a mask. What is left is verified exactly, so nothing false is returned.
 
-Recall: at similarity s a pair shares no pattern with probability (1 - s^4)^20: 2.6e-5 at 0.8, 4e-7 at 0.85,
-less above; with one-bit minwise hashes a pair at 0.8 lies beyond the radius of 32 with probability 1e-7. The tests
-measure it against brute force.
+Recall: a pair of similarity s shares a permutation's top node with probability s^4, and passes its upper nodes with
+one of 0.96 at 0.8 and more above; 20 permutations lose about 4e-5 of the pairs at exactly 0.8, 1e-6 at 0.85. The
+tests measure it against brute force.
 
 Scale: exact copies are folded to one class by a 128-bit key before anything is compared. Fingerprints travel in
-packed blocks of 28 bytes per pattern. Patterns that hold many rows are cut into blocks, and pairs of blocks go
-to different tasks; no row is dropped. Only involved texts are fetched for the check.
+packed blocks of 28 bytes per permutation; the number of ranges grows with the rows. A pattern that very many rows
+share is cut into blocks before it is shuffled (if a thousandth of all rows share it) or by the task that meets it,
+and pairs of blocks go to different tasks; no row is dropped. Only involved texts are fetched for the check.
 
 Defined results: null and blank texts are no case; texts shorter than five characters are their own only gram;
 rows repeated for one id count once; null ids are left out; further columns are ignored. Classes of up to
@@ -36,9 +38,9 @@ from pyspark.sql import types as T
 from cowrie.functions.grams import gram_hashes, gram_set, mixed, plain, text_key
 from cowrie.session import cut, partitions, spread
 
-from .gray_index import GrayIndex
+from .gray_index import GrayIndex, difference_budgets, gray_rank
 
-ROWS, BANDS, BITS, RADIUS = 4, 20, 128, 32
+ROWS, BANDS, BITS = 4, 20, 128
 BINS = ROWS * BANDS
 
 
@@ -111,100 +113,144 @@ def _arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return mixed(_patterns(sig) + pdf["field"].to_numpy().astype(np.uint64)[:, None], 9), sig
 
 
-def _crowded(sigs: DataFrame, total: int, rows: int) -> dict[int, int]:
-    """Patterns that hold more than `rows` rows and a thousandth of all, with their counts. A pattern of that share
+ENTRY = np.dtype([("key", "<u4"), ("cls", "<i8"), ("bits", "<u8", (2,))])
+#: By how many bytes each permutation turns the bits.
+_TURNS = np.arange(BANDS) * 7 % (BITS // 8)
+
+
+def _entries(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit pattern keys, entries without key) of all permutations of all rows, BANDS per row."""
+    key, sig = _arrays(pdf)
+    row, turn = np.repeat(np.arange(len(pdf)), BANDS), np.tile(_TURNS, len(pdf))
+    at = BINS + (np.arange(BITS // 8)[None, :] + turn[:, None]) % (BITS // 8)
+    entry = np.empty(len(row), dtype=ENTRY)
+    entry["cls"] = pdf["h1"].to_numpy()[row]
+    entry["bits"] = sig[row[:, None], at].view(">u8")
+    return key.ravel(), entry
+
+
+def _blocked(key: np.ndarray, entry: np.ndarray, blocks: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A crowded pattern's entries, each for every pair of blocks that its own block is in."""
+    own = (mixed(entry["cls"].view(np.uint64), 11) % np.uint64(blocks)).astype(np.int64)
+    for other in range(blocks):
+        low, high = np.minimum(own, other), np.maximum(own, other)
+        yield mixed(key + (low * blocks + high).astype(np.uint64), 12), entry
+
+
+def _packed(key: np.ndarray, entry: np.ndarray, parts: int) -> pd.DataFrame:
+    """(part, entries): entries by range of their key's Gray rank, in the order of the ranks."""
+    rank = gray_rank(np.zeros_like(key), key)[1]
+    part = ((rank >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    entry = entry.copy()
+    entry["key"] = (rank & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    order = np.argsort(part, kind="stable")
+    entry, part = entry[order], part[order]
+    edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+    stop = np.concatenate([edge[1:], [len(part)]]).astype(np.int64)
+    return pd.DataFrame({"part": part[edge], "entries": [entry[a:b].tobytes() for a, b in zip(edge, stop, strict=True)]})
+
+
+def near_entries(entry: np.ndarray, budgets: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """((pairs, 2) distinct pairs of classes that the index finds near, comparisons at each level)."""
+    order = np.argsort(entry["key"], kind="stable")
+    k = entry["key"][order]
+    same = np.zeros(len(order), dtype=bool)
+    same[1:] = k[1:] == k[:-1]
+    same[:-1] |= same[1:]
+    entry = entry[order[same]]  # a pattern that one row has pairs nothing
+    cls, bits = entry["cls"], entry["bits"]
+    index = GrayIndex(entry["key"], np.ascontiguousarray(bits[:, 0]), np.ascontiguousarray(bits[:, 1]))
+    found = [np.unique(np.stack([np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])], axis=1), axis=0) for x, y in index.self_join(budgets)]
+    both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    return both[both[:, 0] != both[:, 1]], index.compared
+
+
+def _crowded(sigs: DataFrame, total: int, crowd: int, share: float = 1e-3) -> dict[int, int]:
+    """Patterns that hold more than `crowd` rows and a thousandth of all, with their counts. A pattern of that share
     has it in some batch, so each batch reports those alone: at most 1000 x BANDS patterns can qualify."""
-    share = 1e-3
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             if len(pdf):
                 k, n = np.unique(_arrays(pdf)[0], return_counts=True)
-                some = n >= max(1, share * len(pdf))
+                some = n >= max(2, share * len(pdf))
                 yield pd.DataFrame({"k": k[some].view(np.int64), "n": n[some]})
 
-    if total * share <= rows and total <= 20 * rows:
-        return {}
-    found = sigs.select("field", "sig").mapInPandas(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") > max(rows, share * total))
+    found = sigs.select("field", "sig").mapInPandas(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") > max(crowd, share * total))
     return {r["k"]: r["n"] for r in found.collect()}
 
 
-def candidate_pairs(sigs: DataFrame, per_task: int = 1_000_000, crowd: int = 20_000) -> DataFrame:
-    """(field, a, b): distinct pairs of text classes (h1) that the index finds near. sigs as of text_signatures."""
+def candidate_pairs(sigs: DataFrame, threshold: float = 0.8, per_task: int = 500_000, crowd: int = 20_000) -> DataFrame:
+    """(a, b): distinct pairs of text classes (h1) that the index finds near. sigs as of text_signatures.
+
+    crowd: rows of one pattern that a task compares at once; more are compared block by block in other tasks."""
     spark = sigs.sparkSession
     total = sigs.count()
     parts = partitions(sigs, -(-total * BANDS // per_task))
     crowded = spark.sparkContext.broadcast(_crowded(sigs, total, crowd))
+    budgets = difference_budgets((1 - threshold) / 2)
     classes = sigs.groupBy("field", "h1", "h2").agg(F.min_by("sig", "id").alias("sig")).select("field", "h1", "sig")
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def packed(held: list[pd.DataFrame]) -> pd.DataFrame:
-            pdf = pd.concat(held)
-            key, sig = _arrays(pdf)
-            cls = pdf["h1"].to_numpy()
-            row = np.repeat(np.arange(len(pdf)), BANDS)
-            key = key.ravel()
+        def packed(held: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            key, entry = _entries(pd.concat(held))
             many = crowded.value
             if many:
-                names = np.array(sorted(many), dtype=np.int64).view(np.uint64)
-                names.sort()
-                hot = np.isin(key, names)
-                keys, rows = [key[~hot]], [row[~hot]]
+                hot = np.isin(key, np.array(list(many), dtype=np.int64).view(np.uint64))
                 for k in np.unique(key[hot]):
-                    mine = row[hot & (key == k)]
-                    blocks = -(-many[int(k.view(np.int64))] // (crowd // 2))
-                    own = (mixed(cls[mine].view(np.uint64), 11) % np.uint64(blocks)).astype(np.int64)
-                    for other in range(blocks):  # the row meets every block, its own included
-                        low, high = np.minimum(own, other), np.maximum(own, other)
-                        keys.append(mixed(k + (low * blocks + high).astype(np.uint64), 12))
-                        rows.append(mine)
-                key, row = np.concatenate(keys), np.concatenate(rows)
-            part = (key % np.uint64(parts)).astype(np.int64)
-            entry = np.empty(len(key), dtype=ENTRY)
-            entry["key"] = (key >> np.uint64(32)).astype(np.uint32)
-            entry["cls"] = cls[row]
-            entry["bits"] = sig[row, BINS:].copy().view(np.uint64).reshape(-1, 2)
-            order = np.argsort(part, kind="stable")
-            entry, part = entry[order], part[order]
-            edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            stop = np.concatenate([edge[1:], [len(part)]])
-            return pd.DataFrame({"part": part[edge], "entries": [entry[a:b].tobytes() for a, b in zip(edge, stop, strict=True)]})
+                    mine = key == k
+                    for names, rows in _blocked(key[mine], entry[mine], -(-2 * many[int(k.view(np.int64))] // crowd)):
+                        yield _packed(names, rows, parts)
+                key, entry = key[~hot], entry[~hot]
+            yield _packed(key, entry, parts)
 
         held, n = [], 0
         for pdf in batches:
             if len(pdf):
                 held.append(pdf)
                 n += len(pdf)
-            if n >= max(10_000, 4 * parts) or n >= 100_000:
-                yield packed(held)
+            if n >= 50_000:
+                yield from packed(held)
                 held, n = [], 0
         if held:
-            yield packed(held)
+            yield from packed(held)
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+    def searched_in(pdf: pd.DataFrame, late: bool) -> pd.DataFrame:
         entry = np.concatenate([np.frombuffer(x, dtype=ENTRY) for x in pdf["entries"]])
-        key, cls = entry["key"], entry["cls"]
-        order = np.argsort(key, kind="stable")
-        same = np.zeros(len(order), dtype=bool)
-        k = key[order]
-        same[1:] = k[1:] == k[:-1]
-        same[:-1] |= same[1:]
-        entry = entry[order[same]]  # a pattern that one row has pairs nothing
-        if not len(entry):
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        cls, bits = entry["cls"], entry["bits"]
-        index = GrayIndex(entry["key"], np.ascontiguousarray(bits[:, 0]), np.ascontiguousarray(bits[:, 1]))
-        found = [np.unique(np.stack([np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])], axis=1), axis=0) for x, y in index.self_join(RADIUS)]
-        both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        both = both[both[:, 0] != both[:, 1]]
-        return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+        left = []
+        if not late:  # patterns too large for this task are passed on
+            k, at, n = np.unique(entry["key"], return_inverse=True, return_counts=True)
+            for j in np.flatnonzero(n > 2 * crowd):
+                rows = entry[at == j]
+                left += [(int(n[j]), int(pdf["part"].iloc[0]), rows[i : i + crowd].tobytes()) for i in range(0, len(rows), crowd)]
+            entry = entry[(n <= 2 * crowd)[at]]
+        both, _ = near_entries(entry, budgets)
+        out = pd.DataFrame({"a": both[:, 0], "b": both[:, 1], "n": 0, "part": 0, "entries": None})
+        more = pd.DataFrame(left, columns=["n", "part", "entries"]).assign(a=0, b=0)
+        return pd.concat([out, more[out.columns]]) if left else out
 
-    # field is part of the pattern's key; which field a pair belongs to is told by its classes
-    blocks = classes.mapInPandas(emit, "part long, entries binary")
-    return blocks.groupBy("part").applyInPandas(search, "a long, b long").distinct()
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        return searched_in(pdf, False)
 
+    def search_late(pdf: pd.DataFrame) -> pd.DataFrame:
+        return searched_in(pdf, True)
 
-ENTRY = np.dtype([("key", "<u4"), ("cls", "<i8"), ("bits", "<u8", (2,))])
+    def emit_late(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for n, part, packed in zip(pdf["n"], pdf["part"], pdf["entries"], strict=True):
+                entry = np.frombuffer(packed, dtype=ENTRY)
+                key = mixed(entry["key"].astype(np.uint64) + (np.uint64(part) << np.uint64(32)), 13)
+                for names, rows in _blocked(key, entry, -(-2 * n // crowd)):
+                    yield _packed(names, rows, late_parts)
+
+    schema = "a long, b long, n long, part long, entries binary"
+    # field is part of the pattern's key; which field a pair belongs to is told by its classes
+    blocks = classes.mapInPandas(emit, "part long, entries binary")
+    searched = cut(blocks.groupBy("part").applyInPandas(search, schema), "searched")
+    rest = searched.where("entries is not null")
+    late_parts = partitions(sigs, -(-int(rest.select(F.coalesce(F.sum(F.ceil(F.length("entries") / ENTRY.itemsize) * F.ceil(2 * F.col("n") / crowd)), F.lit(0))).first()[0]) // per_task))
+    again = rest.select("n", "part", "entries").mapInPandas(emit_late, "part long, entries binary").groupBy("part").applyInPandas(search_late, schema)
+    return searched.where("entries is null").unionByName(again).select("a", "b").distinct()
 
 
 @F.pandas_udf(T.DoubleType())
@@ -239,24 +285,21 @@ class NearDuplicates:
         return both.select("field", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
-def near_duplicates(df: DataFrame, columns: list[str], key: str = "id", threshold: float = 0.8, small: int = 200_000) -> NearDuplicates:
-    """Near duplicates within each column of df. small: keys up to which a checked list is broadcast."""
+def near_duplicates(df: DataFrame, columns: list[str], key: str = "id", threshold: float = 0.8) -> NearDuplicates:
+    """Near duplicates within each column of df."""
     sigs = cut(text_signatures(df, columns, key), "signatures")
-    found = cut(candidate_pairs(sigs), "near")
+    found = cut(candidate_pairs(sigs, threshold), "near")
     ids = sigs.select("field", "id", "h1", "h2")
     wanted = found.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
-    copied = ids.groupBy("field", "h1", "h2").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("id").alias("class"))
-    involved = copied.join(wanted.withColumn("linked", F.lit(True)), "h1", "left").where("linked or low <> high").select("field", "h1", "h2", "class", F.coalesce("linked", F.lit(False)).alias("linked"))
+    copied = ids.groupBy("field", "h1", "h2").agg(F.min("id").alias("class"), F.max("id").alias("high"))
+    involved = copied.join(wanted.withColumn("linked", F.lit(True)), "h1", "left").where("linked or class <> high").select("field", "h1", "h2", "class", F.coalesce("linked", F.lit(False)).alias("linked"))
     involved = cut(involved, "classes")
-    rows = involved.count()
-    side = F.broadcast(involved) if rows <= small else involved
-    members = cut(ids.join(side.drop("linked"), ["field", "h1", "h2"]).select("field", "class", "id").distinct(), "members")
+    members = cut(ids.join(involved.drop("linked"), ["field", "h1", "h2"]).select("field", "class", "id").distinct(), "members")
     # texts of linked classes, fetched by their smallest id
     reps = involved.where("linked").select("field", "h1", F.col("class").alias("id"))
     texts = F.array(*[F.struct(F.lit(i).alias("field"), F.col(f"`{c}`").cast("string").alias("text")) for i, c in enumerate(columns)])
     source = df.select(F.col(f"`{key}`").cast("string").alias("id"), *[F.col(f"`{c}`") for c in columns])
-    rep_ids = reps.select("id").distinct()
-    source = source.join(F.broadcast(rep_ids) if rows <= small else rep_ids, "id", "left_semi").select("id", F.explode(texts).alias("t")).select("id", "t.field", "t.text").where("text is not null")
+    source = source.join(reps.select("id").distinct(), "id", "left_semi").select("id", F.explode(texts).alias("t")).select("id", "t.field", "t.text").where("text is not null")
     held = cut(reps.join(source, ["field", "id"]).dropDuplicates(["field", "id"]), "texts")
     one = held.select(F.col("h1").alias("a"), "field", F.col("id").alias("x"), F.col("text").alias("t"))
     two = held.select(F.col("h1").alias("b"), "field", F.col("id").alias("y"), F.col("text").alias("u"))
