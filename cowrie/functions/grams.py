@@ -58,17 +58,42 @@ def gram_hashes(texts: list[str], n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return h, owner
 
 
+#: Texts whose grams are sorted together: their number takes ten bits of a key, a gram's hash the other 54.
+TOGETHER = 1 << 10
+
+
 def distinct_grams(texts: list[str], n: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, owner, sizes): each text's distinct grams, sorted by text and hash, and their numbers."""
-    h, owner = gram_hashes(texts, n)
-    order = np.lexsort((h, owner))
-    h, owner = h[order], owner[order]
-    if len(h):
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])
-        h, owner = h[new], owner[new]
+    """(hashes of 54 bits in the upper part of a word, owner, sizes): each text's distinct grams, sorted by text and
+    hash, and their numbers."""
+    found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    for at in range(0, len(texts), TOGETHER):
+        h, owner = gram_hashes(texts[at : at + TOGETHER], n)
+        key = (owner.astype(np.uint64) << np.uint64(54)) | (h >> np.uint64(10))
+        key.sort()
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+        found.append((key << np.uint64(10), (key >> np.uint64(54)).astype(np.int64) + at))
+    h, owner = (np.concatenate(x) for x in zip(*found, strict=True))
     return h, owner, np.bincount(owner, minlength=len(texts))
 
 
+def similarities(left: list[str], right: list[str], n: int = 5) -> np.ndarray:
+    """The Jaccard similarity of the gram sets of each pair of plain texts; 1 if both are empty."""
+    out = np.ones(len(left))
+    for at in range(0, len(left), TOGETHER):
+        x, y = left[at : at + TOGETHER], right[at : at + TOGETHER]
+        keys, sizes = [], []
+        for side in (x, y):
+            h, owner, size = distinct_grams(side, n)
+            keys.append((owner.astype(np.uint64) << np.uint64(54)) | (h >> np.uint64(10)))
+            sizes.append(size)
+        key = np.concatenate(keys)
+        key.sort()
+        both = np.bincount((key[1:][key[1:] == key[:-1]] >> np.uint64(54)).astype(np.int64), minlength=len(x))
+        union = sizes[0] + sizes[1] - both
+        np.divide(both, union, out=out[at : at + TOGETHER], where=union > 0)
+    return out
+
+
 def text_key(text: str) -> tuple[int, int]:
     """128 bits that stand for a text, as two signed 64-bit numbers."""
     d = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()

@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cowrie.functions.grams import distinct_grams, gram_set, mixed, plain, text_key
+from cowrie.functions.grams import TOGETHER, distinct_grams, gram_hashes, mixed, plain, similarities, text_key
 from cowrie.session import cut, partitions, spread
 
-BUCKETS, CHUNK, BATCH = 1 << 18, 1 << 12, 1000
+BUCKETS, CHUNK, BATCH = 1 << 18, 1 << 12, TOGETHER
 ENTRY = np.dtype([("key", "<u4"), ("size", "<u4"), ("place", "<u4"), ("left", "<u4"), ("cls", "<i8"), ("bits", "<u8", (4,))])
 
 
@@ -62,76 +62,112 @@ def parity_sketch(h: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
     return np.packbits(odd, axis=1).view(np.uint64)
 
 
-def prefixes(texts: list[str], counts: np.ndarray, threshold: float, n: int) -> tuple[np.ndarray, ...]:
-    """(gram, text, place) of all prefix grams, the rarest first in each text; sizes and sketches of the texts."""
-    h, owner, size = distinct_grams(texts, n)
-    order = np.lexsort((h, counts[_bucket(h)], owner))
-    h, owner = h[order], owner[order]
-    place = np.arange(len(h)) - (np.cumsum(size) - size)[owner]
-    keep = place < (size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1)[owner]
-    return h[keep], owner[keep], place[keep], size, parity_sketch(h, owner, len(texts))
-
-
-def meetings(entry: np.ndarray, threshold: float, block: int = 1 << 18) -> np.ndarray:
-    """Distinct (right class, left class) of the entries of one task that pass all filters."""
+def rarity(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each bucket from rare to frequent, bucket at each place)."""
+    order = np.argsort(counts, kind="stable")
+    rank = np.empty(BUCKETS, dtype=np.uint64)
+    rank[order] = np.arange(BUCKETS, dtype=np.uint64)
+    return rank, order.astype(np.uint64)
+
+
+def prefixes(texts: list[str], rank: tuple[np.ndarray, np.ndarray], threshold: float, n: int) -> tuple[np.ndarray, ...]:
+    """(gram, text, place) of all prefix grams, the rarest first in each text; sizes and sketches of the texts. At most
+    TOGETHER texts: one sort of (text, rarity of the bucket, rest of the hash) both finds the distinct grams and puts
+    them in order."""
+    h, owner = gram_hashes(texts, n)
+    place, bucket = rank
+    rest = np.uint64((1 << 36) - 1)
+    key = (owner.astype(np.uint64) << np.uint64(54)) | (place[_bucket(h)] << np.uint64(36)) | ((h >> np.uint64(10)) & rest)
+    key.sort()
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+    owner = (key >> np.uint64(54)).astype(np.int64)
+    h = (bucket[((key >> np.uint64(36)) & np.uint64(BUCKETS - 1)).astype(np.int64)] << np.uint64(46)) | ((key & rest) << np.uint64(10))
+    size = np.bincount(owner, minlength=len(texts))
+    at = np.arange(len(h)) - (np.cumsum(size) - size)[owner]
+    keep = at < (size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1)[owner]
+    return h[keep], owner[keep], at[keep], size, parity_sketch(h, owner, len(texts))
+
+
+def _differences(ours: np.ndarray, theirs: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many cells the sketches of rows x and y differ."""
+    cells = np.bitwise_count(ours[x] ^ theirs[y])
+    total = cells[:, 0].astype(np.int16)
+    for k in range(1, cells.shape[1]):
+        total += cells[:, k]
+    return total
+
+
+def meetings(entry: np.ndarray, threshold: float, itself: bool = False, block: int = 1 << 17) -> np.ndarray:
+    """Distinct (right class, left class) of the entries of one task that pass all filters. itself: all entries are
+    of one side and meet each other; pairs of one class are left out, the smaller class comes first."""
     code = (entry["key"].astype(np.uint64) << np.uint64(16)) | np.minimum(entry["size"], 0xFFFF).astype(np.uint64)
-    order = np.argsort(code, kind="stable")
+    order = np.argsort(code)
     entry, code = entry[order], code[order]
     left = entry["left"] == 1
-    sides = {1: (entry[left], code[left]), 0: (entry[~left], code[~left])}
+    sides = {0: (entry, code), 1: (entry, code)} if itself else {1: (entry[left], code[left]), 0: (entry[~left], code[~left])}
     share = threshold / (1 + threshold)
     found = []
-    for small in (0, 1):  # the smaller set of a pair is on this side; of equal sizes, the right one
+    for small in (0,) if itself else (0, 1):  # the smaller set of a pair is on this side; of equal sizes, the right one
         own = sides[small][0]
         other, codes = sides[1 - small]
-        size = own["size"].astype(np.int64)
-        own = own[own["place"] <= size - np.ceil(share * 2 * size - 1e-9).astype(np.int64)]
+        # the shared gram's place leaves the smaller set room for the overlap with sets of up to `most` grams
+        size, place = own["size"].astype(np.int64), own["place"].astype(np.int64)
+        most = np.minimum(np.floor(size / threshold + 1e-9), np.floor((size - place) / share + 1e-9) - size).astype(np.int64)
+        some = most >= size + small
+        own, size, most = own[some], size[some], most[some]
         if not len(own) or not len(other):
             continue
-        size = own["size"].astype(np.int64)
-        most = np.minimum(np.floor(size / threshold + 1e-9).astype(np.int64), 0xFFFF)
         base = own["key"].astype(np.uint64) << np.uint64(16)
         low = np.searchsorted(codes, base | np.minimum(size + small, 0xFFFF).astype(np.uint64), side="left")
-        high = np.searchsorted(codes, base | most.astype(np.uint64), side="right")
-        count = np.maximum(high - low, 0)
+        high = np.searchsorted(codes, base | np.minimum(most, 0xFFFF).astype(np.uint64), side="right")
+        some = high > low
+        own, size, most, low, count = own[some], size[some], most[some], low[some], (high - low)[some]
+        ours, theirs = np.ascontiguousarray(own["bits"]), np.ascontiguousarray(other["bits"])
+        apart = np.floor((1 - 2 * share) * (size + most) + 1e-9).astype(np.int64)  # the most grams that such sets differ in
         edge = np.concatenate([[0], np.cumsum(count)])
         at = 0
         while at < len(own):
             stop = max(at + 1, int(np.searchsorted(edge, edge[at] + block, side="right")) - 1)
-            some = count[at:stop]
-            x = np.repeat(np.arange(at, stop), some)
-            y = np.arange(some.sum()) - np.repeat(edge[at:stop] - edge[at], some) + np.repeat(low[at:stop], some)
-            sx, sy = own["size"][x].astype(np.int64), other["size"][y].astype(np.int64)
+            n = count[at:stop]
+            x = np.repeat(np.arange(at, stop), n)
+            y = np.arange(edge[stop] - edge[at]) + np.repeat(low[at:stop] - (edge[at:stop] - edge[at]), n)
+            differ = _differences(ours, theirs, x, y)
+            ok = differ <= apart[x]
+            x, y, differ = x[ok], y[ok], differ[ok]
+            sx, sy = size[x], other["size"][y].astype(np.int64)
             needed = np.ceil(share * (sx + sy) - 1e-9).astype(np.int64)
             room = np.minimum(sx - own["place"][x], sy - other["place"][y])
-            ok = (room >= needed) & (np.minimum(sx, sy) >= threshold * np.maximum(sx, sy) - 1e-9)
-            x, y, apart = x[ok], y[ok], (sx + sy - 2 * needed)[ok]
-            ok = np.bitwise_count(own["bits"][x] ^ other["bits"][y]).sum(axis=1) <= apart
+            ok = (room >= needed) & (sx >= threshold * sy - 1e-9) & (sx <= sy) & (differ <= sx + sy - 2 * needed)
             a, b = own["cls"][x[ok]], other["cls"][y[ok]]
+            if itself:
+                a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
             found.append(np.unique(np.stack([a, b] if small == 0 else [b, a], axis=1), axis=0))
             at = stop
     return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
 
-def candidates(texts: DataFrame, threshold: float, n: int = 5, per_task: int = 400_000, crowd: int = 50_000) -> DataFrame:
-    """(l, r): distinct pairs of a left and a right class that pass all filters. texts: (cls long, l int, r int, text);
-    l and r say on which sides a class is."""
+def candidates(texts: DataFrame, threshold: float, n: int = 5, per_task: int = 400_000, crowd: int = 50_000, itself: bool = False) -> DataFrame:
+    """(r, l): distinct pairs of a left and a right class that pass all filters. texts: (cls long, l int, r int, text);
+    l and r say on which sides a class is. itself: both sides are all texts (l and r are not needed), r < l."""
     rows = texts.count()
     counts = texts.sparkSession.sparkContext.broadcast(gram_counts(texts, n))  # BUCKETS numbers
     parts = partitions(texts, -(-rows * 60 // per_task))
 
-    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = counts.value
-        gram, own, place, size, bits = prefixes(list(pdf["text"]), table, threshold, n)
+    def packed(pdf: pd.DataFrame, table: np.ndarray, rank: tuple[np.ndarray, np.ndarray]) -> pd.DataFrame:
+        gram, own, place, size, bits = prefixes(list(pdf["text"]), rank, threshold, n)
         salts = np.maximum(1, -(-table[_bucket(gram)] // crowd))
         cls, entries, targets = pdf["cls"].to_numpy(), [], []
-        for kind, flag in (("l", 1), ("r", 0)):
-            mine = np.flatnonzero(pdf[kind].to_numpy()[own] == 1)
-            if flag:
-                which, salt = mine, mixed(cls[own[mine]].view(np.uint64), 22) % salts[mine].astype(np.uint64)
+        for kind, flag in (("r", 0),) if itself else (("l", 1), ("r", 0)):
+            mine = np.arange(len(own)) if itself else np.flatnonzero(pdf[kind].to_numpy()[own] == 1)
+            drawn = mixed(cls[own[mine]].view(np.uint64), 22) % salts[mine].astype(np.uint64)
+            if flag:  # a left row is in one salt, a right row in all
+                which, salt = mine, drawn
             else:
                 which = np.repeat(mine, salts[mine])
                 salt = (np.arange(len(which)) - np.repeat(np.cumsum(salts[mine]) - salts[mine], salts[mine])).astype(np.uint64)
+                if itself:  # a row is in every pair of salts that has its own
+                    own_salt = np.repeat(drawn, salts[mine])
+                    salt = np.minimum(salt, own_salt) * salts[which].astype(np.uint64) + np.maximum(salt, own_salt)
             e = np.empty(len(which), dtype=ENTRY)
             g = mixed(gram[which] + salt * np.uint64(0x9E3779B97F4A7C15), 23)
             e["key"], e["size"], e["place"], e["left"] = (g >> np.uint64(32)).astype(np.uint32), size[own[which]], place[which], flag
@@ -146,63 +182,71 @@ def candidates(texts: DataFrame, threshold: float, n: int = 5, per_task: int = 4
         return pd.DataFrame({"part": part[edge], "entries": [entry[a:b].tobytes() for a, b in zip(edge, stop, strict=True)]})
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = counts.value
+        rank = rarity(table)
         for pdf in batches:
             for at in range(0, len(pdf), BATCH):
-                yield packed(pdf.iloc[at : at + BATCH])
+                yield packed(pdf.iloc[at : at + BATCH], table, rank)
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        both = meetings(np.concatenate([np.frombuffer(x, dtype=ENTRY) for x in pdf["entries"]]), threshold)
+        both = meetings(np.concatenate([np.frombuffer(x, dtype=ENTRY) for x in pdf["entries"]]), threshold, itself)
         return pd.DataFrame({"r": both[:, 0], "l": both[:, 1]})
 
-    return texts.mapInPandas(emit, "part long, entries binary").groupBy("part").applyInPandas(search, "r long, l long").distinct()
+    # as many tasks as parts: merged by size they would grow with the input
+    return texts.mapInPandas(emit, "part long, entries binary").repartition(parts, "part").groupBy("part").applyInPandas(search, "r long, l long").distinct()
 
 
 def similarity(n: int = 5):
     """Arrow function of two plain texts: the Jaccard similarity of their grams."""
 
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            p, q = gram_set(x, n), gram_set(y, n)
-            both = len(p & q)
-            out.append(both / (len(p) + len(q) - both) if p or q else 1.0)
-        return pd.Series(out, dtype="float64")
+        return pd.Series(similarities(list(a), list(b), n), dtype="float64")
 
     run.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
     return F.pandas_udf(run, T.DoubleType())
 
 
 def text_classes(df: DataFrame, key: str, text: str, order: str) -> DataFrame:
-    """(cls, key, order, text): df's plain texts; equal texts have an equal class. Null counts as empty."""
+    """(cls, rest, key, order, text): df's plain texts; equal texts have equal cls and rest, the halves of a 128-bit
+    key. Null counts as empty."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             texts = [plain(t or "") for t in pdf["text"]]
-            yield pdf.assign(text=texts, cls=np.array([text_key(t)[0] for t in texts], dtype=np.int64))
+            keys = np.array([text_key(t) for t in texts], dtype=np.int64).reshape(-1, 2)
+            yield pdf.assign(text=texts, cls=keys[:, 0], rest=keys[:, 1])
 
     flat = spread(df.select(F.col(key).alias("key"), F.col(order).alias("order"), F.col(text).alias("text")))
     kinds = dict(flat.dtypes)
-    return flat.mapInPandas(run, f"key {kinds['key']}, order {kinds['order']}, text string, cls long")
+    return flat.mapInPandas(run, f"key {kinds['key']}, order {kinds['order']}, text string, cls long, rest long")
 
 
 def near_pairs(df: DataFrame, key: str, text: str, order: str, threshold: float = 0.85, n: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(members (cls, key, order), links (a, b, similarity) of different classes, a < b). All blank texts are one class."""
+    """(members (class, key, order), links (a, b, similarity) of different classes, a < b). Equal texts are one class,
+    named by its first (order, key) as a struct; all blank texts are one class."""
     rows = cut(text_classes(df, key, text, order), "setjoin")
-    classes = cut(rows.where("text <> ''").groupBy("cls").agg(F.min("text").alias("text")), "classes")
-    found = candidates(classes.withColumns({"l": F.lit(1), "r": F.lit(1)}), threshold, n).where("l < r")
-    a, b = classes.select(F.col("cls").alias("l"), F.col("text").alias("t")), classes.select(F.col("cls").alias("r"), F.col("text").alias("u"))
+    classes = cut(rows.groupBy("cls", "rest").agg(F.min(F.struct("order", "key")).alias("class"), F.first("text").alias("text")), "classes")
+    filled = classes.where("text <> ''")
+    found = candidates(filled.select("cls", "text"), threshold, n, itself=True)
+    a, b = filled.select(F.col("cls").alias("l"), F.col("class").alias("x"), F.col("text").alias("t")), filled.select(F.col("cls").alias("r"), F.col("class").alias("y"), F.col("text").alias("u"))
     links = found.join(a, "l").join(b, "r").withColumn("similarity", similarity(n)("t", "u")).where(F.col("similarity") >= threshold - 1e-12)
-    return rows.select("cls", "key", "order"), cut(links.select(F.col("l").alias("a"), F.col("r").alias("b"), "similarity"), "links")
+    links = cut(links.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity"), "links")
+    return rows.join(classes.select("cls", "rest", "class"), ["cls", "rest"]).select("class", "key", "order"), links
+
+
+def star_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(key_a, key_b, similarity), key_a < key_b: linked classes by their first rows, and every copy with the first row
+    of its class. With the membership this holds every pair, however many copies a text has."""
+    across = links.select(F.col("a.key").alias("x"), F.col("b.key").alias("y"), "similarity")
+    inside = members.where(F.col("key") != F.col("class.key")).select(F.col("class.key").alias("x"), F.col("key").alias("y"), F.lit(1.0).alias("similarity"))
+    return across.unionByName(inside).select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"), "similarity").distinct()
 
 
 def without_later_duplicates(df: DataFrame, key: str, text: str, order: str, threshold: float = 0.85, n: int = 5) -> DataFrame:
     """df without rows that have an earlier near duplicate (by order, then key). A row is judged by its neighbours, kept
     or not: of a chain A ~ B ~ C with A and C unlike, only A stays. Blank texts are duplicates of each other."""
     members, links = near_pairs(df, key, text, order, threshold, n)
-    first = members.groupBy("cls").agg(F.min(F.struct("order", "key")).alias("first"))
-    both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.join(first.withColumnRenamed("cls", "b"), "b").groupBy(F.col("a").alias("cls")).agg(F.min("first").alias("near"))
-    judged = members.join(first, "cls").join(near, "cls", "left")
-    earliest = F.least(F.col("first"), F.coalesce("near", "first"))
-    kept = judged.where(F.struct("order", "key") == earliest).select(F.col("key").alias(key))
+    # a class is named by its first row: it stays if no linked class has an earlier one, and that row alone
+    later = links.select(F.col("b").alias("class")).distinct()
+    kept = members.where(F.struct("order", "key") == F.col("class")).join(later, "class", "left_anti").select(F.col("key").alias(key))
     return df.join(kept, key, "left_semi")

@@ -85,6 +85,13 @@ OWN_SPLIT = f"""(SELECT claim_id, stratum, CASE WHEN r <= round_even(n * 0.8, 0)
   FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY {_hash('claim_id')}, claim_id) AS r, count(*) OVER (PARTITION BY stratum) AS n FROM {GROUPS}))"""
 BLINDED = f"""(SELECT sample_id, substr('ABCDEFGH', CAST(row_number() OVER (PARTITION BY sample_id ORDER BY md5('{S.SEED}|' || sample_id || '|' || system_id), system_id) AS BIGINT), 1) AS slot, system_id
   FROM (SELECT DISTINCT id AS sample_id FROM final_record WHERE split = 'test'), (VALUES {', '.join(f"({_q(s)})" for s in S.SYSTEMS)}) AS s(system_id))"""
+# near documents by brute force: the sets of 5-character substrings of all texts against each other
+NEAR_DOCS = f"""(WITH d AS (SELECT doc_id, lower(trim(regexp_replace(coalesce(text, ''), '{WS}', ' ', 'g'))) AS t FROM documents), c AS (SELECT t, min(doc_id) AS class FROM d GROUP BY t),
+  s AS (SELECT class, unnest(CASE WHEN length(t) < 5 THEN [t] ELSE list_distinct(list_transform(range(1, length(t) - 3), lambda i: substring(t, i, 5))) END) AS g FROM c WHERE t <> ''),
+  n AS (SELECT class, count(*) AS n FROM s GROUP BY class)
+  SELECT a, b, CAST(m AS DOUBLE) / (x.n + y.n - m) AS similarity FROM (SELECT p.class AS a, q.class AS b, count(*) AS m FROM s p JOIN s q ON p.g = q.g AND p.class < q.class GROUP BY 1, 2) JOIN n x ON x.class = a JOIN n y ON y.class = b
+  WHERE m >= 0.85 * (x.n + y.n - m) - 1e-9)"""
+DOC_CLASSES = f"(SELECT doc_id, t, min(doc_id) OVER (PARTITION BY t) AS class FROM (SELECT doc_id, lower(trim(regexp_replace(coalesce(text, ''), '{WS}', ' ', 'g'))) AS t FROM documents))"
 TERM_RE = r"'(?i)\b' || regexp_escape(term_en) || '\b'"
 FLAGGED = f"""(SELECT sample_id, system_id, topic,
     len(hw) > 0 AND (CASE WHEN len(w) > 0 THEN CAST(len(list_filter(w, lambda t: {_legal('t')})) AS DOUBLE) / len(w) ELSE 0 END) < 0.85 AS code_switching,
@@ -158,6 +165,9 @@ def oracle_sql() -> dict[str, str]:
           SELECT DISTINCT t, unnest({_tokens("replace(low, '?', '')")}) AS word FROM (SELECT {TOPIC} AS t, {TEXT_FOLD} AS low FROM {FINAL})) WHERE word NOT IN ({', '.join(map(_q, STOPWORDS))}) GROUP BY 1""",
         "q_fertility": f"""SELECT side, tokens, words, round(CAST(tokens AS DOUBLE) / words, 4) AS fertility FROM (SELECT side, CAST(sum(ceil(length(word) / 4.0)) AS BIGINT) AS tokens, count(*) AS words FROM (
           SELECT 'en' AS side, unnest({_tokens('answer_en')}) AS word FROM {WORK} UNION ALL SELECT 'yo', unnest({_tokens('answer_yo_final')}) FROM {WORK}) GROUP BY 1)""",
+        "q_near_pairs": f"SELECT a AS doc_a, b AS doc_b, round(similarity, 6) AS similarity FROM {NEAR_DOCS} UNION ALL SELECT class, doc_id, 1.0::DOUBLE FROM {DOC_CLASSES} WHERE t <> '' AND class <> doc_id",
+        "q_near_classes": f"""WITH l AS (SELECT * FROM {NEAR_DOCS}) SELECT doc_id, class, coalesce(links, 0) AS links FROM {DOC_CLASSES} LEFT JOIN (SELECT class, count(*) AS links FROM (SELECT a AS class FROM l UNION ALL SELECT b FROM l) GROUP BY 1) USING (class)""",
+        "q_deduplicated": f"SELECT doc_id FROM {DOC_CLASSES} WHERE class = doc_id AND doc_id NOT IN (SELECT b FROM {NEAR_DOCS})",
         "q_stratified_sample": _sampled(FINAL, "0.1"),
         "q_sample_at_least": f"WITH t AS (SELECT * FROM {FINAL} WHERE split = 'test') SELECT id FROM ({_sampled('t', '(150.0 / (SELECT count(*) FROM t))')}) WHERE (SELECT count(*) FROM t) > 150 UNION ALL SELECT id FROM t WHERE (SELECT count(*) FROM t) <= 150",
         "q_fixed_per_topic": f"SELECT id, topic FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY {_hash('id')}, id) AS r FROM {FINAL}) WHERE r <= 5",

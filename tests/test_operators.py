@@ -176,12 +176,18 @@ def test_set_join_against_brute_force(spark):
     members, links = setjoin.near_pairs(df, "id", "t", "id", 0.8)
     cls = {}
     for r in members.collect():
-        cls.setdefault(r["cls"], []).append(r["key"])
+        cls.setdefault(r["class"], []).append(r["key"])
     got = {(min(x, y), max(x, y)) for r in links.collect() for x in cls[r["a"]] for y in cls[r["b"]]} | {(x, y) for ids in cls.values() for x in ids for y in ids if x < y}
     grams = [gram_set(plain(t or "")) for t in texts]
     alike = lambda a, b: (len(a & b) / len(a | b) if a | b else 1.0) >= 0.8
     want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if alike(grams[i], grams[j])}
     assert got == want
+    star = [(r["key_a"], r["key_b"]) for r in setjoin.star_pairs(members, links).collect()]
+    assert len(star) == len(set(star)) and set(star) <= want and {c.key for c in cls} | {b for _, b in star} == set(range(len(texts)))
+    sided = setjoin.text_classes(df, "id", "t", "id").where("text <> ''").groupBy("cls").agg(F.min("text").alias("text")).persist()
+    once = {tuple(r) for r in setjoin.candidates(sided, 0.8, itself=True).collect()}
+    salted = {tuple(r) for r in setjoin.candidates(sided, 0.8, itself=True, crowd=2).collect()}
+    assert salted == once and once
     kept = {r["id"] for r in setjoin.without_later_duplicates(df, "id", "t", "id", 0.8).collect()}
     assert kept == {j for j in range(len(texts)) if not any((i, j) in want for i in range(j))}
 
