@@ -180,7 +180,7 @@ def _crowded(sigs: DataFrame, total: int, crowd: int, share: float = 1e-3) -> di
     return {r["k"]: r["n"] for r in found.collect()}
 
 
-def candidate_pairs(sigs: DataFrame, threshold: float = 0.8, per_task: int = 500_000, crowd: int = 20_000) -> DataFrame:
+def candidate_pairs(sigs: DataFrame, threshold: float = 0.8, per_task: int = 250_000, crowd: int = 20_000) -> DataFrame:
     """(a, b): distinct pairs of text classes (h1) that the index finds near. sigs as of text_signatures.
 
     crowd: rows of one pattern that a task compares at once; more are compared block by block in other tasks."""
@@ -246,7 +246,7 @@ def candidate_pairs(sigs: DataFrame, threshold: float = 0.8, per_task: int = 500
     schema = "a long, b long, n long, part long, entries binary"
     # field is part of the pattern's key; which field a pair belongs to is told by its classes
     blocks = classes.mapInPandas(emit, "part long, entries binary")
-    searched = cut(blocks.groupBy("part").applyInPandas(search, schema), "searched")
+    searched = cut(blocks.repartition(parts, "part").groupBy("part").applyInPandas(search, schema), "searched")
     rest = searched.where("entries is not null")
     late_parts = partitions(sigs, -(-int(rest.select(F.coalesce(F.sum(F.ceil(F.length("entries") / ENTRY.itemsize) * F.ceil(2 * F.col("n") / crowd)), F.lit(0))).first()[0]) // per_task))
     again = rest.select("n", "part", "entries").mapInPandas(emit_late, "part long, entries binary").groupBy("part").applyInPandas(search_late, schema)

@@ -128,6 +128,11 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _overlaps(spark, sf_dir).report()
 
 
+def p6_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per record that has an overlap: its class of copies and the number of classes linked to it."""
+    return _overlaps(spark, sf_dir).membership()
+
+
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_language_model(table(spark, sf_dir, "documents"))
     return language_segments(table(spark, sf_dir, "working_record"), model, ["answer_yo_mt", "answer_yo_final"])
@@ -192,6 +197,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             p1_found, p1_forms, p2_found, p2_assignment, p2_balance, p3_found, p3_labels, p4_found, p4_labels, p4_raters, p4_ratings, p4_agreement,
-            p5_found, p5_groups, p6_found, p6_report, p7_found, p7_segments, p7_documents, p7_answers, p8_ids, p9_found, p9_report, p9_mixture, p10_found, p10_statistics,
+            p5_found, p5_groups, p6_found, p6_report, p6_membership, p7_found, p7_segments, p7_documents, p7_answers, p8_ids, p9_found, p9_report, p9_mixture, p10_found, p10_statistics,
         )
     }
