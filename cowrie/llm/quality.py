@@ -2,7 +2,7 @@
 
 Method: statistics of each document's words, characters and lines; gradient-boosted trees on them, trained on
 documents whose kind simple rules can tell for sure (weak labels), with probabilities calibrated by a
-temperature chosen on the hand-checked texts of quality_holdout.py.
+temperature chosen on hand-checked texts and measured on others (quality_holdout.py).
 
 Training: at most about `sample` documents (8,000 by default), chosen by a hash of their key; statistics and
 kinds are made for all documents, of their whole texts, in one pass without a shuffle.
@@ -13,10 +13,6 @@ part (carriage returns are dropped); repeated rows give repeated results; furthe
 
 from __future__ import annotations
 
-import re
-import unicodedata
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,86 +22,17 @@ from pyspark.sql import functions as F
 
 from cowrie.session import spread
 
-from .pairs import WORDS
-from .quality_holdout import CHECKED
+from .quality_holdout import CALIBRATION
+from .textstats import STATS, statistics
 
 KINDS = ("prose", "list", "table", "junk")
-STATS = (
-    "n_chars", "n_words", "n_lines", "mean_word_length", "symbol_ratio", "digit_ratio", "letter_ratio", "upper_ratio", "odd_ratio", "code_ratio",
-    "ended_line_share", "common_word_share", "words_per_line", "item_share", "cell_share", "short_share", "long_share", "head_share",
-    "distinct_word_share", "top_word_share", "repeat_share", "compressed_ratio", "rule_share", "end_per_word", "run_length",
-)
-COMMON = frozenset(w for s in WORDS.values() for w in s.split())
-_WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ'’-])*")
-_ITEM = re.compile(r"^\s*(?:[-–—•*·▪◦+]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)]|\(?[ivx]{1,4}[.)])\s+\S")
-_CODE = re.compile(r"[{}();=<>\[\]]|=>|!==|\b(?:var|let|const|function|return|if|else|def|import|class)\b|</?\w+")
-_RULE = re.compile(r"^[\W_]+$")
-_APART = ("; ", ", ", " · ", " • ", " / ", " - ", " – ")
-_CELLS = re.compile(r"\t|\s*\|\s*|;(?=\S)|\",\"|,(?=\S)| {2,}")
-
-
-def _cells(line: str) -> int:
-    return len([c for c in _CELLS.split(line.strip().strip("|")) if c.strip()])
-
-
-def statistics(text: str | None) -> list[float]:
-    """The statistics of one text, in the order of STATS."""
-    if text is None or not text.strip():
-        return [float(len(text or ""))] + [0.0] * (len(STATS) - 1)
-    text = text.replace("\r\n", "\n").replace("\r", "\n")
-    n = len(text)
-    kinds = Counter(map(unicodedata.category, text))
-    blank = kinds["Zs"] + text.count("\n") + text.count("\t")
-    seen = max(1, n - blank)
-    letters = sum(v for k, v in kinds.items() if k[0] == "L") + kinds["Mn"]
-    digits, upper = kinds["Nd"], kinds["Lu"]
-    symbols = sum(v for k, v in kinds.items() if k[0] in "PS")
-    odd = kinds["Cc"] - text.count("\n") - text.count("\t") + kinds["Co"] + kinds["Cn"] + text.count("�") + len(re.findall("[ÂÃ][\u0080-¿]|á[º»¹]|[ÌÍ][\u0080-¿]", text)) * 2
-    words = _WORD.findall(text)
-    low = [w.lower() for w in words]
-    nw = len(words)
-    lines = [s for s in text.split("\n") if s.strip()]
-    size = [len(s.strip()) for s in lines]
-    total = max(1, sum(size))
-    item = cell = short = long = rule = ended = head = 0
-    counts = [_cells(s) for s in lines]
-    usual = Counter(c for c in counts if c >= 2)
-    width = {c for c, k in usual.items() if k >= 3 and k >= 0.25 * len(lines)}
-    for s, k, c in zip(lines, size, counts, strict=True):
-        t = s.strip()
-        own = len(_WORD.findall(t))
-        end = t.rstrip("\"'”’»)]")[-1:]
-        stop = end in ".!?…" and end != ""
-        ended += stop
-        if _RULE.match(t):
-            rule += k
-        elif c >= 2 and c in width and not (stop and own >= 7 and "," in t and "\t" not in t and "|" not in t):
-            cell += k
-        elif _ITEM.match(s) or any(t.count(x) >= 5 and own <= 5 * (t.count(x) + 1) for x in _APART) and not re.search(r"[.!?]\s", t):
-            item += k  # a bullet, or items in a row
-        elif own >= 7:
-            long += k
-        elif stop and own >= 4:
-            long += k
-        else:
-            short += k
-            head += k if t.endswith(":") else 0
-    top = Counter(low).most_common(1)[0][1] if low else 0
-    grams = list(zip(low, low[1:], low[2:]))
-    folded = ["".join(ch for ch in unicodedata.normalize("NFD", w) if unicodedata.category(ch) != "Mn") for w in low[:4000]] if False else low
-    bare = unicodedata.normalize("NFD", " ".join(folded))
-    bare = re.sub("[̀-ͯ]", "", bare).split(" ") if nw else []
-    raw = text.encode("utf-8", "replace")
-    return [
-        float(n), float(nw), float(len(lines)), sum(map(len, words)) / max(1, nw), symbols / seen, digits / seen, letters / seen, upper / max(1, letters), odd / seen, len(_CODE.findall(text)) / seen,
-        ended / max(1, len(lines)), sum(w in COMMON for w in bare) / max(1, nw), nw / max(1, len(lines)), item / total, cell / total, short / total, long / total, head / total,
-        len(set(low)) / max(1, nw), top / max(1, nw), 1 - len(set(grams)) / len(grams) if grams else 0.0, len(zlib.compress(raw, 1)) / len(raw), rule / total, len(re.findall(r"[.!?](?:\s|$)", text)) / max(1, nw), seen / max(1, len(text.split())),
-    ]
 
 
 def weak_label(s: dict[str, float]) -> str | None:
     """The kind of a document by rules that are sure, else None."""
     junk = s["symbol_ratio"] > 0.15 and s["mean_word_length"] < 3 and s["cell_share"] < 0.5 or s["run_length"] > 40 and s["n_chars"] > 80 or s["letter_ratio"] < 0.3 and s["cell_share"] < 0.5 or s["odd_ratio"] > 0.08 or s["code_ratio"] > 0.12 or (s["n_words"] >= 25 and s["repeat_share"] > 0.9 and s["distinct_word_share"] < 0.1 and s["item_share"] + s["short_share"] < 0.5)
+    # letters at random: hardly a vowel, consonants in rows, no frequent word of any language
+    junk = junk or s["n_words"] >= 8 and s["common_word_share"] < 0.05 and s["vowel_ratio"] < 0.3 and s["cluster_share"] > 0.1
     if junk:
         return "junk"
     if s["cell_share"] >= 0.7:
@@ -205,8 +132,9 @@ def _softmax(s: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def holdout() -> tuple[np.ndarray, np.ndarray]:
-    return np.array([statistics(t) for _, t in CHECKED]), np.array([KINDS.index(k) for k, _ in CHECKED])
+def checked(texts: list[tuple[str, str]] = CALIBRATION) -> tuple[np.ndarray, np.ndarray]:
+    """Statistics and kinds of texts whose kind was checked by hand."""
+    return statistics([t for _, t in texts]), np.array([KINDS.index(k) for k, _ in texts])
 
 
 def fit_quality_model(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = 8000) -> BoostedTrees:
@@ -218,13 +146,13 @@ def fit_quality_model(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            stats = [statistics(t) for t in pdf["t"]]
+            stats = statistics(list(pdf["t"]))
             labels = [weak_label(dict(zip(STATS, s, strict=True))) if s[1] or s[0] else None for s in stats]
             keep = [(*s, KINDS.index(c)) for s, c in zip(stats, labels, strict=True) if c and s[2]]
             yield pd.DataFrame(keep, columns=[*STATS, "kind"])
 
     rows = spread(picked).mapInPandas(run, ", ".join(f"{c} double" for c in STATS) + ", kind long").toPandas()  # at most about `sample` rows of numbers
-    hx, hy = holdout()
+    hx, hy = checked()
     x, y = rows[list(STATS)].to_numpy(float), rows["kind"].to_numpy(int)
     if len(set(y)) < len(KINDS):  # too little to learn from: the checked texts take part
         x, y = np.concatenate([x.reshape(-1, len(STATS)), hx]), np.concatenate([y, hy])
@@ -239,7 +167,7 @@ def text_quality(docs: DataFrame, model: BoostedTrees, key: str = "doc_id", text
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = held.value
         for pdf in parts:
-            x = np.array([statistics(t) for t in pdf["t"]], dtype=float).reshape(len(pdf), len(STATS))
+            x = statistics(list(pdf["t"]))
             p = m.probabilities(x) if len(x) else np.zeros((0, len(KINDS)))
             best = p.argmax(axis=1)
             blank = x[:, STATS.index("n_lines")] == 0

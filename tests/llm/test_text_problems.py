@@ -1,5 +1,8 @@
 """Problems 1, 3, 7, 8, 10: text operators, their defined results and edge cases."""
 
+import re
+import unicodedata
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +11,9 @@ from cowrie.llm import confusables as C
 from cowrie.llm import langid as L
 from cowrie.llm import pairs as P
 from cowrie.llm import quality as Q
+from cowrie.llm import textstats as S
 from cowrie.llm import tokens as T
+from cowrie.llm.quality_holdout import CALIBRATION, HELD_OUT
 
 PATH = f"{T.FOLDER}/{T.VOCABULARY}"
 
@@ -110,18 +115,44 @@ def test_label_model_recovers_planted_rates():
 
 
 def test_quality(spark):
-    x, y = Q.holdout()
-    docs = [(i, t) for i, (_, t) in enumerate(Q.CHECKED)]
+    x, y = Q.checked()
+    docs = [(i, t) for i, (_, t) in enumerate(CALIBRATION)]
+    held = [(500 + i, t) for i, (_, t) in enumerate(HELD_OUT)]
     df = spark.createDataFrame(docs + [(900, None), (901, ""), (902, " \n "), (903, "word. " * 40000), (0, docs[0][1])], "doc_id long, text string").withColumn("kind", F.lit("clash"))
     m = Q.fit_quality_model(df)
-    rows = Q.text_quality(df, m).collect()
+    rows = Q.text_quality(df.unionByName(spark.createDataFrame(held, "doc_id long, text string").withColumn("kind", F.lit(""))), m).collect()
     got = {r["doc_id"]: r for r in rows}
-    assert len(rows) == len(docs) + 5 and all(got[i]["kind"] == "blank" and got[i]["n_words"] == 0 for i in (900, 901, 902))
-    assert np.mean([got[i]["kind"] == k for i, (k, _) in enumerate(Q.CHECKED)]) >= 0.9 and got[903]["n_words"] == 40000
+    assert len(rows) == len(docs) + len(held) + 5 and all(got[i]["kind"] == "blank" and got[i]["n_words"] == 0 for i in (900, 901, 902))
+    assert np.mean([got[i]["kind"] == k for i, (k, _) in enumerate(CALIBRATION)]) >= 0.9 and got[903]["n_words"] == 40000
+    assert np.mean([got[500 + i]["kind"] == k for i, (k, _) in enumerate(HELD_OUT)]) >= 0.95
     assert Q.text_quality(df.limit(0), m).count() == 0
     assert (m.probabilities(x).sum(axis=1).round(6) == 1).all() and len(y) == len(docs)
 
 
+def plain_statistics(text):
+    """Some of the statistics by plain loops over one text."""
+    lines = [s.strip() for s in text.split("\n") if s.strip()]
+    words = re.findall(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f'’-])*", text)
+    low = [w.lower() for w in words]
+    seen = max(1, len(text) - sum(unicodedata.category(c) == "Zs" or c in "\n\t" for c in text))
+    three = list(zip(low, low[1:], low[2:]))
+    return {
+        "n_chars": len(text), "n_words": len(words), "n_lines": len(lines), "mean_word_length": sum(map(len, words)) / max(1, len(words)), "digit_ratio": sum(c.isdecimal() for c in text) / seen,
+        "ended_line_share": sum(re.sub("[\"'”’»)\\]]+$", "", s)[-1:] in tuple(".!?…") for s in lines) / max(1, len(lines)), "distinct_word_share": len(set(low)) / max(1, len(low)),
+        "top_word_share": max(map(low.count, set(low)), default=0) / max(1, len(low)), "repeat_share": 1 - len(set(three)) / len(three) if three else 0.0, "run_length": seen / max(1, len(text.split())),
+        "symbol_ratio": sum(unicodedata.category(c)[0] in "PS" for c in text) / seen,
+    }
+
+
+def test_statistics_against_plain_loops():
+    texts = [t.replace("\r\n", "\n") for _, t in CALIBRATION + HELD_OUT] + ["a'b -c d-\n\n x.”) \ne\u0301e 12,5\t|", "word " * 500, "?", "ọ̀rọ̀ Ọ̀RỌ̀ ọ̀rọ̀"]
+    got = S.statistics(texts)
+    for text, row in zip(texts, got, strict=True):
+        for name, value in plain_statistics(text).items():
+            assert abs(row[S.STATS.index(name)] - value) < 1e-9, (name, text)
+    assert (S.statistics(texts[::-1]) == got[::-1]).all() and S.statistics([None, "", " "])[:, 0].tolist() == [0, 0, 1]
+
+
 def test_forms_of_all_three_fields(spark, tmp_path):
     from cowrie.llm.queries import p1_forms
 
