@@ -192,8 +192,8 @@ def candidates(texts: DataFrame, threshold: float, n: int = 5, per_task: int = 4
         both = meetings(np.concatenate([np.frombuffer(x, dtype=ENTRY) for x in pdf["entries"]]), threshold, itself)
         return pd.DataFrame({"r": both[:, 0], "l": both[:, 1]})
 
-    # as many tasks as parts: merged by size they would grow with the input
-    return texts.mapInPandas(emit, "part long, entries binary").repartition(parts, "part").groupBy("part").applyInPandas(search, "r long, l long").distinct()
+    # one task for each part: merged by size, or spread by a hash, they would grow with the input
+    return texts.mapInPandas(emit, "part int, entries binary").repartitionById(parts, "part").groupBy("part").applyInPandas(search, "r long, l long").distinct()
 
 
 def similarity(n: int = 5):
