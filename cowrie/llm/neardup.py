@@ -245,11 +245,11 @@ def candidate_pairs(sigs: DataFrame, threshold: float = 0.8, per_task: int = 250
 
     schema = "a long, b long, n long, part long, entries binary"
     # field is part of the pattern's key; which field a pair belongs to is told by its classes
-    blocks = classes.mapInPandas(emit, "part long, entries binary")
-    searched = cut(blocks.repartition(parts, "part").groupBy("part").applyInPandas(search, schema), "searched")
+    blocks = classes.mapInPandas(emit, "part int, entries binary")
+    searched = cut(blocks.repartitionById(parts, "part").groupBy("part").applyInPandas(search, schema), "searched")
     rest = searched.where("entries is not null")
     late_parts = partitions(sigs, -(-int(rest.select(F.coalesce(F.sum(F.ceil(F.length("entries") / ENTRY.itemsize) * F.ceil(2 * F.col("n") / crowd)), F.lit(0))).first()[0]) // per_task))
-    again = rest.select("n", "part", "entries").mapInPandas(emit_late, "part long, entries binary").groupBy("part").applyInPandas(search_late, schema)
+    again = rest.select("n", "part", "entries").mapInPandas(emit_late, "part int, entries binary").repartitionById(late_parts, "part").groupBy("part").applyInPandas(search_late, schema)
     return searched.where("entries is null").unionByName(again).select("a", "b").distinct()
 
 
