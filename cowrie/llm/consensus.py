@@ -1,26 +1,30 @@
 """Problem 4: a consensus from several annotators' labels.
 
-Method: iteratively reweighted voting. Each round takes the weighted vote of every item, leaves out in turn the
-annotator who is judged, and counts what the annotator says for each vote of the others; the smoothed shares
-are the annotator's accuracy, kept per judgement, and their logs the weights of the next round, until no
-accuracy moves. Agreement is reported as nominal Krippendorff alpha, which corrects for chance and allows missing ratings.
-
-Scale: votes are hashed by item once and kept; a round needs a window over that layout and a partial
-aggregation to one row per annotator, so nothing but annotators is shuffled. Items of many votes are summed,
-not collected.
+Method: iteratively reweighted voting. Each round takes the weighted vote of every item and, for each annotator, the
+vote without that annotator (leave-one-out). An annotator's accuracy is the smoothed share of judgements that agree
+with the others' vote; its log odds against chance are the annotator's weight in the next round, until no accuracy
+moves. Before they count, judgements are read: one that an annotator gives mostly where the others vote for another
+label is read as that label, so a shifted or inverted scale speaks for what it means (`read=False` takes them as they
+are). There is one weight for each annotator, the one that is reported. Agreement is reported as nominal Krippendorff
+alpha, which corrects for chance and allows missing ratings.
+
+Scale: votes are hashed and sorted by item once and kept; a round is one job: a join with one row per annotator, a
+window over that layout, and an aggregation with partial sums to one row per annotator. Nothing but annotators is
+shuffled, and nothing is collected. Items of many votes are summed, not collected.
 
 Defined results: an annotator's later submission on an item replaces the earlier (ties: later receipt, then
 label order); null, unreadable or unknown labels do not count; items without a label have no consensus; ties
-between labels go to the graver, that is the later in `labels`; empty tables give empty results.
+between labels go to the graver, that is the later in `labels`; annotators who share no item with others have the
+accuracy `trust`; empty tables give empty results; rounds that end unsettled are reported and warned of.
 """
 
 from __future__ import annotations
 
 import functools
-import math
 import operator
+import warnings
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from cowrie.session import cut
@@ -60,54 +64,55 @@ def _best(labels: tuple[str, ...], scores: list[Column]) -> Column:
 
 
 class Consensus:
-    """labels: (item..., label, confidence, votes, agreement); annotators: (annotator, votes, accuracy, weight)."""
+    """labels: (item..., label, confidence, votes, agreement); annotators: (annotator, votes, accuracy, weight, reads):
+    reads has, for each label, what the annotator's judgement is read as. rounds, settled: how the rounds ended."""
 
-    def __init__(self, labels: DataFrame, annotators: DataFrame, rounds: int) -> None:
-        self.labels, self.annotators, self.rounds = labels, annotators, rounds
+    def __init__(self, labels: DataFrame, annotators: DataFrame, rounds: int, settled: bool) -> None:
+        self.labels, self.annotators, self.rounds, self.settled = labels, annotators, rounds, settled
 
 
-def _worth(seen: DataFrame, labels: tuple[str, ...], prior: float) -> DataFrame:
-    """(annotator, label, w0...): what a judgement `label` of the annotator says for each true label, as the log
-    of how often the annotator gives it where the others' vote is that label. seen: (annotator, other, label, n).
-    Shares are smoothed by `prior` pseudo-counts of what all annotators do."""
-    pool = seen.groupBy("other", "label").agg((F.sum("n") + 0.5).alias("pn"))
-    pool = pool.select("other", "label", (F.col("pn") / F.sum("pn").over(Window.partitionBy("other"))).alias("share"))
-    grid = seen.select("annotator").distinct().select("annotator", F.explode(F.array(*map(F.lit, labels))).alias("other")).select("annotator", "other", F.explode(F.array(*map(F.lit, labels))).alias("label"))
-    full = grid.join(seen, ["annotator", "other", "label"], "left").join(pool, ["other", "label"], "left").withColumns({"n": F.coalesce("n", F.lit(0)), "share": F.coalesce("share", F.lit(1e-3))})
-    full = full.withColumn("of", F.sum("n").over(Window.partitionBy("annotator", "other"))).withColumn("w", F.ln((F.col("n") + prior * F.col("share")) / (F.col("of") + prior)))
-    return full.groupBy("annotator", "label").agg(*[F.max(F.when(F.col("other") == c, F.col("w"))).alias(f"w{i}") for i, c in enumerate(labels)])
+def _weighed(votes: DataFrame, known: DataFrame | None, labels: tuple[str, ...], trust: float) -> DataFrame:
+    """votes (..., annotator, j: number of the label) with `read`, the number of the label it stands for, its weight and
+    the annotator's accuracy so far."""
+    chance = F.lit(float(max(1, len(labels) - 1)))
+    if known is None:  # all count the same
+        return votes.withColumns({"read": F.col("j"), "accuracy": F.lit(trust), "weight": F.lit(1.0)})
+    told = votes.join(known.select("annotator", "accuracy", "reads"), "annotator", "left").withColumn("accuracy", F.coalesce("accuracy", F.lit(trust)))
+    return told.withColumns({"read": F.coalesce(F.get("reads", F.col("j")), F.col("j")), "weight": F.ln(F.col("accuracy") * chance / (1 - F.col("accuracy")))}).drop("reads")
 
 
-def reweighted_voting(votes: DataFrame, item: list[str], labels: tuple[str, ...] = HARM, rounds: int = 30, tolerance: float = 1e-3, prior: float = 4.0) -> Consensus:
-    """votes: (item..., annotator, label), one per item and annotator. prior: pseudo-counts of the smoothing.
-    A label outside `labels` does not count. Every judgement is weighed by its worth (see _worth), so an
-    annotator who always gives one label, or shifts or inverts the scale, misleads nobody."""
+def reweighted_voting(votes: DataFrame, item: list[str], labels: tuple[str, ...] = HARM, rounds: int = 50, tolerance: float = 1e-3, prior: float = 4.0, trust: float = 0.7, read: bool = True) -> Consensus:
+    """votes: (item..., annotator, label), one per item and annotator. prior: pseudo-counts of the smoothing, at the
+    accuracy `trust`. A label outside `labels` does not count."""
     k = len(labels)
-    votes = votes.where(F.col("label").isin(*labels)).select(*item, "annotator", "label").repartition(*item).persist()
+    number = functools.reduce(lambda out, i: F.when(F.col("label") == labels[i], i).otherwise(out), range(k), F.lit(None).cast("int"))
+    kept = votes.where(F.col("label").isin(*labels)).select(*item, "annotator", number.alias("j")).repartition(*item).sortWithinPartitions(*item).persist()
     try:
-        many = votes.select("annotator").distinct().count() > 25_000  # rows of weights are four to five times as many
-        small = (lambda d: d) if many else F.broadcast
         over = Window.partitionBy(*item)
-        plain = [(F.col("label") == c).cast("double").alias(f"w{i}") for i, c in enumerate(labels)]
-        worth, base, old, used = None, [0.0] * k, None, 0
+        known, settled, used = None, False, 0
         for used in range(1, rounds + 1):
-            weighed = votes.select("*", *plain) if worth is None else votes.join(small(worth), ["annotator", "label"])
-            rest = weighed.select("annotator", "label", F.count("*").over(over).alias("m"), *[(F.sum(f"w{i}").over(over) - F.col(f"w{i}") + base[i]).alias(f"r{i}") for i in range(k)]).where("m > 1")
-            seen = cut(rest.select("annotator", "label", _best(labels, [F.col(f"r{i}") for i in range(k)]).alias("other")).groupBy("annotator", "other", "label").agg(F.count("*").alias("n")), "worth")
-            margin = {r["other"]: r["n"] for r in seen.groupBy("other").agg(F.sum("n").alias("n")).collect()}  # one row per label
-            base = [math.log((margin.get(c, 0) + 1) / (sum(margin.values()) + k)) for c in labels]
-            worth = cut(_worth(seen, labels, prior), "worth")
-            now = cut(seen.groupBy("annotator").agg(((F.sum(F.when(F.col("other") == F.col("label"), F.col("n")).otherwise(0)) + prior / 2) / (F.sum("n") + prior)).alias("accuracy")), "worth")
-            moved = 1.0 if old is None else now.join(old.withColumnRenamed("accuracy", "before"), "annotator", "left").agg(F.max(F.abs(F.col("accuracy") - F.coalesce("before", F.lit(0.0))))).first()[0]
-            old = now
-            if moved is None or moved < tolerance:
+            told = _weighed(kept, known, labels, trust)
+            mine = lambda c: F.when(F.col("read") == c, F.col("weight")).otherwise(0.0)
+            rest = told.select("annotator", "j", "accuracy", F.count("*").over(over).alias("m"), *[(F.sum(mine(c)).over(over) - mine(c)).alias(f"r{c}") for c in range(k)])
+            voted = rest.select("annotator", "j", "accuracy", F.when(F.col("m") > 1, _best(tuple(range(k)), [F.col(f"r{c}") for c in range(k)])).alias("other"))
+            seen = voted.groupBy("annotator").agg(F.max("accuracy").alias("before"), F.count("other").alias("n"), *[F.count(F.when((F.col("j") == j) & (F.col("other") == c), 1)).alias(f"n{j}_{c}") for j in range(k) for c in range(k)])
+            # of equal counts the judgement's own label, then the later
+            meant = [_best(tuple(range(k)), [F.col(f"n{j}_{c}") + (prior if c == j else 0) for c in range(k)]) if read else F.lit(j) for j in range(k)]
+            hits = functools.reduce(operator.add, [F.get(F.array(*[F.col(f"n{j}_{c}") for c in range(k)]), meant[j]) for j in range(k)])
+            now = seen.select("annotator", "before", ((hits + prior * trust) / (F.col("n") + prior)).alias("accuracy"), F.array(*meant).alias("reads"))
+            moved = Observation()
+            known = cut(now.observe(moved, F.max(F.abs(F.col("accuracy") - F.col("before"))).alias("most")), "accuracies")
+            settled = used > 1 and (moved.get["most"] or 0.0) < tolerance
+            if settled or moved.get["most"] is None:
+                settled = True
                 break
-        # an annotator without shared items has no measured worth: such a judgement counts as everybody's does
-        known = votes.join(small(worth), ["annotator", "label"], "left").select(*item, "annotator", "label", *[F.coalesce(F.col(f"w{i}"), F.when(F.col("label") == c, F.lit(-0.5)).otherwise(F.lit(-2.0))).alias(f"w{i}") for i, c in enumerate(labels)])
-        totals = known.groupBy(*item).agg(*[(F.sum(f"w{i}") + base[i]).alias(f"s{i}") for i in range(k)], *[F.sum((F.col("label") == c).cast("long")).alias(f"n{i}") for i, c in enumerate(labels)], F.count("*").alias("votes"))
-        sums = [F.col(f"s{i}") for i in range(k)]
+        if not settled:
+            warnings.warn(f"reweighted voting has not settled after {used} rounds", stacklevel=2)
+        told = _weighed(kept, known, labels, trust)
+        totals = told.groupBy(*item).agg(*[F.sum(F.when(F.col("read") == c, F.col("weight")).otherwise(0.0)).alias(f"s{c}") for c in range(k)], *[F.count(F.when(F.col("j") == c, 1)).alias(f"n{c}") for c in range(k)], F.count("*").alias("votes"))
+        sums = [F.col(f"s{c}") for c in range(k)]
         top = F.greatest(*sums)
-        same = functools.reduce(operator.add, [F.col(f"n{i}") * (F.col(f"n{i}") - 1) for i in range(k)])
+        same = functools.reduce(operator.add, [F.col(f"n{c}") * (F.col(f"n{c}") - 1) for c in range(k)])
         out = totals.select(
             *item,
             _best(labels, sums).alias("label"),
@@ -115,11 +120,12 @@ def reweighted_voting(votes: DataFrame, item: list[str], labels: tuple[str, ...]
             "votes",
             F.when(F.col("votes") > 1, F.round(same / (F.col("votes") * (F.col("votes") - 1)), 6)).alias("agreement"),
         )
-        raters = votes.groupBy("annotator").agg(F.count("*").alias("votes")).join(old, "annotator", "left").withColumn("accuracy", F.coalesce("accuracy", F.lit(0.5)))
-        raters = raters.select("annotator", "votes", F.round("accuracy", 6).alias("accuracy"), F.round(F.greatest(F.lit(0.0), F.ln(F.col("accuracy") * max(1, k - 1) / (1 - F.col("accuracy")))), 6).alias("weight"))
-        return Consensus(cut(out, "consensus"), cut(raters, "raters"), used)
+        names = F.array(*map(F.lit, labels))
+        raters = told.groupBy("annotator").agg(F.count("*").alias("votes"), F.round(F.max("accuracy"), 6).alias("accuracy"), F.round(F.max("weight"), 6).alias("weight"))
+        raters = raters.join(known.select("annotator", "reads"), "annotator", "left").withColumn("reads", F.transform(F.coalesce("reads", F.array(*map(F.lit, range(k)))), lambda x: F.get(names, x)))
+        return Consensus(cut(out, "consensus"), cut(raters, "raters"), used, settled)
     finally:
-        votes.unpersist()
+        kept.unpersist()
 
 
 def krippendorff_nominal(votes: DataFrame, item: list[str], by: list[str] | None = None) -> DataFrame:

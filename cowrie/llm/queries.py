@@ -82,7 +82,9 @@ def p4_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_raters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reweighted_voting(_harm_votes(spark, sf_dir), RESPONSE, HARM).annotators
+    """Accuracy, weight and readings of each rater, and in how many rounds they settled."""
+    found = reweighted_voting(_harm_votes(spark, sf_dir), RESPONSE, HARM)
+    return found.annotators.withColumns({"rounds": F.lit(found.rounds), "settled": F.lit(found.settled)})
 
 
 def p4_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:

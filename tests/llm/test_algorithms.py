@@ -74,8 +74,24 @@ def test_consensus(spark):
     plain_vote = {i: Counter(v for j, _, v in rows if j == i).most_common(1)[0][0] for i in truth}
     right = lambda d: np.mean([d[i] == K.HARM[t] for i, t in truth.items()])
     assert right(got) > right(plain_vote) + 0.05 and right(got) > 0.9
-    acc = {r["annotator"]: r["accuracy"] for r in c.annotators.collect()}
-    assert min(acc[f"r{k}"] for k in range(5)) > 0.75 > acc["r7"] and acc["r6"] < 0.2
+    raters = {r["annotator"]: r for r in c.annotators.collect()}
+    acc = {a: r["accuracy"] for a, r in raters.items()}
+    assert c.settled and min(acc[f"r{k}"] for k in range(5)) > 0.75 > acc["r7"] and acc["r6"] > 0.75
+    assert raters["r6"]["reads"] == list(K.HARM[::-1]) and raters["r0"]["reads"] == list(K.HARM)
+    assert all(abs(r["weight"] - np.log(r["accuracy"] * 3 / (1 - r["accuracy"]))) < 1e-3 for r in raters.values())
+    literal = K.reweighted_voting(votes, ["item"], read=False)
+    worth = {r["annotator"]: r["accuracy"] for r in literal.annotators.collect()}
+    assert worth["r6"] < 0.2 and 0.85 < right({r["item"]: r["label"] for r in literal.labels.collect()}) <= right(got) + 0.02
+    # the reported weights are those that vote
+    sums = {}
+    for i, a, v in rows:
+        sums.setdefault(i, Counter())[raters[a]["reads"][K.HARM.index(v)]] += raters[a]["weight"]
+    assert all(sums[i][got[i]] >= max(sums[i].values()) - 1e-3 for i in truth)
+    import warnings
+
+    with warnings.catch_warnings(record=True) as told:
+        warnings.simplefilter("always")
+        assert not K.reweighted_voting(votes, ["item"], rounds=1).settled and any("not settled" in str(w.message) for w in told)
     one = K.reweighted_voting(spark.createDataFrame([(1, "a", "Low"), (2, "b", "odd")], votes.schema), ["item"])
     assert [tuple(r)[:2] for r in one.labels.collect()] == [(1, "Low")]
     assert K.reweighted_voting(votes.limit(0), ["item"]).labels.count() == 0
