@@ -31,6 +31,8 @@ def test_consistent_form(text, want):
 
 
 def test_script_sets():
+    assert C.resolved_scripts("日本のテスト") == {"Japanese"} and C.resolved_scripts("アー") >= {"Katakana"} and C.resolved_scripts("日本а") == frozenset()
+    assert C.canonical_form("Ꭺgbo ṣe dáadáa") == "Agbo ṣe dáadáa" and C.canonical_form("日本のテスト á") == "日本のテスト á"
     assert C.resolved_scripts("Agbo") == {"Latin"} and C.resolved_scripts("Báwо") == frozenset() and C.resolved_scripts("12") is None
 
 
