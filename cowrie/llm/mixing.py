@@ -10,8 +10,9 @@ Quota: share x total, at most max_repeat x what the source holds; total is the t
 source. A source repeats whole passes over its records before it starts the next one.
 
 Scale: record positions within a source come from a two-level prefix sum over hash buckets, so a source that
-holds a third of all rows is spread over all tasks. The tree and the block table hold at most `blocks` rows
-plus two per source, whatever the corpus.
+holds a third of all rows is spread over all tasks; places within a shard are ranks in 4,096 hash parts, so no task sorts
+a shard. The number of shards grows with the tokens (up to MOST_SHARDS); the tree and the block table hold at most
+`blocks` rows, or eight per shard, plus one per source.
 
 Defined results: records with a null source are in no mixture and not in the total; null and empty texts weigh
 nothing and are in every pass of their source that is drawn at all; sources without a target are left out;
@@ -24,11 +25,15 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cowrie.operators.sampling import hash_order, rank_by_hash
 from cowrie.session import cut, partitions
 
 from .tokens import count_tokens
 
 
+LEAST_SHARDS, MOST_SHARDS, SHARD_TOKENS = 16, 4096, 100_000_000
+
+
 def split_tree(counts: np.ndarray, shards: int, seed: int) -> np.ndarray:
     """(shards, sources) block counts: rows as even in size as can be, columns summing to counts."""
     counts = np.asarray(counts, dtype=np.int64)
@@ -72,27 +77,31 @@ def quotas(sized: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 class Mixture:
-    """records: (shard, place, source, key, copy, tokens); report: one row per target source."""
+    """records: (shard, place, source, key, copy, tokens); report: one row per target source; shards: (shard, source,
+    blocks, records, tokens), blocks as the tree dealt them."""
 
-    def __init__(self, records: DataFrame, report: DataFrame) -> None:
-        self.records, self.report = records, report
+    def __init__(self, records: DataFrame, report: DataFrame, shards: DataFrame) -> None:
+        self.records, self.report, self.shards = records, report, shards
 
 
-def mix_sources(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", shards: int = 16, blocks: int = 4096, seed: int = 42, path: str | None = None) -> Mixture:
-    """Combine docs so that each source has its share of all tokens. targets: (source, target_share, max_repeat)."""
+def mix_sources(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", shards: int | None = None, blocks: int = 4096, seed: int = 42, path: str | None = None) -> Mixture:
+    """Combine docs so that each source has its share of all tokens. targets: (source, target_share, max_repeat).
+    shards: output shards, by default one for each SHARD_TOKENS tokens."""
     spark = docs.sparkSession
     counted = count_tokens(docs.withColumnRenamed(source, "_source") if source != "source" else docs, key, text, ["source" if source == "source" else "_source"], path)
     sized = cut(counted.toDF("key", "source", "tokens"), "sizes")
     plan = cut(quotas(sized, targets), "quotas")
     goals = plan.orderBy("source").collect()  # one row per target source, a configuration table
-    size = max(1, -(-sum(g["quota"] for g in goals) // blocks))  # tokens in a block
+    tokens = sum(g["quota"] for g in goals)
+    shards = shards or min(MOST_SHARDS, max(LEAST_SHARDS, -(-tokens // SHARD_TOKENS)))
+    size = max(1, -(-tokens // max(blocks, 8 * shards)))  # tokens in a block
     counts = np.array([-(-g["quota"] // size) for g in goals], dtype=np.int64)
     dealt = deal_blocks(counts, shards, seed) if goals else []
     table = spark.createDataFrame([(goals[s]["source"], b, k) for s, b, k in dealt], "source string, block long, shard int")  # at most blocks + one per source
 
     # place of each record on its source's line of tokens, in hash order, by a two-level prefix sum
     n = partitions(sized, 64)
-    wide = sized.join(F.broadcast(plan.where("quota > 0").select("source", "own", "quota")), "source").withColumn("h", F.xxhash64(F.lit(seed), "key")).withColumn("bucket", F.pmod("h", F.lit(n)))
+    wide = sized.join(plan.where("quota > 0").select("source", "own", "quota"), "source").withColumn("h", F.xxhash64(F.lit(seed), "key")).withColumn("bucket", F.pmod("h", F.lit(n)))
     sums = wide.groupBy("source", "bucket").agg(F.sum("tokens").alias("t"))
     offset = sums.withColumn("before", F.coalesce(F.sum("t").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("t")
     inner = Window.partitionBy("source", "bucket").orderBy("h", "key").rowsBetween(Window.unboundedPreceding, -1)
@@ -101,11 +110,14 @@ def mix_sources(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text:
     passes = F.ceil(F.col("quota") / F.col("own")).cast("int")
     copies = placed.withColumn("copy", F.explode(F.sequence(F.lit(0), passes - 1))).withColumn("at", F.col("copy") * F.col("own") + F.col("start"))
     drawn = copies.where("at + tokens / 2 < quota").withColumn("block", F.least(F.floor(F.col("at") / size), F.floor((F.col("quota") - 1) / size)))
-    dealt_records = drawn.join(F.broadcast(table), ["source", "block"]).select("shard", "source", "key", "copy", "tokens")
-    order = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 1), "key", "copy"), "key", "copy")
-    records = dealt_records.withColumn("place", F.row_number().over(order)).select("shard", "place", "source", "key", "copy", "tokens")
+    dealt_records = cut(drawn.join(table, ["source", "block"]).select("shard", "source", "block", "key", "copy", "tokens"), "dealt")
+    ranked = rank_by_hash(dealt_records, ["shard"], ["key", "copy"], hash_order(seed + 1, F.col("key"), F.col("copy")))
+    records = ranked.select("shard", F.col("rank").alias("place"), "source", "key", "copy", "tokens")
     used = dealt_records.groupBy("source").agg(F.sum("tokens").alias("used"), F.count("*").alias("records"), (F.max("copy") + 1).alias("most_copies"))
+    held = dealt_records.groupBy("shard", "source").agg(F.count("*").alias("records"), F.sum("tokens").alias("tokens"))
+    by_shard = table.groupBy("shard", "source").agg(F.count("*").alias("blocks")).join(held, ["shard", "source"], "left").na.fill(0, ["records", "tokens"])
     everything = F.sum("used").over(Window.partitionBy())  # a window over the report's rows
-    report = plan.join(F.broadcast(used), "source", "left").na.fill(0, ["used", "records", "most_copies"])
+    report = plan.join(used, "source", "left").na.fill(0, ["used", "records", "most_copies"])
     report = report.withColumn("actual_share", F.when(everything > 0, F.round(F.col("used") / everything, 6)).otherwise(0.0))
-    return Mixture(records, report.select("source", "target_share", "max_repeat", "own", "wanted", "quota", "used", "records", "most_copies", "actual_share", "reachable"))
+    report = report.select("source", "target_share", "max_repeat", "own", "wanted", "quota", "used", "records", "most_copies", "actual_share", "reachable")
+    return Mixture(records, report, by_shard)

@@ -170,13 +170,20 @@ def _mixture(spark: SparkSession, sf_dir: str):
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mixture(spark, sf_dir).report.where("not reachable").select("source")
+    """Sources whose dealt tokens fall short of what is wanted; whether they could not but fall short is then checked
+    exactly, as a reachable source may miss its share by a part of a record."""
+    return _mixture(spark, sf_dir).report.where("used < wanted").where("not reachable").select("source")
 
 
 def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir).report
 
 
+def p9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks, records and tokens of each source in each output shard."""
+    return _mixture(spark, sf_dir).shards
+
+
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir).records
 
@@ -199,6 +206,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             p1_found, p1_forms, p2_found, p2_assignment, p2_balance, p3_found, p3_labels, p4_found, p4_labels, p4_raters, p4_ratings, p4_agreement,
-            p5_found, p5_groups, p6_found, p6_report, p6_membership, p7_found, p7_segments, p7_documents, p7_answers, p8_ids, p9_found, p9_report, p9_mixture, p10_found, p10_statistics,
+            p5_found, p5_groups, p6_found, p6_report, p6_membership, p7_found, p7_segments, p7_documents, p7_answers, p8_ids, p9_found, p9_report, p9_shards, p9_mixture, p10_found, p10_statistics,
         )
     }

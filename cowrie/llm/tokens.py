@@ -6,8 +6,9 @@ the first boundary that two neighbouring chunks share in their overlap is a true
 there, and where none is shared the piece goes on into the next chunk. The pieces between the stitches are
 encoded on their own. Decoding concatenates the tokens' raw bytes.
 
-Scale: a long text is spread over as many tasks as it has chunks; only boundary offsets within overlaps are
-compared. Texts up to `chunk` are encoded where they are read, without a shuffle.
+Scale: chunks of a long text are spread over all tasks, pre-tokenised there, and only the lists of boundaries within
+overlaps come together by text; the pieces are spread again, by text and piece, and encoded in as many tasks. Texts up
+to `chunk` are encoded where they are read, without a shuffle.
 
 Defined results: null and empty texts give an empty list of ids; whitespace is text; strings of special tokens
 are ordinary text; every row of the input gives one row, repeated keys included; further columns are dropped.
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cowrie.session import slots, spread
+from cowrie.session import cut, partitions, slots, spread
 
 #: Where the public vocabulary files lie; every function takes another place as a parameter.
 FOLDER = os.environ.get("COWRIE_TOKENIZERS", "/opt/tokenizers")
@@ -91,13 +92,32 @@ def _count_udf(path: str):
     return count
 
 
+def _chunks(df: DataFrame, text: str, keys: list[str], chunk: int, overlap: int) -> DataFrame:
+    """(keys..., _no, _last, _part): overlapping chunks of df's texts, each once, spread over tasks by row and number."""
+    flat = df.select(*keys, F.col(text).alias("_text"))
+    schema = T.StructType([*flat.schema.fields[:-1], T.StructField("_no", T.IntegerType()), T.StructField("_last", T.BooleanType()), T.StructField("_part", T.StringType())])
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for i in range(len(pdf)):
+                row = pdf.iloc[[i]]
+                body = row["_text"].iloc[0]
+                starts = range(0, len(body), chunk)
+                for at in range(0, len(starts), 256):  # a text's chunks leave in bounded batches
+                    some = starts[at : at + 256]
+                    out = row[keys].loc[row.index.repeat(len(some))].reset_index(drop=True)
+                    yield out.assign(_no=np.arange(at, at + len(some), dtype=np.int32), _last=[s + chunk >= len(body) for s in some], _part=[body[s : s + chunk + overlap] for s in some])
+
+    return flat.mapInPandas(run, schema).repartition(partitions(df, slots(df.sparkSession)), keys[-1], "_no")
+
+
 def pieces(df: DataFrame, text: str, keys: list[str], chunk: int, overlap: int) -> DataFrame:
-    """(keys..., piece, text): texts cut at true pre-token boundaries, about `chunk` characters each."""
-    starts = F.sequence(F.lit(0), F.length(text) - 1, F.lit(chunk))
-    rows = df.select(*keys, F.col(text).alias("_text"), F.length(text).alias("_len"), F.posexplode(starts).alias("_no", "_start"))
-    rows = rows.select(*keys, "_no", "_start", (F.col("_start") + chunk >= F.col("_len")).alias("_last"), F.expr(f"substring(_text, _start + 1, {chunk + overlap})").alias("_part"))
+    """(keys..., piece, text): texts cut at true pre-token boundaries, about `chunk` characters each, spread over tasks
+    by text and piece. The last of keys is a number of its own for each row and not null."""
+    row = keys[-1]
+    chunks = cut(_chunks(df, text, keys, chunk, overlap), "chunks")
 
-    @F.pandas_udf("head array<int>, tail array<int>, sure array<int>")
+    @F.pandas_udf("head array<int>, tail array<int>, sure array<int>, length int")
     def ends(parts: pd.Series, last: pd.Series) -> pd.DataFrame:
         heads, tails, sure = [], [], []
         for part, final in zip(parts, last, strict=True):
@@ -106,25 +126,27 @@ def pieces(df: DataFrame, text: str, keys: list[str], chunk: int, overlap: int)
             tail = (at[(at >= chunk) & (at < chunk + overlap)] - chunk).astype(np.int32)
             tails.append(tail)
             sure.append([int(b) for b in tail if chunk + b < len(part) and part[chunk + b].isspace()])
-        return pd.DataFrame({"head": heads, "tail": tails, "sure": sure})
+        return pd.DataFrame({"head": heads, "tail": tails, "sure": sure, "length": [len(p) for p in parts]})
+
+    # offsets within an overlap, counted from the start of the later chunk, in both lists; the texts stay where they are
+    lists = chunks.select(row, "_no", "_last", ends("_part", "_last").alias("_ends")).select(row, "_no", "_last", "_ends.*")
+    order = Window.partitionBy(row).orderBy("_no")
 
-    # offsets within an overlap, counted from the start of the later chunk, in both lists
-    rows = rows.repartition(max(slots(df.sparkSession), 1), *keys, "_no").withColumn("_ends", ends("_part", "_last"))
-    order = Window.partitionBy(*keys).orderBy("_no")
     def shared(tail: str) -> Column:
-        return F.when(F.col("_no") == 0, 0).otherwise(F.array_min(F.array_intersect(F.lag(tail).over(order), F.col("_ends.head"))))
+        return F.when(F.col("_no") == 0, 0).otherwise(F.array_min(F.array_intersect(F.lag(tail).over(order), F.col("head"))))
 
     # A shared boundary is true if the earlier chunk is itself in step. Where a chain of steps breaks in a text,
     # only ends of words before a blank are used there: they are boundaries in any reading.
-    rows = rows.withColumns({"_sync": shared("_ends.tail"), "_sure": shared("_ends.sure")})
-    broken = F.max(F.col("_sync").isNull()).over(Window.partitionBy(*keys))
-    rows = rows.withColumn("_sync", F.when(broken, F.col("_sure")).otherwise(F.col("_sync")))
-    rows = rows.withColumn("_next", F.lead("_sync").over(order)).withColumn("piece", F.last(F.when(F.col("_sync").isNotNull(), F.col("_no")), ignorenulls=True).over(order))
+    lists = lists.withColumns({"_sync": shared("tail"), "_sure": shared("sure")})
+    broken = F.max(F.col("_sync").isNull()).over(Window.partitionBy(row))
+    lists = lists.withColumn("_sync", F.when(broken, F.col("_sure")).otherwise(F.col("_sync")))
+    lists = lists.withColumn("_next", F.lead("_sync").over(order)).withColumn("piece", F.last(F.when(F.col("_sync").isNotNull(), F.col("_no")), ignorenulls=True).over(order))
     begin = F.coalesce("_sync", F.lit(0))
-    end = F.when(F.col("_last"), F.length("_part")).otherwise(F.lit(chunk) + F.coalesce("_next", F.lit(0)))
-    rows = rows.select(*keys, "piece", "_no", F.substring(F.col("_part"), begin + 1, end - begin).alias("_cut"))
+    end = F.when(F.col("_last"), F.col("length")).otherwise(F.lit(chunk) + F.coalesce("_next", F.lit(0)))
+    where = lists.select(row, "_no", "piece", begin.alias("_begin"), (end - begin).alias("_take"))
+    rows = chunks.join(where, [row, "_no"]).select(*keys, "piece", "_no", F.substring(F.col("_part"), F.col("_begin") + 1, F.col("_take")).alias("_cut"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_no", "_cut"))), lambda x: x["_cut"]), "")
-    return rows.groupBy(*keys, "piece").agg(joined.alias("text"))
+    return rows.repartition(partitions(df, slots(df.sparkSession)), *keys, "piece").groupBy(*keys, "piece").agg(joined.alias("text"))
 
 
 def _long_and_short(df: DataFrame, key: str, text: str, chunk: int) -> tuple[DataFrame, DataFrame]:

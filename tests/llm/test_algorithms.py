@@ -239,4 +239,13 @@ def test_mixture(spark):
     assert abs(rep["small"]["used"] - rep["small"]["quota"]) <= 20 and rep["tiny"]["most_copies"] == 2 and rep["absent"]["used"] == 0
     rows = mix.records.collect()
     assert len({(r["key"], r["copy"]) for r in rows}) == len(rows) and {r["shard"] for r in rows} == {0, 1, 2, 3} and sum(r["tokens"] for r in rows) == sum(r["used"] for r in rep.values())
+    # the shards are what the tree dealt, and places run through each of them
+    dealt = {(r["shard"], r["source"]): r for r in mix.shards.collect()}
+    tree = M.split_tree(np.array([-(-rep[s]["quota"] // max(1, -(-sum(r["quota"] for r in rep.values()) // 64))) for s in sorted(rep)]), 4, 42)
+    assert {(k, s): int(n) for k, row in enumerate(tree) for s, n in zip(sorted(rep), row, strict=True) if n} == {k: r["blocks"] for k, r in dealt.items()}
+    assert {k: (r["records"], r["tokens"]) for k, r in dealt.items() if r["records"]} == {k: (n, sum(r["tokens"] for r in rows if (r["shard"], r["source"]) == k)) for k, n in Counter((r["shard"], r["source"]) for r in rows).items()}
+    for k in range(4):
+        assert sorted(r["place"] for r in rows if r["shard"] == k) == list(range(1, sum(r["shard"] == k for r in rows) + 1))
+    most = Counter((r["source"], r["key"]) for r in rows)
+    assert all(n <= {"big": 1, "small": 20, "tiny": 2}[s] for (s, _), n in most.items()) and abs(sum(r["actual_share"] for r in rep.values()) - 1) < 1e-5
     assert M.mix_sources(df.limit(0), goal).records.count() == 0

@@ -55,6 +55,18 @@ def test_encoding_is_exact(spark):
     assert {r["tokens"] for r in T.count_tokens(df, chunk=300, overlap=40).where("doc_id = 2").collect()} == {len(got[2])}
 
 
+def test_pieces_of_one_text_are_spread(spark):
+    text = "ọ̀rọ̀ kan, àti òmíràn. " * 2000
+    df = spark.createDataFrame([(None, text)], "doc_id long, text string").withColumn("_row", F.lit(7).cast("long"))
+    cut = T.pieces(df, "text", ["doc_id", "_row"], 500, 60).withColumn("task", F.spark_partition_id())
+    rows = cut.collect()
+    assert len(rows) > 50 and len({r["task"] for r in rows}) == 4
+    assert "".join(r["text"] for r in sorted(rows, key=lambda r: r["piece"])) == text
+    chunks = T._chunks(df, "text", ["doc_id", "_row"], 500, 60).withColumn("task", F.spark_partition_id())
+    assert len({r["task"] for r in chunks.select("task").collect()}) == 4
+    assert T.encode_corpus(df.drop("_row"), chunk=500, overlap=60).first()["ids"] == T.encode(text, PATH)
+
+
 SENTENCES = {
     "yo": ["Ọmọ náà lọ sí ọjà pẹ̀lú ìyá rẹ̀ ní àárọ̀.", "Àwọn olùkọ́ ní ilé ìwé ń kọ́ àwọn ọmọ ní ọ̀rọ̀ ìlera.", "Wọ́n ra ẹja àti ata kí òjò tó bẹ̀rẹ̀.", "Ẹ jẹ́ kí a mu omi tó mọ́ lójoojúmọ́."],
     "en": ["The children went to the market with their mother.", "Teachers at the school tell the pupils about health.", "They bought fish and pepper before the rain began.", "Let us drink clean water every day."],
