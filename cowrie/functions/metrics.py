@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .grams import mixed
 from .text import bare
 
 CHAR_ORDER, WORD_ORDER, BLEU_ORDER = 6, 2, 4
@@ -27,6 +28,60 @@ def _grams(seq, n: int) -> Counter:
     return Counter(tuple(seq[i : i + n]) for i in range(len(seq) - n + 1))
 
 
+#: Pairs whose n-grams are counted together: their number takes fourteen bits of a key, an n-gram's hash the other 50.
+TOGETHER = 1 << 14
+
+
+def _sequences(rows: list[list], codes: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(items as numbers, row of each) of rows of characters (strings) or, with codes, of words."""
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    if codes is None:
+        return np.frombuffer("".join(rows).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64), owner
+    return np.array([codes.setdefault(w, len(codes)) for r in rows for w in r], dtype=np.uint64), owner
+
+
+def _counted(items: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key of row and n-gram, occurrences), by key."""
+    h = mixed(items, 41)
+    for k in range(1, n):
+        h = h[:-1] * np.uint64(0xD1B54A32D192ED03) + mixed(items[k:], 41)
+    last = len(items) - n + 1
+    whole = owner[:last] == owner[n - 1 :] if last > 0 else np.zeros(0, dtype=bool)
+    key = (owner[: len(whole)][whole].astype(np.uint64) << np.uint64(50)) | (mixed(h[: len(whole)][whole], 42) >> np.uint64(14))
+    return np.unique(key, return_counts=True)
+
+
+def _matches(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], n: int, rows: int) -> list[np.ndarray]:
+    """(n-grams of a, of b, matches) for each row."""
+    (x, nx), (y, ny) = _counted(*a, n), _counted(*b, n)
+    at = np.searchsorted(x, y)
+    hit = at < len(x)
+    hit[hit] = x[at[hit]] == y[hit]
+    of = lambda key, w: np.bincount((key >> np.uint64(50)).astype(np.int64), weights=w, minlength=rows).astype(np.int64)
+    return [of(x, nx), of(y, ny), of(y[hit], np.minimum(nx[at[hit]], ny[hit]))]
+
+
+def all_statistics(hyps: list[str], refs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """chrf_statistics and bleu_statistics of all pairs, one row per pair, by whole-array arithmetic."""
+    chrf, bleu = [], []
+    for at in range(0, len(hyps), TOGETHER):
+        h, r = hyps[at : at + TOGETHER], refs[at : at + TOGETHER]
+        n = len(h)
+        a, b = (_sequences(["".join(t.split()) for t in side]) for side in (h, r))
+        out = [x for k in range(1, CHAR_ORDER + 1) for x in _matches(a, b, k, n)]
+        codes: dict[str, int] = {}
+        a, b = (_sequences([_edge_punctuation(t) for t in side], codes) for side in (h, r))
+        chrf.append(np.stack(out + [x for k in range(1, WORD_ORDER + 1) for x in _matches(a, b, k, n)], axis=1))
+        hw, rw = ([_bleu_words(t) for t in side] for side in (h, r))
+        a, b = _sequences(hw, codes), _sequences(rw, codes)
+        out = [np.array([len(w) for w in hw]), np.array([len(w) for w in rw])]
+        for k in range(1, BLEU_ORDER + 1):
+            total, _, hits = _matches(a, b, k, n)
+            out += [hits, total]
+        bleu.append(np.stack(out, axis=1))
+    return np.concatenate(chrf or [np.zeros((0, 3 * (CHAR_ORDER + WORD_ORDER)), np.int64)]), np.concatenate(bleu or [np.zeros((0, 2 + 2 * BLEU_ORDER), np.int64)])
+
+
 def _edge_punctuation(text: str) -> list[str]:
     """Words with one leading or trailing ASCII punctuation mark as a word of its own."""
     out = []
@@ -110,21 +165,28 @@ def rouge_l(hyp: str, ref: str, unicode_words: bool = False) -> float:
     a, b = re.findall(pattern, hyp.lower()), re.findall(pattern, ref.lower())
     if not a or not b:
         return 0.0
-    code = {w: i for i, w in enumerate(dict.fromkeys(a + b))}
-    x, y = np.array([code[w] for w in a]), [code[w] for w in b]
-    row = np.zeros(len(a) + 1, dtype=np.int64)
-    for w in y:  # one row of the table at a time
-        hit = np.concatenate([[0], row[:-1] + (x == w)])
-        row = np.maximum.accumulate(np.maximum(row, hit))
-    lcs = int(row[-1])
+    masks: dict[str, int] = {}
+    for i, w in enumerate(a):
+        masks[w] = masks.get(w, 0) | 1 << i
+    v = full = (1 << len(a)) - 1
+    for w in b:  # one row of the table of common subsequences at a time, as bits
+        if m := masks.get(w):
+            u = v & m
+            v = ((v + u) | (v - u)) & full
+    lcs = len(a) - v.bit_count()
     p, r = lcs / len(a), lcs / len(b)
     return 2 * p * r / (p + r) if lcs else 0.0
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def _bare_word(word: str) -> str:
+    return bare(word).lower()
+
+
 def diacritic_accuracy(hyp: str, ref: str) -> float:
     """Of the words that align when marks and case are dropped, the share whose marks agree; 0 if none aligns."""
     a, b = unicodedata.normalize("NFC", hyp).split(), unicodedata.normalize("NFC", ref).split()
-    match = difflib.SequenceMatcher(None, [bare(w).lower() for w in a], [bare(w).lower() for w in b], autojunk=False)
+    match = difflib.SequenceMatcher(None, [_bare_word(w) for w in a], [_bare_word(w) for w in b], autojunk=False)
     same = total = 0
     for block in match.get_matching_blocks():
         total += block.size
@@ -146,12 +208,37 @@ def _pairwise(function, kind: T.DataType, hyp: Column, ref: Column) -> Column:
     return F.pandas_udf(run, kind)(hyp, ref)
 
 
+def _filled(texts: pd.Series) -> list[str]:
+    return [t or "" for t in texts]
+
+
+@F.pandas_udf(T.DoubleType())
+def _chrf(hyps: pd.Series, refs: pd.Series) -> pd.Series:
+    return pd.Series([chrf_score(x) for x in all_statistics(_filled(hyps), _filled(refs))[0].tolist()], dtype=float)
+
+
+@F.pandas_udf(T.DoubleType())
+def _bleu(hyps: pd.Series, refs: pd.Series) -> pd.Series:
+    return pd.Series([bleu_score(x) for x in all_statistics(_filled(hyps), _filled(refs))[1].tolist()], dtype=float)
+
+
+_SCORES = T.StructType([T.StructField("c", T.ArrayType(T.LongType())), T.StructField("b", T.ArrayType(T.LongType())), *[T.StructField(c, T.DoubleType()) for c in ("chrf", "rouge", "dia")]])
+
+
+@F.pandas_udf(_SCORES)
+def _all_scores(hyps: pd.Series, refs: pd.Series) -> pd.DataFrame:
+    h, r = _filled(hyps), _filled(refs)
+    c, b = all_statistics(h, r)
+    pairs = list(zip(h, r, strict=True))
+    return pd.DataFrame({"c": list(c), "b": list(b), "chrf": [chrf_score(x) for x in c.tolist()], "rouge": [rouge_l(x, y) for x, y in pairs], "dia": [diacritic_accuracy(x, y) for x, y in pairs]})
+
+
 def sentence_chrf(hyp: Column, ref: Column) -> Column:
-    return _pairwise(lambda a, b: chrf_score(chrf_statistics(a, b)), T.DoubleType(), hyp, ref)
+    return _chrf(hyp, ref)
 
 
 def sentence_bleu(hyp: Column, ref: Column) -> Column:
-    return _pairwise(lambda a, b: bleu_score(bleu_statistics(a, b)), T.DoubleType(), hyp, ref)
+    return _bleu(hyp, ref)
 
 
 def sentence_rouge_l(hyp: Column, ref: Column, unicode_words: bool = False) -> Column:
@@ -167,15 +254,9 @@ def character_similarity(a: Column, b: Column, autojunk: bool = True) -> Column:
 
 
 def corpus_scores(df: DataFrame, by: list[str], hyp: str = "hypothesis", ref: str = "reference") -> DataFrame:
-    """(by..., n, corpus_chrf, corpus_bleu, chrf, rouge_l, diacritics): sums of statistics, then the formulas."""
-    stats = df.select(
-        *by,
-        _pairwise(chrf_statistics, T.ArrayType(T.LongType()), F.col(hyp), F.col(ref)).alias("c"),
-        _pairwise(bleu_statistics, T.ArrayType(T.LongType()), F.col(hyp), F.col(ref)).alias("b"),
-        sentence_rouge_l(F.col(hyp), F.col(ref)).alias("rouge"),
-        sentence_diacritics(F.col(hyp), F.col(ref)).alias("dia"),
-        sentence_chrf(F.col(hyp), F.col(ref)).alias("chrf"),
-    )
+    """(by..., n, corpus_chrf, corpus_bleu, chrf, rouge_l, diacritics): sums of statistics, then the formulas. All
+    statistics of a pair come from one pass."""
+    stats = df.select(*by, _all_scores(F.col(hyp), F.col(ref)).alias("x")).select(*by, "x.*")
     nc, nb = 3 * (CHAR_ORDER + WORD_ORDER), 2 + 2 * BLEU_ORDER
     sums = stats.groupBy(*by).agg(
         F.count("*").alias("n"), F.array(*[F.sum(F.col("c")[i]) for i in range(nc)]).alias("c"), F.array(*[F.sum(F.col("b")[i]) for i in range(nb)]).alias("b"), F.avg("chrf").alias("chrf"), F.avg("rouge").alias("rouge_l"), F.avg("dia").alias("diacritics")

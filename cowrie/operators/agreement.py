@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -134,60 +135,49 @@ def paired_points(pairs: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     return out.select(*by, "n", *[F.round(c, 6).alias(c) for c in ("mean_a", "mean_b", "diff")], F.round(F.when(F.col("sd") > 0, F.col("diff") / F.col("sd")).otherwise(0.0), 6).alias("effect"))
 
 
-def bootstrap(diffs: np.ndarray, resamples: int, level: float, seed: int, chunk: int = 4_000_000) -> dict[str, float]:
-    """Mean difference, percentile interval and doubled one-sided p of resampled means; chunked, so that memory does
-    not grow with the number of pairs."""
-    rng = np.random.default_rng(seed)
-    n = len(diffs)
-    means = np.empty(resamples)
-    step = max(1, chunk // max(1, n))
-    for at in range(0, resamples, step):
-        m = min(step, resamples - at)
-        means[at : at + m] = diffs[rng.integers(0, n, size=(m, n))].mean(axis=1)
-    mean = float(diffs.mean())
-    side = float((means <= 0).mean()) if mean >= 0 else float((means >= 0).mean())
-    low, high = np.quantile(means, [(1 - level) / 2, (1 + level) / 2])
-    sd = float(diffs.std(ddof=1)) if n > 1 else 0.0
-    return {"diff": mean, "ci_low": float(low), "ci_high": float(high), "p_value": min(1.0, 2 * side), "effect": mean / sd if sd else 0.0}
-
-
-def paired_bootstrap(pairs: DataFrame, by: str, key: str, a: str, b: str, resamples: int = 1000, level: float = 0.95, seed: int = 42, exact_up_to: int = 2_000_000) -> DataFrame:
-    """(by, n, diff, ci_low, ci_high, p_value, effect) of b - a for each group.
-
-    A group of up to `exact_up_to` pairs is resampled in one task. A larger one is resampled where its rows lie: each
-    row is drawn Poisson(1) times per resample, which is the limit of drawing with replacement, and only the sums of
-    each resample meet."""
-    rows = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(by, key, (F.col(b) - F.col(a)).alias("d"))
-    sizes = rows.groupBy(by).agg(F.count("*").alias("n"))
-
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = bootstrap(pdf.sort_values(key)["d"].to_numpy(float), resamples, level, seed)
-        return pd.DataFrame([{by: pdf[by].iloc[0], "n": len(pdf), **{k: round(v, 6) for k, v in out.items()}}])
+def resample_shares(sizes: np.ndarray, resamples: int, seed: list[int]) -> np.ndarray:
+    """(resamples, blocks): how many of a resample's draws fall into each block of rows; every row is equally likely."""
+    return np.random.default_rng(seed).multinomial(int(sizes.sum()), sizes / sizes.sum(), size=resamples)
+
+
+def block_sums(diffs: np.ndarray, draws: np.ndarray, seed: list[int], chunk: int = 4_000_000) -> np.ndarray:
+    """For each resample the sum of draws[k] rows of a block, drawn with replacement; chunked, so that memory does not
+    grow with the rows."""
+    rng, n, out = np.random.default_rng(seed), len(diffs), np.zeros(len(draws))
+    step, at = max(1, chunk // max(1, int(draws.max(initial=1)))), 0
+    while at < len(draws):
+        some = draws[at : at + step]
+        picked = diffs[rng.integers(0, n, size=int(some.sum()))]
+        ends = np.cumsum(some)
+        total = np.concatenate([[0.0], np.cumsum(picked)])
+        out[at : at + step] = total[ends] - total[ends - some]
+        at += step
+    return out
+
+
+def paired_bootstrap(pairs: DataFrame, by: str, key: str, a: str, b: str, resamples: int = 1000, level: float = 0.95, seed: int = 42, block: int = 200_000) -> DataFrame:
+    """(by, n, diff, ci_low, ci_high, p_value, effect) of b - a for each group: percentile interval and doubled
+    one-sided p of resampled means.
+
+    A group's rows are resampled in hash blocks of about `block` rows, each in a task: how many draws of each resample
+    fall into a block is drawn first, from one seed for all blocks, so together they are draws with replacement from the
+    whole group, whatever its size. Only the sums of the resamples meet."""
+    rows = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(by, F.col(key).cast("string").alias("_key"), (F.col(b) - F.col(a)).alias("d"))
+    points = rows.groupBy(by).agg(F.count("*").alias("n"), F.avg("d").alias("diff"), F.stddev_samp("d").alias("sd"))
+    blocked = rows.join(points.select(by, F.ceil(F.col("n") / block).alias("_blocks")), by).withColumn("_block", F.pmod(F.xxhash64("_key"), F.col("_blocks")))
+    sizes = blocked.groupBy(by, "_block").agg(F.count("*").alias("s")).groupBy(by).agg(F.sort_array(F.collect_list(F.struct("_block", "s"))).alias("_sizes"))  # n / block entries
+
+    def drawn(pdf: pd.DataFrame) -> pd.DataFrame:
+        name, mine, sizes = pdf[by].iloc[0], int(pdf["_block"].iloc[0]), pdf["_sizes"].iloc[0]
+        at = [x["_block"] for x in sizes].index(mine)
+        group = zlib.crc32(str(name).encode())
+        draws = resample_shares(np.array([x["s"] for x in sizes], dtype=np.int64), resamples, [seed, group])[:, at]
+        sums = block_sums(pdf.sort_values(["_key", "d"])["d"].to_numpy(float), draws, [seed, group, mine])
+        return pd.DataFrame({by: name, "r": np.arange(resamples), "s": sums})
 
     kind = pairs.schema[by].dataType.simpleString()
-    schema = f"{by} {kind}, n long, diff double, ci_low double, ci_high double, p_value double, effect double"
-    small = rows.join(F.broadcast(sizes.where(F.col("n") <= exact_up_to).select(by)), by, "left_semi")
-    out = small.groupBy(by).applyInPandas(whole, schema)
-    if sizes.where(F.col("n") > exact_up_to).isEmpty():
-        return out
-
-    def drawn(parts):
-        sums: dict = {}
-        for pdf in parts:
-            for g, part in pdf.groupby(by):
-                d = part["d"].to_numpy(float)
-                s = sums.setdefault(g, np.zeros((resamples, 2)))
-                seeds = part[key].map(lambda k: hash(str(k)) & 0x7FFFFFFF).to_numpy()
-                for x, sd in zip(d, seeds, strict=True):
-                    w = np.random.default_rng([seed, int(sd)]).poisson(1.0, resamples)
-                    s[:, 0] += w * x
-                    s[:, 1] += w
-        for g, s in sums.items():
-            yield pd.DataFrame({by: g, "r": np.arange(resamples), "s": s[:, 0], "w": s[:, 1]})
-
-    big = rows.join(F.broadcast(sizes.where(F.col("n") > exact_up_to).select(by)), by, "left_semi")
-    means = big.mapInPandas(drawn, f"{by} {kind}, r long, s double, w double").groupBy(by, "r").agg((F.sum("s") / F.sum("w")).alias("m"))
-    points = big.groupBy(by).agg(F.count("*").alias("n"), F.avg("d").alias("diff"), F.stddev_samp("d").alias("sd"))
+    sums = blocked.join(sizes, by).groupBy(by, "_block").applyInPandas(drawn, f"{by} {kind}, r long, s double")
+    means = sums.groupBy(by, "r").agg(F.sum("s").alias("s")).join(points.select(by, "n"), by).select(by, (F.col("s") / F.col("n")).alias("m"))
     tail = means.groupBy(by).agg(F.percentile("m", (1 - level) / 2).alias("ci_low"), F.percentile("m", (1 + level) / 2).alias("ci_high"), F.avg((F.col("m") <= 0).cast("int")).alias("le"), F.avg((F.col("m") >= 0).cast("int")).alias("ge"))
-    large = points.join(tail, by).select(by, "n", F.round("diff", 6).alias("diff"), F.round("ci_low", 6).alias("ci_low"), F.round("ci_high", 6).alias("ci_high"), F.round(F.least(F.lit(1.0), 2 * F.when(F.col("diff") >= 0, F.col("le")).otherwise(F.col("ge"))), 6).alias("p_value"), F.round(F.when(F.col("sd") > 0, F.col("diff") / F.col("sd")).otherwise(0.0), 6).alias("effect"))
-    return out.unionByName(large)
+    p_value = F.least(F.lit(1.0), 2 * F.when(F.col("diff") >= 0, F.col("le")).otherwise(F.col("ge")))
+    return points.join(tail, by).select(by, "n", F.round("diff", 6).alias("diff"), F.round("ci_low", 6).alias("ci_low"), F.round("ci_high", 6).alias("ci_high"), F.round(p_value, 6).alias("p_value"), F.round(F.when(F.col("sd") > 0, F.col("diff") / F.col("sd")).otherwise(0.0), 6).alias("effect"))

@@ -148,6 +148,35 @@ def edit_problems() -> Column:
     return problems({**{f"{c} missing": trimmed(c) == "" for c in ("id", *texts)}, **{f"{c} not Yoruba": _foreign(trimmed(c)) for c in texts}})
 
 
+def released(df: DataFrame) -> DataFrame:
+    """Working records as released records: those with a question and an answer, instruction_nodia derived, a missing
+    topic or type filled with its default, flags that are not set as false."""
+    filled = df.where(blank_to_null(F.col("question_yo_final")).isNotNull() & blank_to_null(F.col("answer_yo_final")).isNotNull())
+    text = lambda c, default="": F.coalesce(F.col(c), F.lit(default))
+    return filled.select(
+        "id", "claim_id", F.col("question_yo_final").alias("instruction"), strip_diacritics(F.col("question_yo_final")).alias("instruction_nodia"), F.lit("").alias("input"), F.col("answer_yo_final").alias("output"),
+        text("topic", "unclassified").alias("topic"), text("question_type", "derived").alias("question_type"), text("answer_en").alias("source_en"), text("source_ref").alias("source_ref"),
+        *[F.coalesce(F.col(c), F.lit(False)).alias(c) for c in ("validated_ling", "validated_clin")],
+    )
+
+
+#: What a cell of a suggested flag reads until a person has confirmed or cleared it, and what confirms it.
+SUGGESTED, CONFIRMED = "SUGGESTED", ("TRUE", "YES", "1", "X")
+
+
+def unresolved_flags(df: DataFrame, key: str, flags: list[str]) -> DataFrame:
+    """(key, flag) of cells that still read as suggested."""
+    long = df.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("flag"), F.upper(F.trim(F.col(f).cast("string"))).alias("v")) for f in flags])).alias("x"))
+    return long.where(F.col("x.v") == SUGGESTED).select(key, "x.flag")
+
+
+def confirmed_flags(df: DataFrame, key: str, flags: list[str]) -> DataFrame:
+    """df with the flag cells as booleans; an error if any is still only suggested."""
+    if left := unresolved_flags(df, key, flags).limit(20).collect():
+        raise GateError(f"suggested flags that nobody has confirmed or cleared: {left}")
+    return df.withColumns({f: F.coalesce(F.upper(F.trim(F.col(f).cast("string"))).isin(*CONFIRMED), F.lit(False)) for f in flags})
+
+
 def verdict_problems(verdict: Column, reason: Column) -> Column:
     clean = F.lower(F.trim(verdict))
     return problems({"verdict unknown": verdict.isNull() | ~clean.isin("pass", "fail"), "reason missing": (clean == "fail") & blank_to_null(reason).isNull()})

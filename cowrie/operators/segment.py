@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -100,6 +101,27 @@ def question_for(category: Column, topic: Column, categories: list[Category], ge
     return F.replace(template, F.lit("{topic}"), topic)
 
 
+def slug_topic(slug: Column, topics: dict[str, str], valid: tuple[str, ...]) -> Column:
+    """The topic of a slug; null if it has none, or one that is not valid."""
+    pairs = F.create_map(*[F.lit(x) for kv in topics.items() if kv[1] in valid for x in kv])
+    return F.element_at(pairs, slug)
+
+
+def source_reference(source: Column, slug: Column, date: Column, licence: Column) -> Column:
+    return F.format_string("%s (%s), retrieved %s, licence: %s", source, slug, date, licence)
+
+
+def with_question(df: DataFrame, claim: str, topic: str, categories: list[Category], generic: str, backend: Callable[[DataFrame], DataFrame] | None = None, name: str = "model") -> DataFrame:
+    """df with question and backend_used. backend(df) adds `asked`; where that is null or no question, the template
+    stands in and backend_used says so. Without a backend the template is the backend."""
+    template = question_for(classify(F.col(claim), F.col(topic), categories), F.col(topic), categories, generic)
+    if backend is None:
+        return df.withColumns({"question": template, "backend_used": F.lit("template")})
+    asked = F.trim(F.col("asked"))
+    good = F.coalesce(F.endswith(asked, F.lit("?")), F.lit(False))
+    return backend(df).withColumns({"question": F.when(good, asked).otherwise(template), "backend_used": F.when(good, name).otherwise("template_fallback")}).drop("asked")
+
+
 def running_ids(df: DataFrame, order: list[str], pattern: str = "rec-%06d", first: int = 1) -> DataFrame:
     """df with `id` numbered over a total order, without one task that holds all rows: range partitions are counted
     and each adds its own number to its partition's offset."""

@@ -36,6 +36,11 @@ def final(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "final_record").dropDuplicates(["id"])
 
 
+def keyed(spark: SparkSession, d: str) -> DataFrame:
+    """Released records under the one spelling of their claim; records without a claim are left out."""
+    return final(spark, d).withColumn("claim_id", text.claim_key(F.col("claim_id"))).where("claim_id is not null")
+
+
 def working(spark: SparkSession, d: str) -> DataFrame:
     """Working records, the last delivery of each id."""
     return records.keep_last(table(spark, d, "working_record"), ["id"], ["received_at", "updated_at"])
@@ -165,15 +170,18 @@ def q_cache_antijoin(spark, d):
 
 @query
 def q_cached_backend(spark, d):
-    cache = spark.createDataFrame([], "text_hash string, result string")
+    """Texts of one split are in the cache, with results that the backend would not give; it serves the rest."""
+    rows = final(spark, d).select("id", "output", "split")
+    cache = rows.where("split = 'val' and output <> ''").select(F.sha2("output", 256).alias("text_hash"), F.concat(F.lit("kept "), F.col("output")).alias("result")).distinct()
     backend = lambda todo: todo.select("text_hash", F.upper("text").alias("result"))
-    out, _ = records.cached_apply(final(spark, d).select("id", "output"), "output", cache, backend)
-    return out.select("id", F.length("result").cast("long").alias("length"))
+    out, _ = records.cached_apply(rows, "output", cache, backend)
+    return out.select("id", F.length("result").cast("long").alias("length"), F.startswith("result", F.lit("kept ")).alias("cached"))
 
 
 @query
 def q_missing_ids(spark, d):
-    return records.missing_keys(table(spark, d, "final_record").where("split = 'test'"), table(spark, d, "unblinded_rating").select(F.col("sample_id").alias("id")).distinct(), "id")
+    """Records of val and test that nobody has rated: those of val, and of test what the raters have left out."""
+    return records.missing_keys(table(spark, d, "final_record").where("split <> 'train'"), table(spark, d, "unblinded_rating").select(F.col("sample_id").alias("id")).distinct(), "id")
 
 
 @query
@@ -261,7 +269,7 @@ def q_classify(spark, d):
 @query
 def q_safety(spark, d):
     both = F.concat(F.coalesce("answer_yo_final", F.lit("")), F.lit(" "), F.coalesce("answer_en", F.lit("")))
-    w = working(spark, d).withColumn("unsafe", both.rlike(S.UNSAFE_PATTERN) | both.rlike("(?i)paracetamol"))
+    w = working(spark, d).withColumn("unsafe", both.rlike(S.UNSAFE_PATTERN))
     out = records.refusals(w, F.col("unsafe"), "answer_yo_final", S.REFUSAL)
     return out.select("id", "unsafe", "question_type", "notes", (F.col("answer_yo_final") == S.REFUSAL).alias("rewritten"))
 
@@ -334,6 +342,50 @@ def q_deduplicated(spark, d):
     return setjoin.without_later_duplicates(table(spark, d, "documents"), "doc_id", "text", "doc_id").select("doc_id")
 
 
+# --- documents to claims, records to release
+
+
+def _slug(c: str) -> F.Column:
+    """The topic part of a document's address, as a slug."""
+    return F.regexp_extract(c, r"^https?://[^/]+/([^/]+)", 1)
+
+
+@query
+def q_document_topics(spark, d):
+    """Documents whose address tells their topic, in the order of their addresses, with the reference that claims cite."""
+    docs = table(spark, d, "documents").withColumn("slug", _slug("url"))
+    named = docs.withColumn("topic", segment.slug_topic(F.col("slug"), S.SLUG_TOPICS, S.TOPICS)).where("topic is not null")
+    ref = segment.source_reference(F.coalesce("source", F.lit("unknown")), F.col("slug"), F.col("retrieval_date"), F.col("licence"))
+    return segment.running_ids(named.select("url", "doc_id", "topic", ref.alias("source_ref")), ["url", "doc_id"]).select("id", "doc_id", "topic", "source_ref")
+
+
+@query
+def q_questions(spark, d):
+    """Questions by a backend that answers some claims only, the template for the rest."""
+    name = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in S.TOPIC_NAMES.items() for x in kv]), tidy("topic")), tidy("topic"))
+    w = working(spark, d).select("id", "answer_en", name.alias("name"), F.col("question_en").alias("given"), "question_type")
+    backend = lambda rows: rows.withColumn("asked", F.when(F.col("question_type") == "elicited", F.col("given")))
+    return segment.with_question(w, "answer_en", "name", S.CATEGORIES, S.GENERIC, backend).select("id", "question", "backend_used")
+
+
+@query
+def q_release(spark, d):
+    return records.released(working(spark, d))
+
+
+@query
+def q_topic_count(spark, d):
+    return final(spark, d).agg(F.countDistinct(tidy("topic")).alias("n_topics"), F.countDistinct(text.claim_key(F.col("claim_id"))).alias("n_claims"))
+
+
+@query
+def q_common_terms(spark, d):
+    """Terms of the corpus, the most frequent first; of equal ones the first in the list."""
+    terms = evaluation.term_frequency(working(spark, d), table(spark, d, "terminology"), "id", "answer_en")
+    w = Window.orderBy(F.desc("frequency"), "term")  # as many rows as the list has terms
+    return terms.where("frequency > 0").select(F.row_number().over(w).alias("rank"), "term", "frequency")
+
+
 # --- sampling and splits
 
 
@@ -344,7 +396,7 @@ def q_stratified_sample(spark, d):
 
 @query
 def q_sample_at_least(spark, d):
-    return sampling.sample_at_least(final(spark, d).where("split = 'test'"), "topic", "id", 150, S.SEED).select("id")
+    return sampling.sample_at_least(final(spark, d).where("split <> 'train'"), "topic", "id", 150, S.SEED).select("id")
 
 
 @query
@@ -359,19 +411,20 @@ def q_double_annotation(spark, d):
 
 @query
 def q_group_split(spark, d):
-    return sampling.group_split(final(spark, d), "claim_id", "topic", "id")
+    return sampling.group_split(keyed(spark, d), "claim_id", "topic", "id")
 
 
 @query
 def q_torn_groups(spark, d):
-    return sampling.torn_groups(final(spark, d), "claim_id")
+    return sampling.torn_groups(keyed(spark, d), "claim_id")
 
 
 @query
-def q_own_split_is_whole(spark, d):
-    """Groups that our own split tears: none."""
-    own = final(spark, d).select("id", "claim_id").join(sampling.group_split(final(spark, d), "claim_id", "topic", "id").select("claim_id", "split"), "claim_id")
-    return sampling.torn_groups(own, "claim_id")
+def q_own_split(spark, d):
+    """Our own split of every record, with the number of splits its claim is in: one."""
+    own = keyed(spark, d).select("id", "claim_id").join(sampling.group_split(keyed(spark, d), "claim_id", "topic", "id").select("claim_id", "split"), "claim_id")
+    splits = own.groupBy("claim_id").agg(F.countDistinct("split").alias("splits"))
+    return own.join(splits, "claim_id").groupBy("split", "splits").agg(F.count("*").alias("records"), F.countDistinct("claim_id").alias("claims"))
 
 
 def _blinded(spark, d):
@@ -494,8 +547,17 @@ def q_paired_points(spark, d):
     return agreement.paired_points(a.where("system_id <> 'M'").join(m, "sample_id"), ["system_id"], "score", "m")
 
 
+@query
+def q_paired_chrf(spark, d):
+    """The mean sentence score of each system beside M's."""
+    a = _answers(spark, d).withColumn("score", metrics.sentence_chrf(F.col("hypothesis"), F.col("reference")))
+    m = a.where("system_id = 'M'").select("sample_id", F.col("score").alias("m"))
+    return agreement.paired_points(a.where("system_id <> 'M'").join(m, "sample_id"), ["system_id"], "score", "m")
+
+
 @query
 def q_bootstrap(spark, d):
+    """Each system against M on sentence chrF++: the significance table."""
     a = _answers(spark, d).withColumn("score", metrics.sentence_chrf(F.col("hypothesis"), F.col("reference")))
     m = a.where("system_id = 'M'").select("sample_id", F.col("score").alias("m"))
     return agreement.paired_bootstrap(a.where("system_id <> 'M'").join(m, "sample_id"), "system_id", "sample_id", "score", "m")
@@ -508,6 +570,32 @@ def q_worst(spark, d):
 
 
 FLAGS = ["code_switching", "omission", "disfluency", "diacritic_error"]
+SURFACE = FLAGS[:3]
+
+
+@query
+def q_surface_flags(spark, d):
+    """The flags that need no alignment."""
+    return evaluation.flagged(_answers(spark, d)).select("sample_id", "system_id", *SURFACE)
+
+
+@query
+def q_surface_counts(spark, d):
+    return evaluation.error_counts(evaluation.flagged(_answers(spark, d)), "topic", SURFACE)
+
+
+@query
+def q_surface_pivot(spark, d):
+    return evaluation.error_pivot(evaluation.flagged(_answers(spark, d)), "topic", SURFACE)
+
+
+@query
+def q_confirmed_errors(spark, d):
+    """A reviewed sheet's cells, spelled as people do, counted by topic; harm stands in for the reviewer's verdict."""
+    cell = F.element_at(F.array(*map(F.lit, ("true", "Yes ", "1", "x"))), (F.length("comment") % 4 + 1).cast("int"))
+    sheet = judgements(spark, d).select(F.concat_ws("|", "sample_id", "system_id", "rater_id").alias("id"), F.coalesce(tidy("topic"), F.lit("unclassified")).alias("topic"), *[F.when(F.col("harm") == v, cell).otherwise(other).alias(v.lower()) for v, other in (("Severe", "no"), ("Moderate", ""), ("Low", None))])
+    names = ["severe", "moderate", "low"]
+    return evaluation.error_counts(records.confirmed_flags(sheet, "id", names), "topic", names)
 
 
 @query

@@ -32,12 +32,34 @@ GENERIC = "What should I know about {topic}?"
 UNSAFE = ("dosage", "dose", "mg/kg", "milligram", "how much.*should i take", "prescribe", "prescription", "call an ambulance", "emergency procedure")
 UNSAFE_PATTERN = "(?i)" + "|".join(f"(?:{p})" for p in UNSAFE)
 REFUSAL = "A ko le dahun ibeere yii. E jowo, e lo ri dokita."
+# Words of questions that are in scope, and phrases that ask for a diagnosis, a dosage or a prescription.
+SCOPE = (
+    "ilera", "arun", "aisan", "oogun", "dokita", "onisegun", "iwosan", "ile-iwosan", "itoju", "ranse", "kokoro", "kokoro arun", "ikolu",
+    "iba", "malaria", "typhoid", "taifodu", "tb", "iko", "hiv", "aids", "titeka", "haipatensonu", "titesan", "atosan", "diabetes", "suga",
+    "oyun", "aboyun", "ibimo", "omo tuntun", "omo", "ajesara", "abere", "ounje", "ounjeje", "ounje jijẹ", "omi mimu", "imototo", "wash",
+    "ilera opolo", "ere okan", "iṣoro ọkan", "covid", "corona", "ara", "iba gbigbona", "eebi", "gbuuru", "orififo", "ikọ", "otutu",
+)
+BOUNDARY = (
+    "iwon oogun", "melo ni mo gbodo mu", "melo ninu oogun", "iwon lati mu", "se mo ni", "se aisan mi ni", "so fun mi arun wo", "yan oogun fun mi",
+    "ko oogun fun mi", "fun mi ni oogun", "juwe oogun", "juwe", "dosage", "dose", "mg/kg", "milligram", "prescribe", "prescription",
+    "diagnose me", "how much should i take", "what dose",
+)
 RULES = Rules(
-    scope=("ilera", "arun", "aisan", "oogun", "dokita", "iba", "malaria", "iko", "hiv", "suga", "oyun", "aboyun", "ajesara", "abere", "omi mimu", "eebi", "otutu", "ara", "omo", "eje", "ikoko", "ori", "inu"),
-    boundary=("iwon oogun", "se mo ni", "tumo si pe mo ni", "yan oogun fun mi", "juwe", "dosage", "dose", "prescribe"),
+    scope=SCOPE,
+    boundary=BOUNDARY,
     out_of_scope_text="A le dahun ibeere nipa ilera nikan.",
     boundary_text="E jowo, e lo ri dokita fun ayewo.",
     disclaimer="Akiyesi: eyi ko ropo imoran dokita.",
 )
+# The topic of a document by the last part of its address; documents of other addresses have none.
+SLUG_TOPICS = {
+    "malaria": "malaria", "typhoid": "typhoid", "tuberculosis": "tuberculosis", "hiv-aids": "hiv", "hivaids.html": "hiv", "hypertension": "hypertension",
+    "highbloodpressure.html": "hypertension", "diabetes": "diabetes", "diabetes.html": "diabetes", "malnutrition": "nutrition", "malaria.html": "malaria",
+    "tuberculosis.html": "tuberculosis", "maternal-mortality": "maternal_health", "children-reducing-mortality": "child_health", "pneumonia": "child_health",
+    "diarrhoeal-disease": "child_health", "immunization-coverage": "immunisation", "measles": "immunisation", "obesity-and-overweight": "nutrition",
+    "anaemia": "nutrition", "drinking-water": "wash", "sanitation": "wash", "hygiene": "wash", "cholera": "wash", "mental-disorders": "mental_health",
+    "depression": "mental_health", "coronavirus-disease-(covid-19)": "covid19", "breastfeeding": "nutrition", "family-planning-contraception": "maternal_health",
+    "adolescent-pregnancy": "maternal_health", "food-safety": "nutrition", "physical-activity": "nutrition",
+}
 SYSTEMS = ("B1", "B2", "B3", "B4", "M")
 SEED = 42

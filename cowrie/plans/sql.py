@@ -45,6 +45,11 @@ def _words(c: str) -> str:
     return f"list_filter(list_transform({_tokens(f'nfc_normalize({c})')}, lambda t: regexp_replace(t, {outer}, '', 'g')), lambda t: t <> '')"
 
 
+def _foreign(c: str) -> str:
+    words = _words(c)
+    return f"({c} <> '' AND (CASE WHEN len({words}) > 0 THEN CAST(len(list_filter({words}, lambda t: {_legal('t')})) AS DOUBLE) / len({words}) ELSE 0 END) < 0.5)"
+
+
 def _names() -> str:
     return "(VALUES " + ", ".join(f"({_q(k)}, {_q(v)})" for k, v in S.TOPIC_NAMES.items()) + ") AS names(topic, name)"
 
@@ -80,7 +85,9 @@ def _hit(c: str, words: tuple[str, ...]) -> str:
     return "(" + " OR ".join(parts) + ")"
 
 
-GROUPS = f"(SELECT claim_id, first(topic ORDER BY id, topic) AS stratum FROM {FINAL} GROUP BY claim_id)"
+KEYED = rf"""(SELECT * FROM (SELECT * EXCLUDE (claim_id, flat, num), CASE WHEN regexp_matches(flat, '-[0-9]+$') THEN regexp_replace(flat, '-[0-9]+$', '') || '-' || CASE WHEN length(num) < 3 THEN lpad(num, 3, '0') ELSE num END ELSE flat END AS claim_id
+  FROM (SELECT *, regexp_replace(regexp_extract(flat, '-([0-9]+)$', 1), '^0+([0-9])', '\1') AS num FROM (SELECT *, regexp_replace(regexp_replace(lower(claim_id), '[^\p{{L}}\p{{N}}]+', '-', 'g'), '^-+|-+$', '', 'g') AS flat FROM {FINAL}))) WHERE claim_id <> '')"""
+GROUPS = f"(SELECT claim_id, first(topic ORDER BY id, topic) AS stratum FROM {KEYED} GROUP BY claim_id)"
 OWN_SPLIT = f"""(SELECT claim_id, stratum, CASE WHEN r <= round_even(n * 0.8, 0) THEN 'train' WHEN r <= round_even(n * 0.8, 0) + round_even(n * 0.1, 0) THEN 'val' ELSE 'test' END AS split
   FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY {_hash('claim_id')}, claim_id) AS r, count(*) OVER (PARTITION BY stratum) AS n FROM {GROUPS}))"""
 BLINDED = f"""(SELECT sample_id, substr('ABCDEFGH', CAST(row_number() OVER (PARTITION BY sample_id ORDER BY md5('{S.SEED}|' || sample_id || '|' || system_id), system_id) AS BIGINT), 1) AS slot, system_id
@@ -110,9 +117,14 @@ RANKS = f"""(SELECT *, low + (t - 1) / 2.0 AS r FROM (SELECT *, rank() OVER (PAR
   JOIN (SELECT dimension, count(DISTINCT system_id) AS k FROM {RATED} GROUP BY 1) USING (dimension))) WHERE here = k))"""
 
 
+_FRIEDMAN = f"""SELECT dimension, blocks, systems, round(CASE WHEN blocks >= 3 AND systems >= 3 AND fix > 0 THEN raw / fix END, 4) AS chi2 FROM (SELECT dimension, n AS blocks, k AS systems, 12.0 / (n * k * (k + 1)) * ss - 3.0 * n * (k + 1) AS raw,
+          1 - CAST(tied AS DOUBLE) / (n * k * (k * k - 1)) AS fix FROM (SELECT dimension, CAST(count(*) / max(k) AS BIGINT) AS n, max(k) AS k, sum(t * t - 1) AS tied FROM {RANKS} GROUP BY 1)
+          JOIN (SELECT dimension, sum(rs * rs) AS ss FROM (SELECT dimension, system_id, sum(r) AS rs FROM {RANKS} GROUP BY 1, 2) GROUP BY 1) USING (dimension))"""
+
+
 def oracle_sql() -> dict[str, str]:
     text_sum = "coalesce(answer_yo_final, '') || ' ' || coalesce(answer_en, '')"
-    unsafe = f"regexp_matches({text_sum}, {_q(S.UNSAFE_PATTERN)}) OR regexp_matches({text_sum}, '(?i)paracetamol')"
+    unsafe = f"regexp_matches({text_sum}, {_q(S.UNSAFE_PATTERN)})"
     clean = lambda c: f"nfc_normalize(trim(coalesce({c}, '')))"
     fold = "lower(strip_accents(question))"
     return {
@@ -137,14 +149,21 @@ def oracle_sql() -> dict[str, str]:
           SELECT n, coalesce(c.claim_id, printf('elicited-unmatched-%06d', n)) AS claim_id, CASE WHEN c.claim_id IS NULL THEN 'unclassified' ELSE c.topic END AS topic, CASE WHEN c.claim_id IS NULL THEN 'out_of_scope' ELSE 'elicited' END AS question_type,
           coalesce(length(answer_en), 0) AS answer_length FROM (SELECT CAST(regexp_extract(id, '([0-9]+)$', 1) AS BIGINT) AS n, claim_id AS m FROM w WHERE question_type = 'elicited') LEFT JOIN c ON c.claim_id = m""",
         "q_cache_antijoin": "SELECT DISTINCT sha256(source_en) AS text_hash FROM final_record WHERE source_en <> '' AND source_en NOT IN (SELECT answer_en FROM working_record WHERE answer_en IS NOT NULL)",
-        "q_cached_backend": f"SELECT id, length(CASE WHEN coalesce(output, '') = '' THEN '' ELSE upper(output) END) AS length FROM {FINAL}",
-        "q_missing_ids": "SELECT DISTINCT id FROM final_record WHERE split = 'test' AND id NOT IN (SELECT sample_id FROM unblinded_rating WHERE sample_id IS NOT NULL)",
+        "q_cached_backend": f"""WITH f AS (SELECT id, output, split FROM {FINAL}) SELECT id, CASE WHEN coalesce(output, '') = '' THEN 0 WHEN held THEN 5 + length(output) ELSE length(upper(output)) END AS length, held AS cached
+          FROM (SELECT *, coalesce(output, '') <> '' AND output IN (SELECT output FROM f WHERE split = 'val' AND output <> '') AS held FROM f)""",
+        "q_missing_ids": "SELECT DISTINCT id FROM final_record WHERE split <> 'train' AND id NOT IN (SELECT sample_id FROM unblinded_rating WHERE sample_id IS NOT NULL)",
         "q_postedit_rows": f"""SELECT id, topic, coalesce(nullif(question_yo_final, ''), question_yo_mt, '') AS question, concat_ws(' ', nullif(question_yo_mt, ''), nullif(answer_yo_mt, '')) AS draft
           FROM {WORK} WHERE coalesce(nullif(question_yo_mt, ''), nullif(answer_yo_mt, '')) IS NOT NULL""",
         "q_promotion": f"SELECT CASE WHEN {_blank('answer_yo_final')} IS NOT NULL THEN 'reviewed' WHEN {_blank('answer_yo_mt')} IS NOT NULL THEN 'promoted' ELSE 'skipped' END AS route, count(*) AS n FROM {WORK} GROUP BY 1",
         "q_record_problems": f"""SELECT problem, count(*) AS n FROM (SELECT unnest([CASE WHEN {_blank('id')} IS NULL THEN 'id missing' END, CASE WHEN {_blank('claim_id')} IS NULL THEN 'claim_id missing' END, CASE WHEN {_blank('instruction')} IS NULL THEN 'instruction missing' END,
           CASE WHEN {_blank('output')} IS NULL THEN 'output missing' END, CASE WHEN question_type NOT IN ('derived', 'elicited', 'out_of_scope') THEN 'question_type unknown' END,
-          CASE WHEN topic IS NULL OR topic NOT IN ({', '.join(map(_q, S.TOPICS))}) THEN 'topic unknown' END]) AS problem FROM {FINAL}) WHERE problem IS NOT NULL GROUP BY 1""",
+          CASE WHEN topic IS NULL OR topic NOT IN ({', '.join(map(_q, S.TOPICS))}) THEN 'topic unknown' END, CASE WHEN validated_ling IS NULL THEN 'validated_ling missing' END, CASE WHEN validated_clin IS NULL THEN 'validated_clin missing' END,
+          CASE WHEN instruction IS NOT NULL AND instruction_nodia IS DISTINCT FROM strip_accents(instruction) THEN 'instruction_nodia out of sync' END,
+          CASE WHEN nfc_normalize(instruction) <> instruction THEN 'instruction not composed' END, CASE WHEN nfc_normalize(output) <> output THEN 'output not composed' END,
+          CASE WHEN {_foreign('instruction')} THEN 'instruction not Yoruba' END, CASE WHEN {_foreign('output')} THEN 'output not Yoruba' END]) AS problem FROM {FINAL}) WHERE problem IS NOT NULL GROUP BY 1""",
+        "q_edit_problems": f"""SELECT problem, count(*) AS n FROM (SELECT unnest([CASE WHEN q = '' THEN 'question_yo_final missing' END, CASE WHEN a = '' THEN 'answer_yo_final missing' END, CASE WHEN coalesce({_blank('id')}, '') = '' THEN 'id missing' END,
+          CASE WHEN {_foreign('q')} THEN 'question_yo_final not Yoruba' END, CASE WHEN {_foreign('a')} THEN 'answer_yo_final not Yoruba' END]) AS problem
+          FROM (SELECT id, coalesce({_blank('question_yo_final')}, '') AS q, coalesce({_blank('answer_yo_final')}, '') AS a FROM {WORK} WHERE post_edited)) WHERE problem IS NOT NULL GROUP BY 1""",
         "q_rating_problems": "SELECT problem, count(*) AS n FROM (SELECT unnest(["
         + ", ".join(f"CASE WHEN ratings[{_q(x)}] IS NULL OR ratings[{_q(x)}] NOT BETWEEN 1 AND 5 THEN {_q(x + ' out of range')} END" for x in S.DIMENSIONS)
         + ", CASE WHEN harm IS NULL OR harm NOT IN ('None', 'Low', 'Moderate', 'Severe') THEN 'harm unknown' END]) AS problem FROM unblinded_rating) WHERE problem IS NOT NULL GROUP BY 1",
@@ -159,7 +178,8 @@ def oracle_sql() -> dict[str, str]:
         "q_safety": f"""SELECT id, unsafe, CASE WHEN unsafe THEN 'out_of_scope' ELSE question_type END AS question_type, CASE WHEN unsafe THEN regexp_replace(coalesce(notes, '') || ' | rewritten as refusal', '^[ |]+|[ |]+$', '', 'g') ELSE notes END AS notes,
           CASE WHEN unsafe THEN TRUE ELSE answer_yo_final = {_q(S.REFUSAL)} END AS rewritten FROM (SELECT *, {unsafe} AS unsafe FROM {WORK})""",
         "q_term_frequency": f"""SELECT term, count(id) AS frequency FROM (SELECT DISTINCT term_en AS term, {TERM_RE} AS re FROM terminology WHERE term_en IS NOT NULL) LEFT JOIN {WORK} w ON regexp_matches(w.answer_en, re) GROUP BY 1""",
-        "q_term_flags": f"""SELECT DISTINCT id, term_en AS term, lower(trim(canonical_yo)) AS expected FROM terminology JOIN {WORK} w ON regexp_matches(w.answer_en, {TERM_RE}) AND NOT contains(lower(coalesce(w.answer_yo_final, '')), lower(trim(canonical_yo)))
+        "q_term_flags": f"""WITH w AS (SELECT * FROM (SELECT id, answer_en, concat_ws(' ', nullif(coalesce(nullif(question_yo_final, ''), question_yo_mt, ''), ''), nullif(coalesce(nullif(answer_yo_final, ''), answer_yo_mt, ''), '')) AS own FROM {WORK}) WHERE {_blank('own')} IS NOT NULL)
+          SELECT DISTINCT id, term_en AS term, lower(trim(canonical_yo)) AS expected FROM terminology JOIN w ON regexp_matches(w.answer_en, {TERM_RE}) AND NOT contains(lower(strip_accents(own)), lower(strip_accents(lower(trim(canonical_yo)))))
           WHERE trim(coalesce(canonical_yo, '')) <> ''""",
         "q_topic_weights": f"""SELECT word, count(*) AS topics, round(ln(((SELECT count(DISTINCT {TOPIC}) FROM final_record) + 1.0) / (count(*) + 1)) + 1, 6) AS idf FROM (
           SELECT DISTINCT t, unnest({_tokens("replace(low, '?', '')")}) AS word FROM (SELECT {TOPIC} AS t, {TEXT_FOLD} AS low FROM {FINAL})) WHERE word NOT IN ({', '.join(map(_q, STOPWORDS))}) GROUP BY 1""",
@@ -169,13 +189,13 @@ def oracle_sql() -> dict[str, str]:
         "q_near_classes": f"""WITH l AS (SELECT * FROM {NEAR_DOCS}) SELECT doc_id, class, coalesce(links, 0) AS links FROM {DOC_CLASSES} LEFT JOIN (SELECT class, count(*) AS links FROM (SELECT a AS class FROM l UNION ALL SELECT b FROM l) GROUP BY 1) USING (class)""",
         "q_deduplicated": f"SELECT doc_id FROM {DOC_CLASSES} WHERE class = doc_id AND doc_id NOT IN (SELECT b FROM {NEAR_DOCS})",
         "q_stratified_sample": _sampled(FINAL, "0.1"),
-        "q_sample_at_least": f"WITH t AS (SELECT * FROM {FINAL} WHERE split = 'test') SELECT id FROM ({_sampled('t', '(150.0 / (SELECT count(*) FROM t))')}) WHERE (SELECT count(*) FROM t) > 150 UNION ALL SELECT id FROM t WHERE (SELECT count(*) FROM t) <= 150",
+        "q_sample_at_least": f"WITH t AS (SELECT * FROM {FINAL} WHERE split <> 'train') SELECT id FROM ({_sampled('t', '(150.0 / (SELECT count(*) FROM t))')}) WHERE (SELECT count(*) FROM t) > 150 UNION ALL SELECT id FROM t WHERE (SELECT count(*) FROM t) <= 150",
         "q_fixed_per_topic": f"SELECT id, topic FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY {_hash('id')}, id) AS r FROM {FINAL}) WHERE r <= 5",
         "q_double_annotation": f"""WITH w AS (SELECT id, topic FROM {WORK} WHERE answer_yo_final IS NOT NULL) SELECT id, topic, 1 AS annotator_slot FROM w UNION ALL
           SELECT id, topic, 2 FROM (SELECT *, row_number() OVER (ORDER BY {_hash('id')}, id) AS r, count(*) OVER () AS n FROM w) WHERE r <= round_even(n * 0.1, 0)""",
         "q_group_split": f"SELECT * FROM {OWN_SPLIT}",
-        "q_torn_groups": f"SELECT claim_id, count(DISTINCT split) AS splits FROM {FINAL} GROUP BY 1 HAVING count(DISTINCT split) > 1",
-        "q_own_split_is_whole": f"SELECT claim_id, count(DISTINCT s.split) AS splits FROM {FINAL} JOIN {OWN_SPLIT} s USING (claim_id) GROUP BY 1 HAVING count(DISTINCT s.split) > 1",
+        "q_torn_groups": f"SELECT claim_id, count(DISTINCT split) AS splits FROM {KEYED} GROUP BY 1 HAVING count(DISTINCT split) > 1",
+        "q_own_split": f"SELECT split, splits, count(*) AS records, count(DISTINCT claim_id) AS claims FROM (SELECT k.id, s.*, 1::BIGINT AS splits FROM {KEYED} k JOIN {OWN_SPLIT} s USING (claim_id)) GROUP BY 1, 2",
         "q_blinding": f"SELECT * FROM {BLINDED}",
         "q_rater_sheets": f"SELECT CAST(rater AS INTEGER) AS rater, row_number() OVER (PARTITION BY rater ORDER BY md5((rater + {S.SEED}) || '|' || sample_id || '|' || slot), sample_id, slot) AS position, sample_id, slot FROM {BLINDED}, range(1, 4) AS r(rater)",
         "q_unblinded": "SELECT system_id, count(*) AS n FROM unblinded_rating WHERE sample_id IS NOT NULL AND system_id IS NOT NULL GROUP BY 1",
@@ -187,28 +207,39 @@ def oracle_sql() -> dict[str, str]:
         "q_cohen": COHEN.format(pairs=f"(SELECT arg_min(harm, rater_id) AS a, arg_max(harm, rater_id) AS b FROM {JUDGED} WHERE harm IS NOT NULL GROUP BY sample_id, system_id HAVING count(*) > 1)"),
         "q_double_kappa": COHEN.format(pairs=f"""(SELECT max(v) FILTER (slot = 1) AS a, max(v) FILTER (slot = 2) AS b FROM (SELECT sample_id, system_id, CASE WHEN harm IN ('Moderate', 'Severe') THEN 'fail' ELSE 'pass' END AS v,
           row_number() OVER (PARTITION BY sample_id, system_id ORDER BY rater_id) AS slot FROM {JUDGED} WHERE harm IS NOT NULL) GROUP BY sample_id, system_id)"""),
-        "q_fleiss": f"""WITH n AS (SELECT sample_id, system_id, harm, count(*) AS c FROM {JUDGED} WHERE harm IS NOT NULL GROUP BY 1, 2, 3), per AS (SELECT sample_id, system_id, sum(c) AS m, sum(c * c) AS q FROM n GROUP BY 1, 2),
-          usual AS (SELECT m FROM per WHERE m > 1 GROUP BY m ORDER BY count(*) DESC, m LIMIT 1), used AS (SELECT * FROM per WHERE m = (SELECT m FROM usual)), shares AS (SELECT harm, sum(c) AS c FROM n JOIN used USING (sample_id, system_id) GROUP BY 1),
-          x AS (SELECT count(*) AS items, CAST(any_value(m) AS BIGINT) AS raters, avg((q - m) / CAST(m * (m - 1) AS DOUBLE)) AS po, (SELECT sum(c * c) / CAST(sum(c) AS DOUBLE) / sum(c) FROM shares) AS pe FROM used)
-          SELECT items, raters, round(po, 6) AS observed, round(pe, 6) AS expected, round(CASE WHEN pe = 1 THEN 1 ELSE (po - pe) / (1 - pe) END, 6) AS kappa FROM x""",
+        "q_fleiss": f"""WITH n AS (SELECT sample_id, system_id, harm, count(*) AS c FROM {JUDGED} WHERE harm IS NOT NULL GROUP BY 1, 2, 3), per AS (SELECT sample_id, system_id, CAST(sum(c) AS BIGINT) AS m, sum(c * c) AS q FROM n GROUP BY 1, 2 HAVING sum(c) > 1),
+          shares AS (SELECT m, sum(c * c) / CAST(sum(c) AS DOUBLE) / sum(c) AS pe FROM (SELECT m, harm, sum(c) AS c FROM n JOIN per USING (sample_id, system_id) GROUP BY 1, 2) GROUP BY m),
+          x AS (SELECT m, count(*) AS items, avg((q - m) / CAST(m * (m - 1) AS DOUBLE)) AS po FROM per GROUP BY m)
+          SELECT m AS raters, items, round(po, 6) AS observed, round(pe, 6) AS expected, round(CASE WHEN pe = 1 THEN 1 ELSE (po - pe) / (1 - pe) END, 6) AS kappa FROM x JOIN shares USING (m)""",
         "q_krippendorff": f"""WITH r AS (SELECT * FROM {RATED}), s AS (SELECT dimension, sample_id, system_id, count(*) AS m FROM r GROUP BY 1, 2, 3 HAVING count(*) > 1), n AS (SELECT r.*, m FROM r JOIN s USING (dimension, sample_id, system_id)),
           nv AS (SELECT dimension, value, count(*) AS nv FROM n GROUP BY 1, 2), mid AS (SELECT *, sum(nv) OVER (PARTITION BY dimension ORDER BY value) - nv / 2.0 AS mid, sum(nv) OVER (PARTITION BY dimension) AS total FROM nv),
           seen AS (SELECT a.dimension, sum((ma.mid - mb.mid) * (ma.mid - mb.mid) / (a.m - 1)) AS apart FROM n a JOIN n b ON a.dimension = b.dimension AND a.sample_id = b.sample_id AND a.system_id = b.system_id AND a.rater_id <> b.rater_id
             JOIN mid ma ON ma.dimension = a.dimension AND ma.value = a.value JOIN mid mb ON mb.dimension = b.dimension AND mb.value = b.value GROUP BY 1),
           ex AS (SELECT x.dimension, sum(x.nv * CAST(y.nv AS DOUBLE) * (x.mid - y.mid) * (x.mid - y.mid)) / (any_value(x.total) - 1) AS e FROM mid x JOIN mid y USING (dimension) GROUP BY 1), items AS (SELECT dimension, count(*) AS items FROM s GROUP BY 1)
           SELECT dimension, items, round(CASE WHEN e = 0 THEN 1 ELSE 1 - apart / e END, 6) AS alpha FROM items JOIN seen USING (dimension) JOIN ex USING (dimension)""",
-        "q_friedman": f"""SELECT dimension, blocks, systems, round(CASE WHEN blocks >= 3 AND systems >= 3 AND fix > 0 THEN raw / fix END, 4) AS chi2 FROM (SELECT dimension, n AS blocks, k AS systems, 12.0 / (n * k * (k + 1)) * ss - 3.0 * n * (k + 1) AS raw,
-          1 - CAST(tied AS DOUBLE) / (n * k * (k * k - 1)) AS fix FROM (SELECT dimension, CAST(count(*) / max(k) AS BIGINT) AS n, max(k) AS k, sum(t * t - 1) AS tied FROM {RANKS} GROUP BY 1)
-          JOIN (SELECT dimension, sum(rs * rs) AS ss FROM (SELECT dimension, system_id, sum(r) AS rs FROM {RANKS} GROUP BY 1, 2) GROUP BY 1) USING (dimension))""",
+        "q_friedman_p": "SELECT dimension, blocks, systems, chi2, CASE WHEN systems % 2 = 1 THEN round(exp(-chi2 / 2) * list_sum(list_transform(range((systems - 1) // 2), lambda i: pow(chi2 / 2, i) / factorial(CAST(i AS INTEGER)))), 6) END AS p_value FROM (" + _FRIEDMAN + ")",  # the tail in closed form for an even number of degrees of freedom
+        "q_friedman": _FRIEDMAN,
         "q_paired_points": f"""WITH a AS (SELECT *, CAST(len({_tokens('hypothesis')}) AS DOUBLE) AS score FROM {ANSWERS}), p AS (SELECT a.system_id, a.score, m.score AS m FROM a JOIN a m ON m.system_id = 'M' AND m.sample_id = a.sample_id WHERE a.system_id <> 'M')
           SELECT system_id, count(*) AS n, round(avg(score), 6) AS mean_a, round(avg(m), 6) AS mean_b, round(avg(m - score), 6) AS diff, round(CASE WHEN stddev_samp(m - score) > 0 THEN avg(m - score) / stddev_samp(m - score) ELSE 0 END, 6) AS effect FROM p GROUP BY 1""",
         "q_worst": f"SELECT sample_id, system_id, round(CAST(len({_tokens('hypothesis')}) AS DOUBLE) / greatest(len({_tokens('reference')}), 1), 6) AS ratio FROM {ANSWERS} ORDER BY ratio ASC NULLS LAST, sample_id, system_id LIMIT 50",
-        "q_error_flags": f"SELECT sample_id, system_id, code_switching, omission, disfluency FROM {FLAGGED}",
-        "q_error_counts": f"SELECT topic, error, count(*) AS n FROM (UNPIVOT (SELECT topic, code_switching, omission, disfluency FROM {FLAGGED}) ON code_switching, omission, disfluency INTO NAME error VALUE flag) WHERE flag GROUP BY 1, 2",
-        "q_error_pivot": f"SELECT topic, count(*) FILTER (code_switching) AS code_switching, count(*) FILTER (omission) AS omission, count(*) FILTER (disfluency) AS disfluency FROM {FLAGGED} GROUP BY 1",
+        "q_surface_flags": f"SELECT sample_id, system_id, code_switching, omission, disfluency FROM {FLAGGED}",
+        "q_surface_counts": f"SELECT topic, error, count(*) AS n FROM (UNPIVOT (SELECT topic, code_switching, omission, disfluency FROM {FLAGGED}) ON code_switching, omission, disfluency INTO NAME error VALUE flag) WHERE flag GROUP BY 1, 2",
+        "q_surface_pivot": f"SELECT topic, count(*) FILTER (code_switching) AS code_switching, count(*) FILTER (omission) AS omission, count(*) FILTER (disfluency) AS disfluency FROM {FLAGGED} GROUP BY 1",
         "q_guardrails": f"""SELECT outcome, count(*) AS n, CAST(sum(CASE outcome WHEN 'out_of_scope' THEN {len(S.RULES.out_of_scope_text)} WHEN 'clinical_boundary' THEN {len(S.RULES.boundary_text)} WHEN 'answered' THEN {3 + len(S.RULES.disclaimer)} ELSE 0 END) AS BIGINT) AS characters
           FROM (SELECT CASE WHEN {_blank('question')} IS NULL THEN 'blank' WHEN NOT {_hit('f', S.RULES.scope)} THEN 'out_of_scope' WHEN {_hit('f', S.RULES.boundary)} THEN 'clinical_boundary' ELSE 'answered' END AS outcome
           FROM (SELECT question, {fold} AS f FROM (SELECT coalesce(question_yo_mt, '') AS question FROM {WORK}))) GROUP BY 1""",
+        "q_confirmed_errors": f"""SELECT topic, error, count(*) AS n FROM (SELECT coalesce(lower(trim(topic)), 'unclassified') AS topic, lower(harm) AS error FROM {JUDGED} WHERE harm IN ('Severe', 'Moderate', 'Low')) GROUP BY 1, 2""",
+        "q_document_topics": f"""SELECT printf('rec-%06d', row_number() OVER (ORDER BY url ASC NULLS FIRST, doc_id)) AS id, doc_id, topic, coalesce(source, 'unknown') || ' (' || slug || '), retrieved ' || retrieval_date || ', licence: ' || licence AS source_ref
+          FROM (SELECT *, regexp_extract(url, '^https?://[^/]+/([^/]+)', 1) AS slug FROM documents) JOIN (VALUES {', '.join(f'({_q(k)}, {_q(v)})' for k, v in S.SLUG_TOPICS.items())}) AS t(slug, topic) USING (slug)""",
+        "q_questions": f"""SELECT id, CASE WHEN good THEN trim(question_en) ELSE replace({_question()}, '{{topic}}', name) END AS question, CASE WHEN good THEN 'model' ELSE 'template_fallback' END AS backend_used FROM (SELECT *, {_classify()} AS kind,
+          coalesce(question_type = 'elicited' AND trim(question_en) LIKE '%?', FALSE) AS good FROM (SELECT w.id, w.question_en, w.question_type, lower(answer_en) AS low, coalesce(names.name, lower(trim(w.topic))) AS name FROM {WORK} w LEFT JOIN {_names()} ON names.topic = lower(trim(w.topic))))""",
+        "q_release": f"""SELECT id, claim_id, question_yo_final AS instruction, strip_accents(question_yo_final) AS instruction_nodia, '' AS input, answer_yo_final AS output, coalesce(topic, 'unclassified') AS topic, coalesce(question_type, 'derived') AS question_type,
+          coalesce(answer_en, '') AS source_en, coalesce(source_ref, '') AS source_ref, coalesce(validated_ling, FALSE) AS validated_ling, coalesce(validated_clin, FALSE) AS validated_clin FROM {WORK} WHERE {_blank('question_yo_final')} IS NOT NULL AND {_blank('answer_yo_final')} IS NOT NULL""",
+        "q_topic_count": f"SELECT count(DISTINCT lower(trim(topic))) AS n_topics, (SELECT count(DISTINCT claim_id) FROM {KEYED}) AS n_claims FROM {FINAL}",
+        "q_common_terms": f"""SELECT CAST(row_number() OVER (ORDER BY frequency DESC, term) AS INTEGER) AS rank, term, frequency FROM (SELECT term, count(id) AS frequency FROM (SELECT DISTINCT term_en AS term, {TERM_RE} AS re FROM terminology WHERE term_en IS NOT NULL) JOIN {WORK} w ON regexp_matches(w.answer_en, re) GROUP BY 1)""",
+        "q_masked_labels": f"SELECT id, least(length(instruction), greatest(length(output), 1)) AS masked FROM {FINAL} WHERE output IS NOT NULL",
+        "q_few_shot": f"""WITH f AS (SELECT * FROM {FINAL}), s AS (SELECT string_agg('Q: ' || instruction || chr(10) || 'A: ' || output, chr(10) || chr(10) ORDER BY id) AS t FROM (SELECT * FROM f WHERE split = 'train' AND output IS NOT NULL ORDER BY id LIMIT 3))
+          SELECT id, length('Answer in Yoruba.' || chr(10) || chr(10) || t || chr(10) || chr(10) || 'Q: ' || instruction || chr(10) || 'A:') AS prompt_length FROM f, s WHERE split = 'test'""",
         "q_interactions": "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median FROM events GROUP BY 1",
         "q_windows": _WINDOWS,
         "q_stream_windows": _WINDOWS,

@@ -154,8 +154,14 @@ def test_bootstrap(spark):
     r = A.paired_bootstrap(df, "system", "id", "a", "b", 200).first()
     assert r["diff"] == 40.0 and r["ci_low"] > 0 and r["p_value"] < 0.05
     noisy = df.withColumn("b", F.col("a") + F.col("id") % 5)
-    exact, spread = A.paired_bootstrap(noisy, "system", "id", "a", "b", 300).first(), A.paired_bootstrap(noisy, "system", "id", "a", "b", 300, exact_up_to=1).first()
-    assert exact["diff"] == spread["diff"] and abs(exact["ci_low"] - spread["ci_low"]) < 0.2
+    whole, spread = A.paired_bootstrap(noisy, "system", "id", "a", "b", 300).first(), A.paired_bootstrap(noisy, "system", "id", "a", "b", 300, block=7).first()
+    assert whole["diff"] == spread["diff"] and abs(whole["ci_low"] - spread["ci_low"]) < 0.2 and abs(whole["ci_high"] - spread["ci_high"]) < 0.2
+    sizes = np.array([3, 10, 1])
+    draws = A.resample_shares(sizes, 4000, [1])
+    assert (draws.sum(axis=1) == 14).all() and np.allclose(draws.mean(axis=0), sizes, atol=0.15)
+    diffs = np.arange(10.0)
+    sums = A.block_sums(diffs, draws[:, 1], [2], chunk=50)
+    assert abs((sums / draws[:, 1].clip(1)).mean() - 4.5) < 0.05 and sums[draws[:, 1] == 0].sum() == 0
 
 
 def test_terms(spark):

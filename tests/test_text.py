@@ -57,6 +57,13 @@ def test_scores():
     assert M.diacritic_accuracy("ọmọ lọ", "ọmọ lo") == 0.5 and M.diacritic_accuracy("x", "y") == 0.0
 
 
+def test_all_statistics_equal_those_of_each_pair():
+    pairs = [("kí ni èyí?", "kí ni èyí"), ("", "abc"), ("a", ""), ("", ""), ("the cat sat on the the mat, 3.5 km.", "the cat, the mat: 3,5 km"), ("ab ab ab ab ab", "ab ab"), ("x" * 50, "x" * 30 + "y")]
+    c, b = M.all_statistics(*map(list, zip(*pairs, strict=True)))
+    assert c.tolist() == [M.chrf_statistics(h, r) for h, r in pairs] and b.tolist() == [M.bleu_statistics(h, r) for h, r in pairs]
+    assert [round(M.rouge_l(h, r), 6) for h, r in (("a b c d", "a c d e"), ("a", "b"), ("b a b a", "a b a b"))] == [0.75, 0.0, 0.75]
+
+
 def test_corpus_scores_sum_statistics(spark):
     df = spark.createDataFrame([("s", "a b c d e", "a b c d e"), ("s", None, "x y"), ("t", "q", "q")], "system string, hypothesis string, reference string")
     rows = {r["system"]: r for r in M.corpus_scores(df, ["system"]).collect()}
