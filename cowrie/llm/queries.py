@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cowrie.functions.text import claim_key
 from cowrie.session import table
 
 from .confusables import inconsistent_texts, with_consistent_text
@@ -17,7 +18,7 @@ from .mixing import mix_sources
 from .neardup import near_duplicates
 from .pairs import first_defect, pair_defects
 from .quality import fit_quality_model, text_quality
-from .splits import claim_key, connected_components, split_components
+from .splits import connected_components, split_components
 from .tokens import encode_corpus
 
 RESPONSE = ["sample_id", "system_id"]

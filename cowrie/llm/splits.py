@@ -23,21 +23,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cowrie.functions.text import claim_key
 from cowrie.session import cut
 
+__all__ = ["claim_key", "connected_components", "split_components"]
 SHARES = {"train": 0.8, "val": 0.1, "test": 0.1}
 
 
-def claim_key(claim_id: Column) -> Column:
-    """`source-slug-NNN`: lower case, single hyphens, the number with at least three digits; null if blank.
-    Case, blanks, separators and leading zeros make no difference."""
-    flat = F.regexp_replace(F.regexp_replace(F.lower(claim_id), r"[^\p{L}\p{N}]+", "-"), r"^-+|-+$", "")
-    digits = F.regexp_replace(F.regexp_extract(flat, r"-(\d+)$", 1), r"^0+(?=\d)", "")
-    padded = F.when(F.length(digits) < 3, F.lpad(digits, 3, "0")).otherwise(digits)
-    head = F.regexp_replace(flat, r"-\d+$", "")
-    return F.nullif(F.when(flat.rlike(r"-\d+$"), F.concat_ws("-", head, padded)).otherwise(flat), F.lit(""))
-
-
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of an undirected graph given as (a, b): the smallest node of each component.
 
