@@ -1,8 +1,16 @@
 """Problem 3: broken prompt and response pairs.
 
-Method: for every defect a few noisy labelling functions vote for, against or not at all. An expectation-
-maximisation label model estimates each function's reliability and every pair's posterior from how the votes
-agree; a pair keeps each defect whose posterior reaches that defect's cutoff.
+Method: for every defect a few noisy labelling functions vote for, against or not at all. They look at form and grammar
+(a first person that negates or limits what it can do, a second person sent to a professional, a sentence that hangs in
+the air), at the relation of answer and question, or ask a model: that of the languages, and two
+learnt from the records themselves: how answers to questions out of scope read, as these are meant to be declined, and
+which words end sentences. An
+expectation-maximisation label model estimates each function's reliability and every pair's posterior from how the
+votes agree; a pair keeps each defect whose posterior reaches that defect's cutoff.
+
+Training: the model of declining answers is fitted on at most about `sample` answers to questions out of scope and
+twice as many others, chosen by a hash of their id, and the model of sentences' ends on the latter; without answers to
+questions out of scope the former does not vote.
 
 Scale: votes are made in one pass; the model is fitted on counts of distinct vote patterns (at most 3 to the
 number of functions rows per defect, whatever the data) and applied by looking the pattern up.
@@ -14,8 +22,10 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +41,9 @@ from .langid import LanguageModel, _segments_of
 
 DEFECTS = ("empty", "copy", "refusal", "language", "truncated")
 FUNCTIONS = {"empty": 3, "copy": 3, "refusal": 4, "language": 3, "truncated": 4}
-#: Posterior from which a defect is kept; validated on the hand-checked pairs in tests/llm.
-CUTOFFS = {"empty": 0.5, "copy": 0.5, "refusal": 0.5, "language": 0.5, "truncated": 0.5}
+#: Posterior from which a defect is kept. Validated: every cutoff lies where the label model is at its best on pairs
+#: that were labelled by hand and whose wording no function knows (tests/llm).
+CUTOFFS = {"empty": 0.5, "copy": 0.5, "refusal": 0.5, "language": 0.5, "truncated": 0.1}
 
 # What stands for a missing answer.
 PLACEHOLDERS = frozenset("null none nil na n/a nan tbd tba todo undefined unknown missing blank empty xxx lorem ipsum placeholder pending idahun answer".split())
@@ -49,28 +60,79 @@ WORDS = {
 YORUBA = frozenset(WORDS["yo"].split())
 FOREIGN = frozenset(w for c, s in WORDS.items() if c != "yo" for w in s.split()) - YORUBA
 
-# Ways to decline, in folded text (no accents, lower case).
-DECLINES = re.compile(
-    r"\b(?:n ko|mi o|emi ko|a ko|a o) le (?:dahun|fun .{0,60}(?:ni )?imoran|ran yin lowo lori|so (?:nnkan|ohun)|soro)"
-    r"|\b(?:n ko|mi o|emi ko) ni (?:ase|eto) lati"
-    r"|\bko si (?:lara ohun ti a se mi fun|idahun ti mo le)"
-    r"|\bmo ko lati (?:so|dahun)|\bmo gbodo (?:dake|ko)|\bkoja (?:ohun ti mo le se|agbara mi)"
-    r"|\b(?:a o|won o|a ko) gba mi laaye"
-)
-DECLINES_ELSEWHERE = re.compile(
-    r"\bi(?:'m| am)? ?(?:sorry|afraid)\b|\bi (?:can ?not|can't|am unable|am not able|am not allowed|may not|must decline|won't|will not|have to stay silent|have to decline)\b"
-    r"|\bunable to (?:provide|answer|help|give)|\b(?:outside|beyond) what i\b|\bas an (?:ai|assistant)\b"
-    r"|\bje (?:suis desolee?|ne (?:peux|puis) pas|regrette|refuse)|\bdesolee?\b|\bne suis pas (?:autorise|en mesure)"
-    r"|\b(?:ba zan iya|ba na iya|yi hakuri|ku yi hakuri|ban da izini)\b|\b(?:enweghi m ike|ndo|apughi m|agaghi m)\b"
-    r"|\b(?:i no fit|i no go fit|abeg no vex|dem no allow me)\b"
-)
-SUPPORTS = re.compile(
-    r"\bko ye ki ero so\b|\bmi o mo itan ilera yin\b|\boro yii je mo oogun ti onisegun nikan\b|\be jowo, e lo ba dokita\b"
-    r"|\beni to le ran yin lowo wa\b|\be le pe ile iwosan .{0,40} tabi ojule\b"
-    r"|\ba machine should not tell\b|\bi do not know your history\b|\bthis touches on drugs that only a doctor\b|\bplease see a doctor\b"
-    r"|\bsomeone who can help you is\b|\byou can call the clinic of .{0,40} or come\b"
-)
-FIRST_PERSON = re.compile(r"^\W*(?:(?:ma binu|e dakun|e seun ti e beere|o wu mi ki n|mo ko\b|n ko\b|mi o\b|ibeere nipa|eyi koja)|(?:i'?m|i|sorry|unfortunately|questions? (?:on|about)|as an|thank you for asking|this is beyond|je|desole)\b)")
+# Grammar of a speaker who negates or limits what they can or may do, in folded text (no accents, lower
+# case), by language: first persons; negations and limits; abilities, permissions and what a speaker would do with them.
+_GRAMMAR = {
+    "yo": (r"(?<!\bto )(?<!\bko )mo|mi|emi", r"ko|o|koja|gbodo|kii", r"le|ase|eto|agbara|laaye|dake|lati|idahun|se"),
+    "en": (r"i|i'm|me|my", r"not|no|cannot|can't|unable|won't|must|have|decline|refuse|beyond|outside", r"can|able|allowed|made|answer|reply|say|tell|help|give|advise|provide|silent|decline"),
+    "fr": (r"je|j'ai|me|moi", r"ne|pas|refuse|regrette|desolee?", r"peux|puis|autorisee?|repondre|dire|aider|conseiller|mesure"),
+    "ha": (r"ba zan|ba na|ba ni da|bani da|ban da", r"ba|bani|ban", r"iya|izini|damar|amsa|fada|taimaka"),
+    "ig": (r"m|mu", r"enweghi|apughi|agaghi|naghi|ndo", r"ike|aza|ikwu|inye|enye|m"),
+    "pcm": (r"i|me|my", r"no|never|not", r"fit|allow|talk|answer|help"),
+}
+#: Without accents "to mo" and "ko mo" are "clean" and "unclean". "n ko" is a first person only where a clause begins: elsewhere it is a mark of the continuous and a verb.
+_I_NOT = re.compile(r"(?:^\W*|[,;:]\W+)n ko\b")
+_SAYS = [tuple(re.compile(rf"\b(?:{x})\b") for x in parts) for parts in _GRAMMAR.values()]
+# Words for the healers and places that a reader is sent to, and forms of addressing that reader.
+_HEALER = re.compile(r"\b(?:dokita|onisegun|noosi|iwosan|doctor|nurse|clinic|hospital|pharmacist|medecin|infirmier|hopital|likita|asibiti|dokta|ogwu)\b")
+_READER = re.compile(r"^\W*(?:e|yin|please|kindly|you|abeg|biko|don allah|veuillez)\b|\b(?:jowo|e joo|yin|you|your|vous|votre)\b")
+# How a speaker asks for pardon or thanks before declining.
+_PARDON = re.compile(r"^\W*(?:\w+\W+){0,2}(?:binu|dakun|jowo|joo|sorry|apologies|apologise|unfortunately|pardon|afraid|thank|thanks|seun|desolee?|regrette|hakuri|ndo)\b")
+
+
+def _declines(sentence: str) -> bool:
+    """Whether a folded sentence has a first person, a negation or limit, and an ability or permission of one language."""
+    return any(all(p.search(sentence) for p in parts) for parts in _SAYS) or bool(_I_NOT.search(sentence) and _SAYS[0][2].search(sentence))
+
+
+class DecliningModel:
+    """Mean log odds of an answer's words and pairs of words between answers to questions out of scope and others."""
+
+    def __init__(self, yes: list[str], no: list[str], smooth: float = 0.5, least: int = 2) -> None:
+        counts = [Counter(f for t in side for f in self.features(t)) for side in (yes, no)]
+        kept = [f for f in counts[0].keys() | counts[1].keys() if counts[0][f] + counts[1][f] >= least]
+        a, b = len(yes) + 2 * smooth, len(no) + 2 * smooth
+        self.weights = {f: math.log((counts[0][f] + smooth) / a) - math.log((counts[1][f] + smooth) / b) for f in sorted(kept)}
+        self.usable = len(yes) >= 20 and len(no) >= 20
+
+    @staticmethod
+    def features(text: str) -> set[str]:
+        words = _words(fold(text))
+        return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))}
+
+    def score(self, text: str) -> float:
+        """Above zero for what reads like declining; zero if nothing is known."""
+        known = [self.weights[f] for f in self.features(text) if f in self.weights]
+        return sum(known) / len(known) if known and self.usable else 0.0
+
+
+class EndingModel:
+    """How often each word ends a sentence, from texts' sentences but their last, which may be cut."""
+
+    def __init__(self, texts: list[str], least: int = 5) -> None:
+        every, last = Counter(), Counter()
+        for text in texts:
+            for sentence in _SENTENCES.split(fold(text))[:-1]:
+                if words := _words(sentence):
+                    every.update(words)
+                    last[words[-1]] += 1
+        self.rates = {w: (last[w] + 0.5) / (n + 1) for w, n in every.items() if n >= least}
+
+    def rate(self, word: str) -> float | None:
+        return self.rates.get(word)
+
+
+def fit_answer_models(df: DataFrame, expected: Column | None, id_col: str = "id", output: str = "output", sample: int = 4000) -> tuple[DecliningModel, EndingModel]:
+    """Models of how answers read where `expected` is true (declined on purpose) and of how sentences end."""
+    known = df.select(F.xxhash64(F.col(f"`{id_col}`").cast("string")).alias("k"), F.coalesce(expected, F.lit(False)).alias("e") if expected is not None else F.lit(False).alias("e"), F.col(f"`{output}`").alias("t")).where("t is not null and trim(t) <> ''")
+    sizes = {r["e"]: r["count"] for r in known.groupBy("e").count().collect()}
+    scale, sides = 1 << 20, []
+    for e, most in ((True, sample), (False, 2 * sample)):
+        share = min(1.0, most / max(1, sizes.get(e, 0)))
+        rows = known.where((F.col("e") == e) & (F.pmod("k", F.lit(scale)) < share * scale)).select("t").collect() if sizes.get(e) else []  # at most about `most` texts
+        sides.append(sorted(r["t"] for r in rows))
+    return DecliningModel(*sides), EndingModel(sides[1])
+
 
 # Words, without accents, that no Yoruba sentence ends with.
 NEVER_LAST = frozenset("ati tabi nitori sugbon amo lati pe ti ki bi ni fun si pelu nipa lori laarin awon kan-n ko-le le maa n yoo gbodo boya tun nigba ninu".split()) | {"to-n"}
@@ -78,6 +140,7 @@ _MARKED = re.compile("[^\\W\\d_]*[eosEOS]\u0323[^\\W\\d_]*|[^\\W\\d_]*[aeiouAEIO
 _IGBO = re.compile("[ịụṅỊỤṄ]")
 _ENDS = re.compile(r"[.!?…][\"'”’»)\]]*$")
 _DANGLING = re.compile(r"(?:[,;:–—\-\[(/&“]|\.\.\.|…)$")
+_SENTENCES = re.compile(r"(?<=[.!?])\s+")
 _ITEM = re.compile(r"^\s*(?:[-–—•*]|\(?\d{1,3}[.)]|\(?[a-z][.)])\s+\S")
 _TAIL = re.compile(r"[\s‍️\U0001f000-\U0001faff☀-➿]+$")
 
@@ -96,9 +159,10 @@ def _vote(yes: bool, no: bool) -> int:
     return 1 if yes else -1 if no else 0
 
 
-def votes_of(instruction: str | None, output: str | None, foreign_share: float) -> list[int]:
+def votes_of(instruction: str | None, output: str | None, foreign_share: float, declining: float = 0.0, endings: EndingModel | None = None) -> list[int]:
     """The labelling functions' votes (1 for, -1 against, 0 none) in the order of DEFECTS and FUNCTIONS.
-    foreign_share: share of the output's letters in sentences that the language model calls not Yoruba."""
+    foreign_share: share of the output's letters in sentences that the language model calls not Yoruba; declining: the
+    score of DecliningModel; endings: how often words end sentences."""
     raw = canonical_form(output or "") or ""
     out, ask = fold(raw), fold(canonical_form(instruction or "") or "")
     words, asked = _words(out), _words(ask)
@@ -107,7 +171,7 @@ def votes_of(instruction: str | None, output: str | None, foreign_share: float)
     v = [
         _vote(letters == 0, letters > 0),
         _vote(not plain or plain in PLACEHOLDERS, len(words) >= 3),
-        _vote(letters < 2, letters > 8),
+        _vote(len(words) <= 1 and letters <= 0.2 * sum(c.isalnum() for c in ask), len(words) >= 5),
     ]
     known = set(asked)
     inside = sum(w in known for w in words) / len(words) if words else 0.0
@@ -117,9 +181,16 @@ def votes_of(instruction: str | None, output: str | None, foreign_share: float)
     kept = sum(p in pairs for p in runs) / len(runs) if runs else inside
     ample = bool(asked) and len(words) >= 3
     v += [_vote(ample and kept >= 0.75, kept <= 0.5), _vote(ample and inside >= 0.85, inside <= 0.7), _vote(ample and rest <= 4 and kept >= 0.6, rest >= 8 or not words)]
-    own, other = bool(DECLINES.search(out)), bool(DECLINES_ELSEWHERE.search(out))
-    support = len(SUPPORTS.findall(out))
-    v += [_vote(own, not other), _vote(other, not own), _vote(support >= 2, support == 0), _vote(bool(FIRST_PERSON.match(out)), True)]
+    said = [x for x in _SENTENCES.split(out) if x]
+    declined = sum(map(_declines, said))
+    sent_on = sum(bool(_HEALER.search(x) and _READER.search(x)) for x in said)
+    brief = len(words) <= 45
+    v += [
+        _vote(brief and declined > 0, declined == 0),
+        _vote(declining > 0.5, declining < -0.5),
+        _vote(brief and 3 * sent_on >= len(said) > 0, sent_on == 0),
+        _vote(brief and bool(_PARDON.search(out)), not brief),
+    ]
     yoruba = sum(w in YORUBA for w in words) / len(words) if words else 0.0
     strange = sum(w in FOREIGN for w in words) / len(words) if words else 0.0
     some = len(words) >= 3
@@ -131,11 +202,12 @@ def votes_of(instruction: str | None, output: str | None, foreign_share: float)
     item = bool(_ITEM.match(last)) and "\n" in body
     ended, dangling = bool(_ENDS.search(body)), bool(_DANGLING.search(bare)) and not (item and bare[-1:] not in ",[(")
     final = words[-1] if words else ""
+    rate = endings.rate(final) if endings else None
     v += [
-        _vote(some and not ended and not item, ended or item or not some),
-        _vote(some and dangling, not dangling),
-        _vote(some and final in NEVER_LAST, final not in NEVER_LAST),
-        _vote(some and (dangling or final in NEVER_LAST or (not ended and not item)), True),
+        _vote(some and not ended and not item, False),
+        _vote(some and dangling, False),
+        _vote(some and final in NEVER_LAST, False),
+        _vote(some and not item and rate is not None and rate < 0.03, item or (rate is not None and rate > 0.2)),
     ]
     return v
 
@@ -143,10 +215,12 @@ def votes_of(instruction: str | None, output: str | None, foreign_share: float)
 def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, prior: float = 20.0) -> tuple[float, np.ndarray]:
     """Share of positives and table[function, class, vote + 1] of a two-class model of conditionally independent
     votes, by expectation-maximisation over distinct patterns. A Beta-like prior of pseudo-counts keeps each
-    function better than chance."""
+    function better than chance; one that never votes against looks for a sign that many positives lack."""
     n, m = patterns.shape
     start = np.empty((m, 2, 3))
     start[:, 1], start[:, 0] = (0.1, 0.2, 0.7), (0.85, 0.1, 0.05)
+    silent = ~(patterns == -1).any(axis=0)
+    start[silent, 1], start[silent, 0] = (0.01, 0.59, 0.4), (0.01, 0.97, 0.02)
     table, share = start.copy(), 0.05
     total = counts.sum()
     for _ in range(rounds):
@@ -174,17 +248,17 @@ def posterior(patterns: np.ndarray, share: float, table: np.ndarray) -> np.ndarr
     return 1 / (1 + np.exp(np.clip(no - yes, -700, 700)))
 
 
-def label_votes(df: DataFrame, model: LanguageModel, id_col: str = "id", instruction: str = "instruction", output: str = "output", keep: list[str] | None = None) -> DataFrame:
+def label_votes(df: DataFrame, model: LanguageModel, answers: tuple[DecliningModel, EndingModel], id_col: str = "id", instruction: str = "instruction", output: str = "output", keep: list[str] | None = None) -> DataFrame:
     """(id, keep..., one array<int> of votes per defect), one row per id."""
     keep = keep or []
     flat = spread(df.select(F.col(f"`{id_col}`").cast("string").alias("id"), *[F.col(f"`{c}`") for c in keep], F.col(f"`{instruction}`").alias("_ask"), F.col(f"`{output}`").alias("_out")).where("id is not null"))
-    held = df.sparkSession.sparkContext.broadcast(model)
+    held = df.sparkSession.sparkContext.broadcast((model, *answers))  # of fixed size
     kinds = {f.name: f.dataType for f in flat.schema if f.name in keep}
     schema = T.StructType([T.StructField("id", T.StringType()), *[T.StructField(c, kinds[c]) for c in keep], *[T.StructField(d, T.ArrayType(T.ByteType())) for d in DEFECTS]])
     edges = np.cumsum([0, *[FUNCTIONS[d] for d in DEFECTS]])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = held.value
+        m, told, endings = held.value
         home = m.languages.index("yo")
         for pdf in parts:
             outs = [canonical_form(t) if t is not None else "" for t in pdf["_out"]]
@@ -195,18 +269,32 @@ def label_votes(df: DataFrame, model: LanguageModel, id_col: str = "id", instruc
             away = (best != home) & (best >= 0) & (sure >= 0.6)
             known = np.bincount(at, weights=n * (best >= 0), minlength=len(outs))
             share = np.bincount(at, weights=n * away, minlength=len(outs)) / np.maximum(known, 1)
-            votes = np.array([votes_of(a, o, s) for a, o, s in zip(pdf["_ask"], outs, share, strict=True)], dtype=np.int8).reshape(len(pdf), -1)
+            votes = np.array([votes_of(a, o, s, told.score(o), endings) for a, o, s in zip(pdf["_ask"], outs, share, strict=True)], dtype=np.int8).reshape(len(pdf), -1)
             yield pd.DataFrame({"id": pdf["id"].to_numpy(), **{c: pdf[c].to_numpy() for c in keep}, **{d: list(votes[:, edges[k] : edges[k + 1]]) for k, d in enumerate(DEFECTS)}})
 
     # repeated ids carry the same texts: one is enough, and which one does not matter for equal rows
     return flat.mapInPandas(run, schema).dropDuplicates(["id"])
 
 
-def pair_defects(df: DataFrame, model: LanguageModel, id_col: str = "id", instruction: str = "instruction", output: str = "output", keep: list[str] | None = None, cutoffs: dict[str, float] | None = None) -> DataFrame:
+def best_cutoffs(posteriors: dict[str, np.ndarray], truth: dict[str, np.ndarray]) -> dict[str, tuple[float, float]]:
+    """For each defect the range of cutoffs at which the F measure on labelled pairs is highest."""
+    out = {}
+    for d, p in posteriors.items():
+        edges = np.unique(np.concatenate([[0.0], p, [1.0]]))
+        middles, score = (edges[1:] + edges[:-1]) / 2, []
+        for c in middles:
+            hit = p >= c
+            score.append(2 * (hit & truth[d]).sum() / max(1, hit.sum() + truth[d].sum()))
+        best = np.flatnonzero(np.array(score) >= max(score) - 1e-12)
+        out[d] = (float(edges[best[0]]), float(edges[best[-1] + 1]))
+    return out
+
+
+def pair_defects(df: DataFrame, model: LanguageModel, id_col: str = "id", instruction: str = "instruction", output: str = "output", keep: list[str] | None = None, cutoffs: dict[str, float] | None = None, expected: Column | None = None) -> DataFrame:
     """(id, keep..., p_<defect> for each defect, defects): posteriors and all defects that reach their cutoff, in
-    the order of DEFECTS."""
+    the order of DEFECTS. expected: where an answer is meant to decline."""
     spark, cutoffs = df.sparkSession, cutoffs or CUTOFFS
-    votes = cut(label_votes(df, model, id_col, instruction, output, keep), "votes")
+    votes = cut(label_votes(df, model, fit_answer_models(df, expected, id_col, output), id_col, instruction, output, keep), "votes")
     out = votes
     for d in DEFECTS:
         rows = votes.groupBy(d).count().collect()  # at most 3 ** FUNCTIONS[d] rows

@@ -57,7 +57,7 @@ def p2_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _defects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pair_defects(table(spark, sf_dir, "final_record"), fit_language_model(table(spark, sf_dir, "documents")), keep=["question_type"])
+    return pair_defects(table(spark, sf_dir, "final_record"), fit_language_model(table(spark, sf_dir, "documents")), keep=["question_type"], expected=F.col("question_type") == "out_of_scope")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,24 +98,49 @@ def test_held_out_languages():
     assert [m.languages[i] for i in best] == ["yo"] * 4 + ["en", "fr"] and (sure > 0.5).all()
 
 
-# pairs whose defects were checked by hand
+Q1, Q2 = "Kí ni ibà?", "Báwo ni a ṣe ń dènà àrùn jẹjẹrẹ fún àwọn ọmọdé?"
+YO = SENTENCES["yo"]
+# pairs labelled by hand, in words that are in none of the labelling functions' tables as a whole
 CHECKED = [
-    ("Kí ni ibà?", None, "empty"), ("Kí ni ibà?", " N/A ", "empty"), ("Kí ni ibà?", "[ ]", "empty"), ("Kí ni ibà fún àwọn ọmọdé?", "KI NI IBA FUN AWON OMODE", "copy"), ("Kí ni ibà fún àwọn ọmọdé?", "Ìdáhùn: Kí ni ibà fún àwọn ọmọdé?", "copy"),
-    ("Kí ni ibà?", "Má bínú, n kò lè dáhùn ìbéèrè yìí. Ẹ jọ̀wọ́, ẹ lọ bá dókítà ní Ìta. Mi ò mọ ìtàn ìlera yín.", "refusal"), ("Kí ni ibà?", "I'm sorry, but I can't answer this. Please see a doctor in Ita. I do not know your history.", "refusal"),
-    ("Kí ni ibà?", SENTENCES["en"][0] + " " + SENTENCES["en"][2], "language"), ("Kí ni ibà?", SENTENCES["yo"][1] + " Wọ́n ra ẹja àti", "truncated"), ("Kí ni ibà?", SENTENCES["yo"][1] + " Wọ́n ra nítorí.", "truncated"),
-    ("Kí ni ibà?", SENTENCES["yo"][1] + " Wọ́n ra ẹja...", "truncated"), ("Kí ni ibà?", SENTENCES["yo"][1] + "\n- ẹja\n- ata", None), ("Kí ni ibà?", "“" + SENTENCES["yo"][0] + "” 👍", None), ("Kí ni ibà?", L._bare(SENTENCES["yo"][1]), None),
+    (Q1, None, "empty"), (Q1, " N/A ", "empty"), (Q1, "[ ]", "empty"), (Q1, "…", "empty"), (Q1, "TBD", "empty"),
+    ("Kí ni ibà fún àwọn ọmọdé?", "KI NI IBA FUN AWON OMODE", "copy"), ("Kí ni ibà fún àwọn ọmọdé?", "Ìdáhùn: Kí ni ibà fún àwọn ọmọdé?", "copy"), (Q2, Q2, "copy"), (Q2, "“" + L._bare(Q2) + "”", "copy"),
+    (Q1, "Mo tọrọ gáfárà, èmi kò lágbára, mi ò le dá yín lóhùn. Ẹ jọ̀wọ́, ẹ rí oníṣègùn ní Ìta.", "refusal"), (Q2, "N kò ní àṣẹ láti sọ nípa èyí. Ẹ jọ̀wọ́, ẹ lọ sí ilé ìwòsàn.", "refusal"),
+    (Q1, "Unfortunately I must not advise anyone on this matter. Please visit a hospital near you.", "refusal"), (Q2, "My makers do not let me help with such things, and I cannot tell you more.", "refusal"), (Q1, "Je ne suis pas en mesure de vous aider. Veuillez voir un médecin.", "refusal"),
+    (Q1, SENTENCES["en"][0] + " " + SENTENCES["en"][2], "language"), (Q2, SENTENCES["fr"][1] + " " + SENTENCES["fr"][2], "language"), (Q2, SENTENCES["ha"][0] + " " + SENTENCES["ha"][1], "language"),
+    (Q1, YO[1] + " Wọ́n ra ẹja àti", "truncated"), (Q1, YO[1] + " Wọ́n ra nítorí.", "truncated"), (Q1, YO[1] + " Wọ́n ra ẹja...", "truncated"), (Q2, YO[0] + " Àwọn olùkọ́ ní ilé ìw", "truncated"), (Q2, YO[2] + " Ẹ jẹ́ kí a mu omi –", "truncated"),
+    (Q1, YO[1] + "\n- ẹja\n- ata", None), (Q1, "“" + YO[0] + "” 👍", None), (Q1, L._bare(YO[1]), None), (Q2, "Ó dára kí ẹ lọ bá dókítà. " + YO[3], None), (Q2, "Máa ń kọ́ àwọn ọmọ bí wọ́n ṣe lè fọ ọwọ́. Omi tó mọ́ kò léwu.", None),
 ]
-
-
-def test_pair_defects(spark):
-    good = [(f"g{i}", "Kí ló yẹ kí a ṣe?", SENTENCES["yo"][i % 4] + " " + SENTENCES["yo"][(i + 1) % 4]) for i in range(150)]
-    rows = good + [(f"c{i}", a, o) for i, (a, o, _) in enumerate(CHECKED)] + [("c0", CHECKED[0][0], None), (None, "x", "y"), ("n", None, SENTENCES["yo"][0])]
-    df = spark.createDataFrame(rows, "id string, instruction string, output string").withColumn("defects", F.lit("clash"))
-    got = {r["id"]: r["d"] for r in P.pair_defects(df, model()).select("id", P.first_defect(F.col("defects"), F.lit(False)).alias("d")).collect()}
-    assert len(got) == 150 + len(CHECKED) + 1
-    assert {i: got[f"c{i}"] for i in range(len(CHECKED))} == {i: d for i, (_, _, d) in enumerate(CHECKED)}
-    assert all(got[f"g{i}"] is None for i in range(150)) and got["n"] is None
-    assert P.pair_defects(df.limit(0), model()).count() == 0
+# answers to questions out of scope, declined on purpose, in yet other words
+DECLINED = ["A kì í jẹ́ kí n sọ irú ọ̀rọ̀ bẹ́ẹ̀. Ẹ béèrè lọ́wọ́ dókítà yín.", "Mi ò lè sọ nípa owó oògùn yìí. Ẹ jọ̀wọ́, ẹ lọ sí ilé ìwòsàn.", "I will not say which pills to buy. Please ask a nurse."]
+
+
+@pytest.fixture(scope="module")
+def judged(spark):
+    good = [(f"g{i}", "Kí ló yẹ kí a ṣe?", YO[i % 4] + " " + YO[(i + 1) % 4], "derived") for i in range(300)]
+    rows = good + [(f"c{i}", a, o, "derived") for i, (a, o, _) in enumerate(CHECKED)] + [("c0", CHECKED[0][0], None, "derived"), (None, "x", "y", None), ("n", None, YO[0], None)]
+    rows += [(f"d{i}", "Èló ni oògùn?", DECLINED[i % 3], "out_of_scope") for i in range(24)]
+    df = spark.createDataFrame(rows, "id string, instruction string, output string, question_type string").withColumn("defects", F.lit("clash"))
+    out = P.pair_defects(df, model(), keep=["question_type"], expected=F.col("question_type") == "out_of_scope")
+    return df, {r["id"]: r for r in out.withColumn("d", P.first_defect(F.col("defects"), F.col("question_type") == "out_of_scope")).collect()}
+
+
+def test_pair_defects(judged):
+    df, got = judged
+    assert len(got) == 300 + len(CHECKED) + 1 + 24
+    assert {i: got[f"c{i}"]["d"] for i in range(len(CHECKED))} == {i: d for i, (_, _, d) in enumerate(CHECKED)}
+    assert all(got[f"g{i}"]["d"] is None for i in range(300)) and got["n"]["d"] is None
+    assert all("refusal" in got[f"d{i}"]["defects"] and got[f"d{i}"]["d"] != "refusal" for i in range(24) if i % 3 == 1)
+    assert P.pair_defects(df.limit(0), model(), expected=F.lit(True)).count() == 0
+    assert P.pair_defects(df, model()).where("id = 'c0'").first()["defects"] == ["empty"]
+
+
+def test_cutoffs_are_the_best_ones(judged):
+    """The cutoffs lie in the ranges of the highest F measure on the pairs labelled by hand and sound ones."""
+    _, got = judged
+    ids = [f"c{i}" for i in range(len(CHECKED))] + [f"g{i}" for i in range(300)]
+    want = [d for _, _, d in CHECKED] + [None] * 300
+    ranges = P.best_cutoffs({d: np.array([got[i][f"p_{d}"] for i in ids]) for d in P.DEFECTS}, {d: np.array([w == d for w in want]) for d in P.DEFECTS})
+    assert all(low <= P.CUTOFFS[d] <= high for d, (low, high) in ranges.items()), ranges
 
 
 def test_label_model_recovers_planted_rates():
