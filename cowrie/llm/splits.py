@@ -3,7 +3,8 @@
 Method: records are joined into components (a claim, or whatever several key columns connect); within each
 stratum the components' weights are balanced by largest differencing into many nearly equal bins (the two
 partial partitions with the largest spread are merged, heaviest bin with lightest, until one is left); whole
-bins then go to train, val and test by what each still lacks of its target.
+bins then go to train, val and test by what each still lacks of its target. Of the numbers of bins in CHOICES each
+stratum takes the one with which whole bins meet the targets best.
 
 Scale: components are pre-aggregated to (component, weight). A stratum of more than `block` components is cut
 into hash blocks, each balanced in its own task; the blocks' bins are balanced again, level by level, so no
@@ -34,7 +35,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of an undirected graph given as (a, b): the smallest node of each component.
 
     Alternating large-star and small-star steps: every step links neighbours to the smallest node they can see,
-    so long chains shrink geometrically; each step is one shuffle, with no group collected into a task."""
+    so long chains shrink geometrically; each step is one shuffle, with no group collected into a task. The join of a
+    hub's edges with its smallest neighbour is skewed; adaptive execution splits it. Rounds that do not suffice are an error."""
     links = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
     for _ in range(rounds):
         both = links.select("u", "v").unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -47,6 +49,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         links = new
         if same:
             break
+    else:
+        raise RuntimeError(f"components have not settled after {rounds} rounds")
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     return nodes.join(links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("low")), "node", "left").select("node", F.coalesce("low", "node").alias("component"))
 
@@ -121,17 +125,39 @@ def allocate(weights: np.ndarray, shares: dict[str, float]) -> list[str]:
     return out
 
 
-def _balance(items: DataFrame, bins: int) -> DataFrame:
-    """items (stratum, block, item, weight) with the bin of each item within its stratum and block."""
+#: Numbers of bins to choose from: few bins are very even if there are many components, many bins are finer shares.
+CHOICES = (10, 20, 50, 100, 200)
+
+
+def balanced_for(weights: np.ndarray, shares: dict[str, float], choices: tuple[int, ...] = CHOICES) -> np.ndarray:
+    """The bin of each weight, with the number of bins at which the splits miss their targets least (of equal ones the
+    fewest)."""
+    best, found = np.inf, np.zeros(len(weights), dtype=np.int64)
+    target = np.array(list(shares.values())) / sum(shares.values()) * weights.sum()
+    for bins in choices:
+        at = largest_differencing(weights, bins)
+        filled = np.unique(at)
+        sums = np.bincount(at, weights=weights)[filled]
+        given = np.array(allocate(sums, shares))
+        missed = max(abs(sums[given == s].sum() - t) for s, t in zip(shares, target, strict=True))
+        if missed < best - 1e-9:
+            best, found = missed, at
+    return found
+
+
+def _balance(items: DataFrame, bins: int, shares: dict[str, float]) -> DataFrame:
+    """items (stratum, block, item, weight, last) with the bin of each item within its stratum and block; a stratum's
+    last level chooses its number of bins."""
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["weight", "item"], ascending=[False, True], kind="stable")
-        return pdf.assign(bin=largest_differencing(pdf["weight"].to_numpy(), bins))
+        weights = pdf["weight"].to_numpy()
+        return pdf.assign(bin=balanced_for(weights, shares) if pdf["last"].iloc[0] else largest_differencing(weights, bins)).drop(columns="last")
 
     return items.groupBy("stratum", "block").applyInPandas(of, "stratum string, block long, item string, weight long, bin long")
 
 
-def balanced_bins(weights: DataFrame, bins: int = 200, block: int = 20_000) -> DataFrame:
+def balanced_bins(weights: DataFrame, shares: dict[str, float], bins: int = 200, block: int = 20_000) -> DataFrame:
     """(stratum, item, weight, bin) from (stratum, item, weight): nearly equal bins within each stratum."""
     block = max(block, 4 * bins)  # so that each level has at most a quarter of the weights of the one below
     level = weights.select("stratum", "item", "weight")
@@ -139,8 +165,8 @@ def balanced_bins(weights: DataFrame, bins: int = 200, block: int = 20_000) -> D
     while True:
         sizes = level.groupBy("stratum").count().select("stratum", F.ceil(F.col("count") / block).alias("blocks"))
         most = sizes.agg(F.max("blocks")).first()[0] or 1
-        placed = level.join(sizes, "stratum").select("stratum", F.pmod(F.xxhash64("item"), F.col("blocks")).alias("block"), "item", "weight")
-        done = cut(_balance(placed, bins), "bins")
+        placed = level.join(sizes, "stratum").select("stratum", F.pmod(F.xxhash64("item"), F.col("blocks")).alias("block"), "item", "weight", (F.col("blocks") <= 1).alias("last"))
+        done = cut(_balance(placed, bins, shares), "bins")
         steps.append(done)
         if most <= 1:
             break
@@ -176,7 +202,7 @@ def split_components(records: DataFrame, id_col: str, keys: dict[str, Column], s
         ),
         "components",
     )
-    placed = cut(balanced_bins(whole.select("stratum", F.col("component").alias("item"), F.col("records").alias("weight")), bins, block), "placed")
+    placed = cut(balanced_bins(whole.select("stratum", F.col("component").alias("item"), F.col("records").alias("weight")), shares, bins, block), "placed")
 
     def give(pdf: pd.DataFrame) -> pd.DataFrame:  # at most `bins` rows of one stratum
         pdf = pdf.sort_values("bin")

@@ -34,6 +34,19 @@ def test_largest_differencing():
     assert Counter(hot)[hot[0]] == 1
 
 
+def test_number_of_bins_is_chosen():
+    rng = np.random.default_rng(4)
+    for n in (30, 60, 120, 400, 2000):
+        w = rng.zipf(1.8, n).clip(1, 60)
+        missed = []
+        for at in (S.balanced_for(w, S.SHARES), *(S.balanced_for(w, S.SHARES, (k,)) for k in S.CHOICES)):
+            sums = np.bincount(at, weights=w)[np.unique(at)]
+            given = np.array(S.allocate(sums, S.SHARES))
+            missed.append(max(abs(sums[given == k].sum() - v * w.sum()) for k, v in S.SHARES.items()))
+        assert missed[0] == min(missed) and missed[0] <= max(1.0, 0.012 * w.sum())
+        assert n < 400 or len(np.unique(S.balanced_for(w, S.SHARES))) < n / 2  # bins are merged from components
+
+
 def test_split_keeps_claims_whole(spark):
     rows = [(f"r{i}", f"s-t-{i // 3}", "T1" if i % 2 else "t1 ", "train" if i % 5 else "val") for i in range(900)] + [(f"h{i}", "hot-t-1", None if i % 7 else "t2", "train") for i in range(500)]
     df = spark.createDataFrame([*rows, rows[0], ("n", None, "t1", "train")], "id string, claim_id string, topic string, split string").withColumn("component", F.lit("clash"))
