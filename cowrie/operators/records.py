@@ -8,7 +8,7 @@ import operator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cowrie.functions.text import blank_to_null, nfc, strip_diacritics, token_legality
+from cowrie.functions.text import blank_to_null, charset_report, nfc, strip_diacritics, token_legality
 
 
 class MissingInputError(FileNotFoundError):
@@ -141,6 +141,12 @@ def record_problems(kinds: tuple[str, ...], topics: tuple[str, ...]) -> Column:
     )
 
 
+def text_reports(columns: list[str]) -> Column:
+    """(column, valid, signs, positions) of each text column that is not null: what its spelling does not allow."""
+    each = [F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("column"), charset_report(F.col(c)).alias("r"))) for c in columns]
+    return F.transform(F.array_compact(F.array(*each)), lambda x: F.struct(x["column"].alias("column"), x["r"]["valid"].alias("valid"), x["r"]["signs"].alias("signs"), x["r"]["positions"].alias("positions")))
+
+
 def edit_problems() -> Column:
     """What is wrong with an edited row (id, question_yo_final, answer_yo_final)."""
     texts = ("question_yo_final", "answer_yo_final")

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cowrie.functions import metrics, text
-from cowrie.operators import agreement, evaluation, guard, records, sampling, segment, setjoin
+from cowrie.functions.tokenizer import token_count
+from cowrie.operators import agreement, engines, evaluation, guard, records, sampling, segment, setjoin
 from cowrie.session import shared_folder, table
 from cowrie.sources import io
 from cowrie.streaming import interactions
@@ -305,6 +306,21 @@ def q_fertility(spark, d):
     return evaluation.fertility(working(spark, d), {"en": "answer_en", "yo": "answer_yo_final"})
 
 
+@query
+def q_token_fertility(spark, d):
+    """Tokens of a public tokenizer per word."""
+    return evaluation.fertility(working(spark, d), {"en": "answer_en", "yo": "answer_yo_final"}, token_count(F.concat(F.lit(" "), F.col("word"))))
+
+
+@query
+def q_systems(spark, d):
+    """Answers of two systems and of one that is not installed to the questions of the test split, counted, best first."""
+    asked = final(spark, d).where("split = 'test'").select("id", F.col("instruction").alias("question"))
+    systems = engines.Systems().register("echo", engines.FunctionEngine(lambda q: F.when(F.length(q) > 60, q))).register("short", engines.FunctionEngine(lambda q: F.substring(q, 1, 20))).register("absent", engines.MissingEngine("not installed"))
+    out = systems.generations(asked).groupBy("system_id", "skip_reason").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("answer")), F.lit(0)).alias("characters"))
+    return engines.ranked(out, "characters", "n")
+
+
 @query
 def q_masked_labels(spark, d):
     f = final(spark, d).where("output is not null").withColumn("ids", F.transform(F.split("output", ""), F.ascii))

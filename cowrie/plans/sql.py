@@ -237,6 +237,9 @@ def oracle_sql() -> dict[str, str]:
           coalesce(answer_en, '') AS source_en, coalesce(source_ref, '') AS source_ref, coalesce(validated_ling, FALSE) AS validated_ling, coalesce(validated_clin, FALSE) AS validated_clin FROM {WORK} WHERE {_blank('question_yo_final')} IS NOT NULL AND {_blank('answer_yo_final')} IS NOT NULL""",
         "q_topic_count": f"SELECT count(DISTINCT lower(trim(topic))) AS n_topics, (SELECT count(DISTINCT claim_id) FROM {KEYED}) AS n_claims FROM {FINAL}",
         "q_common_terms": f"""SELECT CAST(row_number() OVER (ORDER BY frequency DESC, term) AS INTEGER) AS rank, term, frequency FROM (SELECT term, count(id) AS frequency FROM (SELECT DISTINCT term_en AS term, {TERM_RE} AS re FROM terminology WHERE term_en IS NOT NULL) JOIN {WORK} w ON regexp_matches(w.answer_en, re) GROUP BY 1)""",
+        "q_systems": f"""SELECT CAST(row_number() OVER (ORDER BY characters DESC NULLS LAST, n) AS INTEGER) AS place, * FROM (SELECT system_id, skip_reason, count(*) AS n, CAST(coalesce(sum(length(answer)), 0) AS BIGINT) AS characters
+          FROM (SELECT 'echo' AS system_id, CASE WHEN length(instruction) > 60 THEN instruction END AS answer, CASE WHEN length(instruction) > 60 THEN NULL ELSE 'no answer' END AS skip_reason FROM {FINAL} WHERE split = 'test'
+          UNION ALL SELECT 'short', substr(instruction, 1, 20), NULL FROM {FINAL} WHERE split = 'test' UNION ALL SELECT 'absent', NULL, 'not installed' FROM {FINAL} WHERE split = 'test') GROUP BY 1, 2)""",
         "q_masked_labels": f"SELECT id, least(length(instruction), greatest(length(output), 1)) AS masked FROM {FINAL} WHERE output IS NOT NULL",
         "q_few_shot": f"""WITH f AS (SELECT * FROM {FINAL}), s AS (SELECT string_agg('Q: ' || instruction || chr(10) || 'A: ' || output, chr(10) || chr(10) ORDER BY id) AS t FROM (SELECT * FROM f WHERE split = 'train' AND output IS NOT NULL ORDER BY id LIMIT 3))
           SELECT id, length('Answer in Yoruba.' || chr(10) || chr(10) || t || chr(10) || chr(10) || 'Q: ' || instruction || chr(10) || 'A:') AS prompt_length FROM f, s WHERE split = 'test'""",

@@ -11,12 +11,13 @@ import uuid
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cowrie.functions.text import blank_to_null
 from cowrie.operators.records import MissingInputError, keep_last
+from cowrie.operators.segment import running_ids
 
 RAW_DOCUMENT = T.StructType([T.StructField(c, T.StringType()) for c in ("source_name", "url", "retrieval_date", "licence", "licence_url", "sha256", "raw_text")])
 SKIPPED = ("script", "style", "nav", "footer", "header")
@@ -48,9 +49,79 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, strict: boo
     return df.drop("_corrupt_record")
 
 
-def write_jsonl(df: DataFrame, path: str) -> None:
-    """JSON lines in UTF-8, null fields written."""
-    df.write.option("ignoreNullFields", "false").json(path)
+def write_jsonl(df: DataFrame, path: str) -> int:
+    """JSON lines in UTF-8, null fields written; gives the number of rows, counted as they are written."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.option("ignoreNullFields", "false").json(path)
+    return int(seen.get["rows"])
+
+
+def write_documents(df: DataFrame, path: str) -> None:
+    """Raw documents as JSON, one folder per source."""
+    df.withColumn("_source", F.col("source_name")).write.partitionBy("_source").option("ignoreNullFields", "false").json(path)
+
+
+def scan_documents(spark: SparkSession, path: str, schema: T.StructType = RAW_DOCUMENT) -> DataFrame:
+    """Documents of one JSON file each below path, with `file`, `slug` (the file's stem) and `number` in the order of their
+    paths, on which the ids of later stages depend."""
+    df = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(path).withColumn("file", F.col("_metadata.file_path"))
+    named = df.withColumn("slug", F.regexp_replace(F.regexp_extract("file", r"([^/]+)$", 1), r"\.[^.]+$", ""))
+    return running_ids(named, ["file"], "%d").withColumn("number", F.col("id").cast("long")).drop("id")
+
+
+def read_config(path: str) -> dict:
+    """A configuration from JSON, or from YAML where a YAML reader is installed."""
+    with open(path, encoding="utf-8") as f:
+        if not path.endswith((".yaml", ".yml")):
+            return json.load(f)
+        try:
+            import yaml
+        except ModuleNotFoundError:
+            raise RuntimeError(f"{path} needs a YAML reader, which is not installed; write it as JSON") from None
+        return yaml.safe_load(f)
+
+
+def setting(config: dict, name: str):
+    """A value by its dotted name; a missing one is an error that says which part is missing."""
+    out = config
+    for part in name.split("."):
+        if not isinstance(out, dict) or part not in out:
+            raise KeyError(f"configuration lacks {part!r} of {name!r}")
+        out = out[part]
+    return out
+
+
+def read_answers(spark: SparkSession, path: str) -> DataFrame:
+    """(question, answer) of cached answers; empty if there is no such file. Of repeated questions one answer holds."""
+    kinds = T.StructType([T.StructField("question", T.StringType()), T.StructField("answer", T.StringType())])
+    try:
+        need(spark, path, "")
+    except MissingInputError:
+        return spark.createDataFrame([], kinds)
+    return read_jsonl(spark, path, kinds).where("question is not null and answer is not null").groupBy(F.trim("question").alias("question")).agg(F.min("answer").alias("answer"))
+
+
+def write_blinding(items: DataFrame, key: DataFrame, items_path: str, key_path: str) -> None:
+    """Blinded items and their secret key, apart: items that still name a system, or a key below the items, are an error."""
+    if "system_id" in items.columns or key_path.rstrip("/").startswith(items_path.rstrip("/") + "/") or key_path == items_path:
+        raise ValueError("the key must lie apart from the items, which must not name systems")
+    items.write.json(items_path)
+    key.write.json(key_path)
+
+
+def write_generations(df: DataFrame, path: str) -> None:
+    """Generations as JSON lines, one folder per system."""
+    df.write.partitionBy("system_id").option("ignoreNullFields", "false").json(path)
+
+
+def read_generations(spark: SparkSession, path: str, schema: T.StructType, systems: list[str] | None = None) -> DataFrame:
+    """Generations of all systems, or those named, whose folders alone are read; a named one without any is an error."""
+    df = spark.read.schema(T.StructType([*[f for f in schema.fields if f.name != "system_id"], T.StructField("system_id", T.StringType())])).json(path)
+    if systems is None:
+        return df
+    for s in systems:
+        need(spark, f"{path}/system_id={s}", "evaluation", f"system {s} has no generations")
+    return df.where(F.col("system_id").isin(*systems))
 
 
 def read_sheet(spark: SparkSession, path: str, columns: list[str], key: str) -> DataFrame:
