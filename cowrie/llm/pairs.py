@@ -80,8 +80,13 @@ _READER = re.compile(r"^\W*(?:e|yin|please|kindly|you|abeg|biko|don allah|veuill
 _PARDON = re.compile(r"^\W*(?:\w+\W+){0,2}(?:binu|dakun|jowo|joo|sorry|apologies|apologise|unfortunately|pardon|afraid|thank|thanks|seun|desolee?|regrette|hakuri|ndo)\b")
 
 
+_ANY_FIRST = re.compile(r"\b(?:mo|mi|emi|n ko|i|i'm|me|my|je|j'ai|moi|m|mu)\b|\bba(?:n|ni| ni| zan| na)\b")
+
+
 def _declines(sentence: str) -> bool:
     """Whether a folded sentence has a first person, a negation or limit, and an ability or permission of one language."""
+    if not _ANY_FIRST.search(sentence):
+        return False
     return any(all(p.search(sentence) for p in parts) for parts in _SAYS) or bool(_I_NOT.search(sentence) and _SAYS[0][2].search(sentence))
 
 
@@ -92,18 +97,20 @@ class DecliningModel:
         counts = [Counter(f for t in side for f in self.features(t)) for side in (yes, no)]
         kept = [f for f in counts[0].keys() | counts[1].keys() if counts[0][f] + counts[1][f] >= least]
         a, b = len(yes) + 2 * smooth, len(no) + 2 * smooth
-        self.weights = {f: math.log((counts[0][f] + smooth) / a) - math.log((counts[1][f] + smooth) / b) for f in sorted(kept)}
+        self.weights = {f: math.log((counts[0][f] + smooth) / a) - math.log((counts[1][f] + smooth) / b) for f in kept}
         self.usable = len(yes) >= 20 and len(no) >= 20
 
     @staticmethod
-    def features(text: str) -> set[str]:
+    def features(text: str) -> set:
         words = _words(fold(text))
-        return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))}
+        return {*words, *zip(words, words[1:])}
 
-    def score(self, text: str) -> float:
-        """Above zero for what reads like declining; zero if nothing is known."""
-        known = [self.weights[f] for f in self.features(text) if f in self.weights]
-        return sum(known) / len(known) if known and self.usable else 0.0
+    def score(self, words: list[str]) -> float:
+        """Above zero for what reads like declining, given the words of a folded text; zero if nothing is known."""
+        if not self.usable:
+            return 0.0
+        known = [w for w in map(self.weights.get, {*words, *zip(words, words[1:])}) if w is not None]
+        return math.fsum(known) / len(known) if known else 0.0
 
 
 class EndingModel:
@@ -145,33 +152,46 @@ _ITEM = re.compile(r"^\s*(?:[-–—•*]|\(?\d{1,3}[.)]|\(?[a-z][.)])\s+\S")
 _TAIL = re.compile(r"[\s‍️\U0001f000-\U0001faff☀-➿]+$")
 
 
+class _Unmarked(dict):
+    """Marks become nothing, the apostrophe plain, filled as characters are met."""
+
+    def __missing__(self, code: int) -> str | int:
+        self[code] = out = "" if unicodedata.category(chr(code)) == "Mn" else "'" if code == 0x2019 else code
+        return out
+
+
+_UNMARKED = _Unmarked()
+
+
 def fold(text: str) -> str:
     """Lower case, no accents, one space between words."""
-    flat = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if unicodedata.category(c) != "Mn")
-    return " ".join(flat.replace("’", "'").split())
+    return " ".join(unicodedata.normalize("NFD", text.lower()).translate(_UNMARKED).split())
+
+
+_WORD = re.compile(r"[^\W_]+(?:['-][^\W_]+)*")
 
 
 def _words(folded: str) -> list[str]:
-    return re.findall(r"[^\W_]+(?:['-][^\W_]+)*", folded)
+    return _WORD.findall(folded)
 
 
 def _vote(yes: bool, no: bool) -> int:
     return 1 if yes else -1 if no else 0
 
 
-def votes_of(instruction: str | None, output: str | None, foreign_share: float, declining: float = 0.0, endings: EndingModel | None = None) -> list[int]:
+def votes_of(instruction: str | None, output: str | None, foreign_share: float, declining: DecliningModel | None = None, endings: EndingModel | None = None) -> list[int]:
     """The labelling functions' votes (1 for, -1 against, 0 none) in the order of DEFECTS and FUNCTIONS.
-    foreign_share: share of the output's letters in sentences that the language model calls not Yoruba; declining: the
-    score of DecliningModel; endings: how often words end sentences."""
-    raw = canonical_form(output or "") or ""
+    foreign_share: share of the output's letters in sentences that the language model calls not Yoruba; output is in its
+    consistent form (confusables.canonical_form)."""
+    raw = output or ""
     out, ask = fold(raw), fold(canonical_form(instruction or "") or "")
     words, asked = _words(out), _words(ask)
-    letters = sum(c.isalnum() for c in out)
+    letters = sum(map(len, words))
     plain = out.strip(" .!?-–—…[](){}<>_*'\"")
     v = [
         _vote(letters == 0, letters > 0),
         _vote(not plain or plain in PLACEHOLDERS, len(words) >= 3),
-        _vote(len(words) <= 1 and letters <= 0.2 * sum(c.isalnum() for c in ask), len(words) >= 5),
+        _vote(len(words) <= 1 and letters <= 0.2 * sum(map(len, asked)), len(words) >= 5),
     ]
     known = set(asked)
     inside = sum(w in known for w in words) / len(words) if words else 0.0
@@ -185,9 +205,10 @@ def votes_of(instruction: str | None, output: str | None, foreign_share: float,
     declined = sum(map(_declines, said))
     sent_on = sum(bool(_HEALER.search(x) and _READER.search(x)) for x in said)
     brief = len(words) <= 45
+    score = declining.score(words) if declining else 0.0
     v += [
         _vote(brief and declined > 0, declined == 0),
-        _vote(declining > 0.5, declining < -0.5),
+        _vote(score > 0.5, score < -0.5),
         _vote(brief and 3 * sent_on >= len(said) > 0, sent_on == 0),
         _vote(brief and bool(_PARDON.search(out)), not brief),
     ]
@@ -269,7 +290,7 @@ def label_votes(df: DataFrame, model: LanguageModel, answers: tuple[DecliningMod
             away = (best != home) & (best >= 0) & (sure >= 0.6)
             known = np.bincount(at, weights=n * (best >= 0), minlength=len(outs))
             share = np.bincount(at, weights=n * away, minlength=len(outs)) / np.maximum(known, 1)
-            votes = np.array([votes_of(a, o, s, told.score(o), endings) for a, o, s in zip(pdf["_ask"], outs, share, strict=True)], dtype=np.int8).reshape(len(pdf), -1)
+            votes = np.array([votes_of(a, o, s, told, endings) for a, o, s in zip(pdf["_ask"], outs, share, strict=True)], dtype=np.int8).reshape(len(pdf), -1)
             yield pd.DataFrame({"id": pdf["id"].to_numpy(), **{c: pdf[c].to_numpy() for c in keep}, **{d: list(votes[:, edges[k] : edges[k + 1]]) for k, d in enumerate(DEFECTS)}})
 
     # repeated ids carry the same texts: one is enough, and which one does not matter for equal rows
