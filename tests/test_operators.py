@@ -289,3 +289,55 @@ def test_fleiss_uses_every_number_of_ratings(spark):
         po = sum((sum(vs.count(c) ** 2 for c in "xyz") - m) / (m * (m - 1)) for vs in items) / len(items)
         pe = sum(("".join(items).count(c) / (m * len(items))) ** 2 for c in "xyz")
         assert (row["observed"], row["expected"], row["kappa"]) == (round(po, 6), round(pe, 6), round((po - pe) / (1 - pe), 6))
+
+
+def test_release_gates_and_reports(spark):
+    df = spark.createDataFrame([("1", "c", "Ẹ̀?", "a b", None, None, None, None, True, None), ("2", "c", " ", "x", "t", "derived", "e", "r", True, True)], "id string, claim_id string, question_yo_final string, answer_yo_final string, topic string, question_type string, answer_en string, source_ref string, validated_ling boolean, validated_clin boolean")
+    (r,) = records.released(df).collect()
+    assert (r["id"], r["instruction_nodia"], r["input"], r["topic"], r["question_type"], r["source_en"], r["validated_ling"], r["validated_clin"]) == ("1", "E?", "", "unclassified", "derived", "", True, False)
+    sheet = spark.createDataFrame([("1", "yes", " x "), ("2", None, "no"), ("3", "TRUE", "1")], "id string, f string, g string")
+    assert {(r["id"], r["f"], r["g"]) for r in records.confirmed_flags(sheet, "id", ["f", "g"]).collect()} == {("1", True, True), ("2", False, False), ("3", True, True)}
+    open_ = sheet.withColumn("g", F.when(F.col("id") == "2", " suggested ").otherwise(F.col("g")))
+    assert [tuple(r) for r in records.unresolved_flags(open_, "id", ["f", "g"]).collect()] == [("2", "g")]
+    with pytest.raises(records.GateError):
+        records.confirmed_flags(open_, "id", ["f", "g"])
+    (r,) = df.where("id = '1'").select(records.text_reports(["question_yo_final", "topic"]).alias("r")).collect()
+    assert [(x["column"], x["valid"]) for x in r["r"]] == [("question_yo_final", True)]
+
+
+def test_topics_references_questions(spark):
+    df = spark.createDataFrame([("malaria", "x is caused by y", "malaria"), ("odd", "nothing", "malaria")], "slug string, claim string, name string")
+    topics = {"malaria": "malaria", "gone": "not valid"}
+    assert [r[0] for r in df.select(segment.slug_topic(F.col("slug"), topics, ("malaria",))).collect()] == ["malaria", None]
+    assert df.select(segment.source_reference(F.lit("s"), F.col("slug"), F.lit("2024-01-01"), F.lit("open"))).first()[0] == "s (malaria), retrieved 2024-01-01, licence: open"
+    cats = [segment.Category("causes", ("caused",), "What causes {topic}?")]
+    plain = segment.with_question(df, "claim", "name", cats, "What of {topic}?")
+    assert [(r["question"], r["backend_used"]) for r in plain.collect()] == [("What causes malaria?", "template"), ("What of malaria?", "template")]
+    backend = lambda rows: rows.withColumn("asked", F.when(F.col("slug") == "malaria", " Why? ").otherwise("no question"))
+    got = segment.with_question(df, "claim", "name", cats, "What of {topic}?", backend)
+    assert [(r["question"], r["backend_used"]) for r in got.collect()] == [("Why?", "model"), ("What of malaria?", "template_fallback")] and "asked" not in got.columns
+
+
+def test_engines(spark):
+    from cowrie.operators import engines as N
+
+    asked = spark.createDataFrame([("1", "abc"), ("2", None)], "id string, question string")
+    systems = N.Systems().register("up", N.FunctionEngine(F.upper)).register("no", N.MissingEngine("not installed"))
+    got = {(r["system_id"], r["id"]): (r["answer"], r["skip_reason"]) for r in systems.generations(asked).collect()}
+    assert got == {("up", "1"): ("ABC", None), ("up", "2"): (None, "no answer"), ("no", "1"): (None, "not installed"), ("no", "2"): (None, "not installed")}
+    with pytest.raises(KeyError):
+        systems.generations(asked, ["up", "x"])
+    with pytest.raises(ValueError):
+        systems.register("up", N.MissingEngine("again"))
+    scores = spark.createDataFrame([("a", 1.0), ("b", 3.0), ("c", None)], "system_id string, s double")
+    more = N.with_optional_scores(scores, {"m": (None, "no package"), "k": (lambda d: d.where("s > 1").select("system_id", F.col("s").alias("k")), "")})
+    assert {r["system_id"]: (r["m"], r["m_skip_reason"], r["k"], r["k_skip_reason"]) for r in more.collect()} == {"a": (None, "no package", None, "no score"), "b": (None, "no package", 3.0, None), "c": (None, "no package", None, "no score")}
+    assert [r["system_id"] for r in N.ranked(scores, "s", "system_id").orderBy("place").collect()] == ["b", "a", "c"] and N.best_setting(scores, "s", "system_id").first()["system_id"] == "b"
+
+
+def test_token_counts(spark):
+    from cowrie.functions.tokenizer import FOLDER, VOCABULARY, encoder, token_count
+
+    df = spark.createDataFrame([("hello world",), ("",), (None,), ("ọ̀rọ̀",)], "t string")
+    one = encoder(f"{FOLDER}/{VOCABULARY}")
+    assert [r[0] for r in df.select(token_count(F.col("t"))).collect()] == [len(one.encode_ordinary(t)) if t else 0 for t in ("hello world", "", None, "ọ̀rọ̀")]

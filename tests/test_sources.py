@@ -36,6 +36,40 @@ def test_sheets_with_and_without_mark(spark, tmp_path):
         io.need(spark, str(tmp_path / "no"), "stage 1")
 
 
+def test_counted_and_ordered_files(spark, tmp_path):
+    df = spark.createDataFrame([("1", None), ("2", "x")], "id string, t string")
+    assert io.write_jsonl(df, str(tmp_path / "n")) == 2 and '"t":null' in "".join(f.read_text() for f in (tmp_path / "n").glob("*.json"))
+    for name, text in (("b/z.json", "three"), ("a/y.json", "two"), ("a/b c.html.json", "one")):
+        (tmp_path / "docs" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "docs" / name).write_text(json.dumps({"source_name": name[0], "raw_text": text}, indent=1), encoding="utf-8")
+    got = [(r["number"], r["raw_text"]) for r in io.scan_documents(spark, str(tmp_path / "docs")).orderBy("number").collect()]
+    assert got == [(1, "one"), (2, "two"), (3, "three")]
+    docs = io.scan_documents(spark, str(tmp_path / "docs"))
+    assert {r["slug"] for r in docs.collect()} >= {"y", "z"}
+    io.write_documents(docs.select(*io.RAW_DOCUMENT.names), str(tmp_path / "w"))
+    assert sorted(os.listdir(tmp_path / "w"))[-2:] == ["_source=a", "_source=b"]
+
+
+def test_settings_answers_blinding_generations(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"a": {"b": 3}}')
+    config = io.read_config(str(tmp_path / "c.json"))
+    assert io.setting(config, "a.b") == 3
+    with pytest.raises(KeyError, match="'x' of 'a.x'"):
+        io.setting(config, "a.x")
+    assert io.read_answers(spark, str(tmp_path / "none")).count() == 0
+    (tmp_path / "answers.jsonl").write_text('{"question":" q ","answer":"b"}\n{"question":"q","answer":"a"}\n{"question":null,"answer":"c"}\n')
+    assert [tuple(r) for r in io.read_answers(spark, str(tmp_path / "answers.jsonl")).collect()] == [("q", "a")]
+    items, key = spark.createDataFrame([("1", "A")], "sample_id string, slot string"), spark.createDataFrame([("1", "A", "M")], "sample_id string, slot string, system_id string")
+    io.write_blinding(items, key, str(tmp_path / "items"), str(tmp_path / "key"))
+    for wrong in ((key, str(tmp_path / "k2")), (items, str(tmp_path / "i2" / "key"))):
+        with pytest.raises(ValueError):
+            io.write_blinding(wrong[0], key, str(tmp_path / "i2"), wrong[1])
+    io.write_generations(key, str(tmp_path / "g"))
+    assert [r["system_id"] for r in io.read_generations(spark, str(tmp_path / "g"), key.schema, ["M"]).collect()] == ["M"]
+    with pytest.raises(MissingInputError):
+        io.read_generations(spark, str(tmp_path / "g"), key.schema, ["B1"])
+
+
 def test_html():
     page = "<html><head><style>x</style></head><body><nav>menu</nav><p>One &amp; two</p>\n<p> three<br>four</p><script>1</script></body></html>"
     assert io.html_to_text(page) == "One & two\nthree\nfour" and io.html_to_text(None) is None
