@@ -16,9 +16,7 @@ are ordinary text; every row of the input gives one row, repeated keys included;
 
 from __future__ import annotations
 
-import base64
 import functools
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,25 +25,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cowrie.functions.tokenizer import FOLDER, PATTERN, VOCABULARY, encoder, token_count
 from cowrie.session import cut, partitions, slots, spread
 
-#: Where the public vocabulary files lie; every function takes another place as a parameter.
-FOLDER = os.environ.get("COWRIE_TOKENIZERS", "/opt/tokenizers")
-VOCABULARY = "byte_bpe_50k.tiktoken"
-# Fixed value: the published pre-tokenisation pattern of this vocabulary.
-PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
-@functools.lru_cache(maxsize=4)
-def encoder(path: str):
-    """The tokenizer of a vocabulary file of ranks, once per worker."""
-    import tiktoken
-
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
 @functools.lru_cache(maxsize=1)
 def _pattern():
     import regex
@@ -82,16 +64,6 @@ def _ids_udf(path: str):
     return ids
 
 
-def _count_udf(path: str):
-    @F.pandas_udf(T.IntegerType())
-    def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        one = encoder(path)
-        for texts in parts:
-            yield pd.Series([len(one.encode_ordinary(t)) if t else 0 for t in texts], index=texts.index, dtype="int32")
-
-    return count
-
-
 def _chunks(df: DataFrame, text: str, keys: list[str], chunk: int, overlap: int) -> DataFrame:
     """(keys..., _no, _last, _part): overlapping chunks of df's texts, each once, spread over tasks by row and number."""
     flat = df.select(*keys, F.col(text).alias("_text"))
@@ -171,9 +143,8 @@ def count_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", keep: l
     flat = spread(df).select(F.col(f"`{key}`").alias(key), *[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"))
     long = flat.where(F.length("_text") > chunk).withColumn("_row", F.monotonically_increasing_id())
     short = flat.where(F.col("_text").isNull() | (F.length("_text") <= chunk))
-    count = _count_udf(path)
-    parts = pieces(long, "_text", [key, *keep, "_row"], chunk, overlap).withColumn("tokens", count("text"))
-    return short.select(key, *keep, count("_text").cast("long").alias("tokens")).unionByName(parts.groupBy(key, *keep, "_row").agg(F.sum("tokens").alias("tokens")).select(key, *keep, "tokens"))
+    parts = pieces(long, "_text", [key, *keep, "_row"], chunk, overlap).withColumn("tokens", token_count(F.col("text"), path))
+    return short.select(key, *keep, token_count(F.col("_text"), path).cast("long").alias("tokens")).unionByName(parts.groupBy(key, *keep, "_row").agg(F.sum("tokens").alias("tokens")).select(key, *keep, "tokens"))
 
 
 def decode_column(ids: Column, path: str | None = None) -> Column:
