@@ -43,7 +43,7 @@ DEFECTS = ("empty", "copy", "refusal", "language", "truncated")
 FUNCTIONS = {"empty": 3, "copy": 3, "refusal": 4, "language": 3, "truncated": 4}
 #: Posterior from which a defect is kept. Validated: every cutoff lies where the label model is at its best on pairs
 #: that were labelled by hand and whose wording no function knows (tests/llm).
-CUTOFFS = {"empty": 0.5, "copy": 0.5, "refusal": 0.5, "language": 0.5, "truncated": 0.1}
+CUTOFFS = {"empty": 0.5, "copy": 0.5, "refusal": 0.5, "language": 0.5, "truncated": 0.017}
 
 # What stands for a missing answer.
 PLACEHOLDERS = frozenset("null none nil na n/a nan tbd tba todo undefined unknown missing blank empty xxx lorem ipsum placeholder pending idahun answer".split())
@@ -204,13 +204,12 @@ def votes_of(instruction: str | None, output: str | None, foreign_share: float,
     said = [x for x in _SENTENCES.split(out) if x]
     declined = sum(map(_declines, said))
     sent_on = sum(bool(_HEALER.search(x) and _READER.search(x)) for x in said)
-    brief = len(words) <= 45
     score = declining.score(words) if declining else 0.0
     v += [
-        _vote(brief and declined > 0, declined == 0),
+        _vote(5 * declined >= len(said) > 0, declined == 0),
         _vote(score > 0.5, score < -0.5),
-        _vote(brief and 3 * sent_on >= len(said) > 0, sent_on == 0),
-        _vote(brief and bool(_PARDON.search(out)), not brief),
+        _vote(3 * sent_on >= len(said) > 0, sent_on == 0),
+        _vote(bool(_PARDON.search(out)), len(said) > 6),
     ]
     yoruba = sum(w in YORUBA for w in words) / len(words) if words else 0.0
     strange = sum(w in FOREIGN for w in words) / len(words) if words else 0.0
@@ -228,7 +227,7 @@ def votes_of(instruction: str | None, output: str | None, foreign_share: float,
         _vote(some and not ended and not item, False),
         _vote(some and dangling, False),
         _vote(some and final in NEVER_LAST, False),
-        _vote(some and not item and rate is not None and rate < 0.03, item or (rate is not None and rate > 0.2)),
+        _vote(some and not item and rate is not None and rate < 0.002, item or (rate is not None and rate > 0.5)),
     ]
     return v
 
