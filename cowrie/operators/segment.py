@@ -31,6 +31,11 @@ def is_boilerplate(line: Column) -> Column:
     return strip(line).rlike(BOILERPLATE_PATTERN)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value evaluated once, however often it is named: as the variable of a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def merged_lines(text: Column) -> Column:
     """Lines with wrapped sentences joined: a line goes on the one before it if that has no end mark and this begins
     in lower case or with a comma, semicolon or closing bracket. Blank lines part, boilerplate lines stand alone.
@@ -39,14 +44,16 @@ def merged_lines(text: Column) -> Column:
     lines = F.transform(F.split(text, LINE_ENDS), strip)
     plain = F.transform(lines, lambda s: F.struct(s.alias("s"), ((s != "") & ~s.rlike(BOILERPLATE_PATTERN)).alias("p")))
 
-    # each line beside the one before it: a lambda that looked back into the array would evaluate it anew per line
-    before = F.concat(F.array(F.struct(F.lit("").alias("s"), F.lit(False).alias("p"))), F.slice(plain, F.lit(1), F.greatest(F.size(plain) - 1, F.lit(0))))
-
     def joined(b: Column, x: Column) -> Column:
         goes_on = x["p"] & b["p"] & ~b["s"].rlike(r"[.!?:]$") & x["s"].rlike(r"^[\p{Ll},;)]")
         return F.concat(F.when(goes_on, " ").otherwise("\u0001"), x["s"])
 
-    return F.filter(F.split(F.array_join(F.zip_with(before, plain, joined), ""), "\u0001"), lambda s: s != "")
+    def folded(plain: Column) -> Column:
+        # each line beside the one before it: a lambda that looked back into the array would evaluate it anew per line
+        before = F.concat(F.array(F.struct(F.lit("").alias("s"), F.lit(False).alias("p"))), F.slice(plain, F.lit(1), F.greatest(F.size(plain) - 1, F.lit(0))))
+        return F.array_join(F.zip_with(before, plain, joined), "")
+
+    return F.filter(F.split(_bound(plain, folded), "\u0001"), lambda s: s != "")
 
 
 def looks_like_a_sentence(text: Column, words: int = 5) -> Column:
