@@ -173,6 +173,7 @@ def oracle_sql() -> dict[str, str]:
           CAST(coalesce(sum(len(list_filter(w, lambda t: {_legal('t')}))), 0) AS BIGINT) AS legal FROM (SELECT split, {_words('output')} AS w FROM {FINAL}) GROUP BY 1)""",
         "q_sentences": f"SELECT doc_id, len(string_split(regexp_replace(text, '([.!?]){WS}([A-Z0-9])', '\\1' || chr(30) || '\\2', 'g'), chr(30))) AS sentences FROM documents WHERE text IS NOT NULL",
         "q_boilerplate": f"SELECT doc_id, count(*) FILTER (regexp_matches(regexp_replace(line, '^{WS}|{WS}$', '', 'g'), {_q(_boiler())})) AS boilerplate, count(*) AS lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL) GROUP BY 1",
+        "q_claims": _claims(),
         "q_classify": f"""SELECT id, coalesce(kind, 'none') AS category, replace({_question()}, '{{topic}}', name) AS question FROM (SELECT *, {_classify()} AS kind FROM (SELECT w.id, lower(answer_en) AS low, coalesce(names.name, lower(trim(w.topic))) AS name
           FROM {WORK} w LEFT JOIN {_names()} ON names.topic = lower(trim(w.topic))))""",
         "q_safety": f"""SELECT id, unsafe, CASE WHEN unsafe THEN 'out_of_scope' ELSE question_type END AS question_type, CASE WHEN unsafe THEN regexp_replace(coalesce(notes, '') || ' | rewritten as refusal', '^[ |]+|[ |]+$', '', 'g') ELSE notes END AS notes,
@@ -260,6 +261,18 @@ def _boiler() -> str:
     return BOILERPLATE_PATTERN
 
 
+def _claims() -> str:
+    boiler, strip = _q(_boiler()), lambda c: f"regexp_replace({c}, '^{WS}|{WS}$', '', 'g')"
+    ends = r"'\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]'"
+    quote = "'^[\\p{Lu}\\p{Nd}\"''“(]'"
+    return rf"""WITH l AS (SELECT doc_id, source, list_transform(list_transform(string_split_regex(text, {ends}), lambda x: {strip('x')}), lambda x: {{'s': x, 'p': x <> '' AND NOT regexp_matches(x, {boiler})}}) AS ls FROM documents WHERE text IS NOT NULL),
+      z AS (SELECT doc_id, source, list_zip(list_concat([{{'s': '', 'p': FALSE}}], ls[:len(ls) - 1]), ls) AS zs FROM l),
+      m AS (SELECT doc_id, source, list_filter(string_split(array_to_string(list_transform(zs, lambda z: CASE WHEN z[2].p AND z[1].p AND NOT regexp_matches(z[1].s, '[.!?:]$') AND regexp_matches(z[2].s, '^[\p{{Ll}},;)]') THEN ' ' ELSE chr(1) END || z[2].s), ''), chr(1)), lambda x: x <> '' AND NOT regexp_matches(x, {boiler})) AS ms FROM z),
+      c AS (SELECT doc_id, source, list_filter(list_transform(flatten(list_transform(ms, lambda x: string_split(regexp_replace(x, '([.!?]){WS}([A-Z0-9])', '\1' || chr(30) || '\2', 'g'), chr(30)))), lambda x: {strip('x')}),
+        lambda x: length(x) BETWEEN 25 AND 400 AND NOT regexp_matches(x, {boiler}) AND regexp_matches(x, '[.!]$') AND NOT regexp_matches(x, '(?s)^\(.*\)$') AND len(string_split_regex(x, '{WS}')) >= 5 AND regexp_matches(x, {quote})) AS cs FROM m)
+      SELECT doc_id, source, position, claim, printf('%s-%s-%03d', coalesce(source, 'unknown'), CAST(doc_id AS VARCHAR), position) AS claim_id FROM (SELECT doc_id, source, CAST(unnest(range(len(cs))) AS INTEGER) AS position, unnest(cs) AS claim FROM c)"""
+
+
 _ROUTE = f"""SELECT id, verdict, question_type, regexp_replace(coalesce(validation_notes, '') || ' | verdict ' || verdict, '^[ |]+|[ |]+$', '', 'g') AS note
   FROM (SELECT *, CASE WHEN validated_clin AND validated_ling THEN 'pass' ELSE 'fail' END AS verdict FROM {WORK} WHERE question_yo_final IS NOT NULL)"""
 _WINDOWS = "SELECT CAST(epoch_us(ts) // 86400000000 * 86400 AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
