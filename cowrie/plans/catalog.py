@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from cowrie.functions import metrics, text
 from cowrie.functions.tokenizer import token_count
 from cowrie.operators import agreement, engines, evaluation, guard, records, sampling, segment, setjoin
-from cowrie.session import shared_folder, table
+from cowrie.session import scratch, table
 from cowrie.sources import io
 from cowrie.streaming import interactions
 
@@ -658,7 +657,7 @@ def q_sessions(spark, d):
 @query
 def q_stream_windows(spark, d):
     """The same windows by a stream over the table's files, read once and ended."""
-    at = f"{shared_folder(spark)}/cowrie/stream-{uuid.uuid4().hex}"
+    at = scratch(spark, "stream")
     schema = events(spark, d).schema
     events(spark, d).repartition(4).write.parquet(at + "/in")
     grouped = interactions.tumbling(interactions.read_stream(spark, at + "/in", schema, files=2), "ts", "event_type", "value")
@@ -668,7 +667,7 @@ def q_stream_windows(spark, d):
 
 @query
 def q_jsonl_round_trip(spark, d):
-    at = f"{shared_folder(spark)}/cowrie/jsonl-{uuid.uuid4().hex}"
+    at = scratch(spark, "jsonl")
     f = final(spark, d)
     io.write_splits(f, at)
     back = io.read_jsonl(spark, at, f.schema)

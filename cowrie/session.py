@@ -71,11 +71,17 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; what is written there is removed when the driver's process ends."""
+    path = f"{shared_folder(spark)}/cowrie/{label}-{uuid.uuid4().hex}"
+    atexit.register(_forget, spark, path)
+    return path
+
+
 def cut(df: DataFrame, label: str = "t") -> DataFrame:
     """df written as a Parquet table in the shared folder and read back: its lineage ends there and it
     survives the loss of executors. The table is removed when the driver's process ends."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cowrie/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.parquet(path)
-    atexit.register(_forget, spark, path)
     return spark.read.schema(df.schema).parquet(path)
