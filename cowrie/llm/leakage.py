@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cowrie.functions.grams import text_key
@@ -98,10 +98,11 @@ class Overlaps:
     def pairs(self, full: int = 16) -> DataFrame:
         """(train_id, eval_id, split, source): source of the evaluation record."""
         side = F.col("split") == self.train
-        w = Window.partitionBy("class", side)
-        sized = self.members.withColumn("n", F.count("*").over(w)).withColumn("low", F.col("id") == F.min("id").over(w))
-        t = sized.where(side).select(F.col("class").alias("a"), F.col("id").alias("train_id"), F.col("n").alias("tn"), F.col("low").alias("tl"))
-        e = sized.where(~side).select(F.col("class").alias("b"), F.col("id").alias("eval_id"), "split", "source", F.col("n").alias("en"), F.col("low").alias("el"))
+        tagged = self.members.withColumn("side", side)
+        counts = tagged.groupBy("class", "side").agg(F.count("*").alias("n"), F.min("id").alias("first"))  # a hot class is summed where it lies
+        sized = tagged.join(counts, ["class", "side"]).withColumn("low", F.col("id") == F.col("first"))
+        t = sized.where("side").select(F.col("class").alias("a"), F.col("id").alias("train_id"), F.col("n").alias("tn"), F.col("low").alias("tl"))
+        e = sized.where("not side").select(F.col("class").alias("b"), F.col("id").alias("eval_id"), "split", "source", F.col("n").alias("en"), F.col("low").alias("el"))
         big = f"(tn > {full} or en > {full})"
         return self.links.join(t, "a").join(e, "b").where(f"not {big} or tl or el").select("train_id", "eval_id", "split", "source")
 

@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -272,8 +272,8 @@ class NearDuplicates:
 
     def pairs(self, full: int = 16) -> DataFrame:
         """(field, id_a, id_b): see the module's docstring for large classes of copies."""
-        n = F.count("*").over(Window.partitionBy("field", "class"))
-        sized = self.members.withColumn("n", n)
+        counts = self.members.groupBy("field", "class").agg(F.count("*").alias("n"))  # a hot class is summed where it lies
+        sized = self.members.join(counts, ["field", "class"])
         shown = sized.where((F.col("n") <= full) | (F.col("id") == F.col("class"))).select("field", "class", "id")
         a = shown.select("field", F.col("class").alias("a"), F.col("id").alias("x"))
         b = shown.select("field", F.col("class").alias("b"), F.col("id").alias("y"))
