@@ -100,30 +100,29 @@ def _differences(ours: np.ndarray, theirs: np.ndarray, x: np.ndarray, y: np.ndar
 def meetings(entry: np.ndarray, threshold: float, itself: bool = False, block: int = 1 << 17) -> np.ndarray:
     """Distinct (right class, left class) of the entries of one task that pass all filters. itself: all entries are
     of one side and meet each other; pairs of one class are left out, the smaller class comes first."""
-    code = (entry["key"].astype(np.uint64) << np.uint64(16)) | np.minimum(entry["size"], 0xFFFF).astype(np.uint64)
+    key, size, place, cls = (np.ascontiguousarray(entry[f]) for f in ("key", "size", "place", "cls"))
+    code = (key.astype(np.uint64) << np.uint64(16)) | np.minimum(size, 0xFFFF).astype(np.uint64)
     order = np.argsort(code)
-    entry, code = entry[order], code[order]
-    left = entry["left"] == 1
-    sides = {0: (entry, code), 1: (entry, code)} if itself else {1: (entry[left], code[left]), 0: (entry[~left], code[~left])}
+    code, size, place, cls = code[order], size[order].astype(np.int32), place[order].astype(np.int32), cls[order]
+    bits = entry["bits"][order]
+    left = np.zeros(len(order), dtype=bool) if itself else (entry["left"] == 1)[order]
     share = threshold / (1 + threshold)
     found = []
     for small in (0,) if itself else (0, 1):  # the smaller set of a pair is on this side; of equal sizes, the right one
-        own = sides[small][0]
-        other, codes = sides[1 - small]
+        other = np.flatnonzero(left != (small == 1)) if not itself else np.arange(len(order))
         # the shared gram's place leaves the smaller set room for the overlap with sets of up to `most` grams
-        size, place = own["size"].astype(np.int64), own["place"].astype(np.int64)
-        most = np.minimum(np.floor(size / threshold + 1e-9), np.floor((size - place) / share + 1e-9) - size).astype(np.int64)
-        some = most >= size + small
-        own, size, most = own[some], size[some], most[some]
+        s = size.astype(np.int64)
+        most = np.minimum(np.floor(s / threshold + 1e-9), np.floor((s - place) / share + 1e-9) - s).astype(np.int64)
+        own = np.flatnonzero((left == (small == 1)) & (most >= s + small))
         if not len(own) or not len(other):
             continue
-        base = own["key"].astype(np.uint64) << np.uint64(16)
-        low = np.searchsorted(codes, base | np.minimum(size + small, 0xFFFF).astype(np.uint64), side="left")
-        high = np.searchsorted(codes, base | np.minimum(most, 0xFFFF).astype(np.uint64), side="right")
+        codes, base = code[other], code[own] & ~np.uint64(0xFFFF)
+        low = np.searchsorted(codes, base | np.minimum(s[own] + small, 0xFFFF).astype(np.uint64), side="left")
+        high = np.searchsorted(codes, base | np.minimum(most[own], 0xFFFF).astype(np.uint64), side="right")
         some = high > low
-        own, size, most, low, count = own[some], size[some], most[some], low[some], (high - low)[some]
-        ours, theirs = np.ascontiguousarray(own["bits"]), np.ascontiguousarray(other["bits"])
-        apart = np.floor((1 - 2 * share) * (size + most) + 1e-9).astype(np.int64)  # the most grams that such sets differ in
+        own, low, count = own[some], low[some], (high - low)[some]
+        apart = np.minimum(np.floor((1 - 2 * share) * (s[own] + most[own]) + 1e-9), 256).astype(np.int16)  # the most grams, so cells, that such sets differ in
+        ours, theirs = bits[own], bits[other]
         edge = np.concatenate([[0], np.cumsum(count)])
         at = 0
         while at < len(own):
@@ -132,13 +131,13 @@ def meetings(entry: np.ndarray, threshold: float, itself: bool = False, block: i
             x = np.repeat(np.arange(at, stop), n)
             y = np.arange(edge[stop] - edge[at]) + np.repeat(low[at:stop] - (edge[at:stop] - edge[at]), n)
             differ = _differences(ours, theirs, x, y)
-            ok = differ <= apart[x]
-            x, y, differ = x[ok], y[ok], differ[ok]
-            sx, sy = size[x], other["size"][y].astype(np.int64)
+            ok = differ <= np.repeat(apart[at:stop], n)
+            x, y, differ = own[x[ok]], other[y[ok]], differ[ok]
+            sx, sy = size[x].astype(np.int64), size[y].astype(np.int64)
             needed = np.ceil(share * (sx + sy) - 1e-9).astype(np.int64)
-            room = np.minimum(sx - own["place"][x], sy - other["place"][y])
+            room = np.minimum(sx - place[x], sy - place[y])
             ok = (room >= needed) & (sx >= threshold * sy - 1e-9) & (sx <= sy) & (differ <= sx + sy - 2 * needed)
-            a, b = own["cls"][x[ok]], other["cls"][y[ok]]
+            a, b = cls[x[ok]], cls[y[ok]]
             if itself:
                 a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
             found.append(np.unique(np.stack([a, b] if small == 0 else [b, a], axis=1), axis=0))
