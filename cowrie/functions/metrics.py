@@ -61,6 +61,16 @@ def _matches(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
     return [of(x, nx), of(y, ny), of(y[hit], np.minimum(nx[at[hit]], ny[hit]))]
 
 
+def signature(metric: str) -> str:
+    """What a score was computed with, for reports."""
+    return {
+        "chrf": f"nrefs:1|case:mixed|eff:yes|nc:{CHAR_ORDER}|nw:{WORD_ORDER}|space:no|beta:2",
+        "bleu": f"nrefs:1|case:mixed|eff:no|tok:intl|smooth:exp|order:{BLEU_ORDER}",
+        "rouge_l": "fmeasure|tok:ascii|stem:no",
+        "diacritics": "align:bare words|share of equal marks",
+    }[metric]
+
+
 def all_statistics(hyps: list[str], refs: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """chrf_statistics and bleu_statistics of all pairs, one row per pair, by whole-array arithmetic."""
     chrf, bleu = [], []

@@ -86,6 +86,12 @@ def blinding_map(samples: DataFrame, systems: DataFrame, sample: str = "sample_i
     return pairs.withColumn("slot", F.substring(F.lit(SLOTS), F.row_number().over(order), F.lit(1))).select(sample, "slot", system)
 
 
+def blinded_items(key: DataFrame, generations: DataFrame, sample: str = "sample_id", system: str = "system_id", hypothesis: str = "hypothesis") -> DataFrame:
+    """(sample, slot, hypothesis) without the system: each slot's text, looked up by sample and system; a slot whose
+    system has no text keeps a null."""
+    return key.join(generations.select(sample, system, hypothesis), [sample, system], "left").select(sample, "slot", hypothesis)
+
+
 def rater_sheets(blinded: DataFrame, raters: int, sample: str = "sample_id", seed: int = 42) -> DataFrame:
     """(rater, position, sample, slot): the blinded items once for each rater in that rater's own order."""
     each = blinded.select(sample, "slot", F.explode(F.sequence(F.lit(1), F.lit(raters))).alias("rater"))

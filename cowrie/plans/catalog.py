@@ -452,6 +452,13 @@ def q_blinding(spark, d):
     return _blinded(spark, d)
 
 
+@query
+def q_blinded_items(spark, d):
+    """The texts behind the letters, by their lengths."""
+    said = table(spark, d, "unblinded_rating").groupBy("sample_id", "system_id").agg(F.min("response_yo").alias("hypothesis"))
+    return sampling.blinded_items(_blinded(spark, d), said).select("sample_id", "slot", F.length("hypothesis").cast("long").alias("characters"))
+
+
 @query
 def q_rater_sheets(spark, d):
     return sampling.rater_sheets(_blinded(spark, d), 3, seed=S.SEED)

@@ -198,6 +198,7 @@ def oracle_sql() -> dict[str, str]:
         "q_torn_groups": f"SELECT claim_id, count(DISTINCT split) AS splits FROM {KEYED} GROUP BY 1 HAVING count(DISTINCT split) > 1",
         "q_own_split": f"SELECT split, splits, count(*) AS records, count(DISTINCT claim_id) AS claims FROM (SELECT k.id, s.*, 1::BIGINT AS splits FROM {KEYED} k JOIN {OWN_SPLIT} s USING (claim_id)) GROUP BY 1, 2",
         "q_blinding": f"SELECT * FROM {BLINDED}",
+        "q_blinded_items": f"SELECT b.sample_id, slot, length(h) AS characters FROM {BLINDED} b LEFT JOIN (SELECT sample_id, system_id, min(response_yo) AS h FROM unblinded_rating GROUP BY 1, 2) r ON r.sample_id = b.sample_id AND r.system_id = b.system_id",
         "q_rater_sheets": f"SELECT CAST(rater AS INTEGER) AS rater, row_number() OVER (PARTITION BY rater ORDER BY md5((rater + {S.SEED}) || '|' || sample_id || '|' || slot), sample_id, slot) AS position, sample_id, slot FROM {BLINDED}, range(1, 4) AS r(rater)",
         "q_unblinded": "SELECT system_id, count(*) AS n FROM unblinded_rating WHERE sample_id IS NOT NULL AND system_id IS NOT NULL GROUP BY 1",
         "q_corpus_mix": _MIX,

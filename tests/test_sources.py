@@ -102,3 +102,29 @@ def test_stream_equals_table(spark, tmp_path):
     grouped = interactions.tumbling(interactions.read_stream(spark, str(tmp_path / "in"), rows.schema, files=1), "ts", "kind", "v")
     interactions.run_complete(grouped, str(tmp_path / "out"), str(tmp_path / "check"))
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, interactions.tumbling(rows, "ts", "kind", "v").collect()))
+
+
+def test_workbooks(spark, tmp_path):
+    import zipfile
+
+    from cowrie.sources import xlsx
+
+    assert [xlsx.column_name(k) for k in (0, 25, 26, 701, 702)] == ["A", "Z", "AA", "ZZ", "AAA"]
+    df = spark.createDataFrame([("1", "ọ̀rọ̀ <b> & \"x\"\n  two", None), ("2", None, "SUGGESTED"), (" ", "no key", "x")], "id string, t string, f string")
+    path = str(tmp_path / "s.xlsx")
+    assert xlsx.write_workbook(df, path, ["id", "f", "t"], 'A "name"') == 3
+    back = xlsx.read_workbook(spark, path, ["id", "t", "f"], "id", 'A "name"')
+    assert [tuple(r) for r in back.collect()] == [("1", "ọ̀rọ̀ <b> & \"x\"\n  two", ""), ("2", "", "SUGGESTED")]
+    for wrong in ({"columns": ["lacking"], "key": "lacking"}, {"columns": ["id"], "key": "id", "sheet": "none"}):
+        with pytest.raises(io.SchemaError):
+            xlsx.read_workbook(spark, path, **wrong)
+    # as other programs write them: shared texts in runs, numbers, truth values, formulas, gaps
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    other = str(tmp_path / "o.xlsx")
+    with zipfile.ZipFile(other, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="x" sheetId="1" r:id="rId7"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId7" Target="/xl/worksheets/a.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {main}><si><t>id</t></si><si><r><t>v</t></r><r><t>al</t></r></si></sst>")
+        z.writestr("xl/worksheets/a.xml", f'<worksheet {main}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row><row r="3"><c r="A3"><v>12</v></c><c r="C3" t="b"><v>1</v></c></row><row r="4"><c r="A4"><v>1.5</v></c><c r="C4" t="str"><f>A1</f><v>sum</v></c></row></sheetData></worksheet>')
+    assert xlsx.rows_of(other) == [["id", "", "val"], [], ["12", "", "TRUE"], ["1.5", "", "sum"]]
+    assert [tuple(r) for r in xlsx.read_workbook(spark, other, ["id", "val"], "id").collect()] == [("12", "TRUE"), ("1.5", "sum")]

@@ -57,6 +57,10 @@ def test_scores():
     assert M.diacritic_accuracy("ọmọ lọ", "ọmọ lo") == 0.5 and M.diacritic_accuracy("x", "y") == 0.0
 
 
+def test_signatures_name_the_settings():
+    assert "nc:6|nw:2" in M.signature("chrf") and "smooth:exp" in M.signature("bleu") and M.signature("rouge_l") and M.signature("diacritics")
+
+
 def test_all_statistics_equal_those_of_each_pair():
     pairs = [("kí ni èyí?", "kí ni èyí"), ("", "abc"), ("a", ""), ("", ""), ("the cat sat on the the mat, 3.5 km.", "the cat, the mat: 3,5 km"), ("ab ab ab ab ab", "ab ab"), ("x" * 50, "x" * 30 + "y")]
     c, b = M.all_statistics(*map(list, zip(*pairs, strict=True)))
