@@ -142,4 +142,4 @@ def cross_split_overlaps(df: DataFrame, source: Column, key: str = "id", instruc
     links = cut(met.join(a, "l").join(b, "r").withColumn("similarity", similarity()("x", "y")).where(F.col("similarity") >= threshold - 1e-12).select("a", "b", "similarity"), "links")
     near = links.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     near = texts.join(near, "class", "left_semi").select("h1", "h2", "class")
-    return Overlaps(links, records.join(near, ["h1", "h2"]).select("class", "id", "split", "source"), train)
+    return Overlaps(links, cut(records.join(near, ["h1", "h2"]).select("class", "id", "split", "source"), "members"), train)
