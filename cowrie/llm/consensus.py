@@ -88,23 +88,27 @@ def reweighted_voting(votes: DataFrame, item: list[str], labels: tuple[str, ...]
     number = functools.reduce(lambda out, i: F.when(F.col("label") == labels[i], i).otherwise(out), range(k), F.lit(None).cast("int"))
     kept = votes.where(F.col("label").isin(*labels)).select(*item, "annotator", number.alias("j")).repartition(*item).sortWithinPartitions(*item).persist()
     try:
-        over = Window.partitionBy(*item)
+        # every round's columns, built once
+        over, ks = Window.partitionBy(*item), range(k)
+        mine = [F.when(F.col("read") == c, F.col("weight")).otherwise(0.0) for c in ks]
+        rest = ["annotator", "j", "accuracy", F.count("*").over(over).alias("m"), *[(F.sum(mine[c]).over(over) - mine[c]).alias(f"r{c}") for c in ks]]
+        voted = ["annotator", "j", "accuracy", F.when(F.col("m") > 1, _best(tuple(ks), [F.col(f"r{c}") for c in ks])).alias("other")]
+        seen = [F.max("accuracy").alias("before"), F.count("other").alias("n"), *[F.count(F.when((F.col("j") == j) & (F.col("other") == c), 1)).alias(f"n{j}_{c}") for j in ks for c in ks]]
+        # of equal counts the judgement's own label, then the later
+        reads = F.array(*[_best(tuple(ks), [F.col(f"n{j}_{c}") + (prior if c == j else 0) for c in ks]) if read else F.lit(j) for j in ks]).alias("reads")
+        counts = F.array(*[F.array(*[F.col(f"n{j}_{c}") for c in ks]) for j in ks])
+        hits = F.aggregate(F.zip_with(counts, F.col("reads"), lambda row, at: F.get(row, at)), F.lit(0).cast("long"), lambda x, y: x + y)
+        now = ["annotator", "before", ((hits + prior * trust) / (F.col("n") + prior)).alias("accuracy"), "reads"]
+        most = F.max(F.abs(F.col("accuracy") - F.col("before"))).alias("most")
         known, settled, used = None, False, 0
         for used in range(1, rounds + 1):
             told = _weighed(kept, known, labels, trust)
-            mine = lambda c: F.when(F.col("read") == c, F.col("weight")).otherwise(0.0)
-            rest = told.select("annotator", "j", "accuracy", F.count("*").over(over).alias("m"), *[(F.sum(mine(c)).over(over) - mine(c)).alias(f"r{c}") for c in range(k)])
-            voted = rest.select("annotator", "j", "accuracy", F.when(F.col("m") > 1, _best(tuple(range(k)), [F.col(f"r{c}") for c in range(k)])).alias("other"))
-            seen = voted.groupBy("annotator").agg(F.max("accuracy").alias("before"), F.count("other").alias("n"), *[F.count(F.when((F.col("j") == j) & (F.col("other") == c), 1)).alias(f"n{j}_{c}") for j in range(k) for c in range(k)])
-            # of equal counts the judgement's own label, then the later
-            meant = [_best(tuple(range(k)), [F.col(f"n{j}_{c}") + (prior if c == j else 0) for c in range(k)]) if read else F.lit(j) for j in range(k)]
-            hits = functools.reduce(operator.add, [F.get(F.array(*[F.col(f"n{j}_{c}") for c in range(k)]), meant[j]) for j in range(k)])
-            now = seen.select("annotator", "before", ((hits + prior * trust) / (F.col("n") + prior)).alias("accuracy"), F.array(*meant).alias("reads"))
+            counted = told.select(*rest).select(*voted).groupBy("annotator").agg(*seen).select("*", reads)
             moved = Observation()
-            known = cut(now.observe(moved, F.max(F.abs(F.col("accuracy") - F.col("before"))).alias("most")), "accuracies")
-            settled = used > 1 and (moved.get["most"] or 0.0) < tolerance
-            if settled or moved.get["most"] is None:
-                settled = True
+            known = cut(counted.select(*now).observe(moved, most), "accuracies")
+            change = moved.get["most"]
+            settled = change is None or (used > 1 and change < tolerance)
+            if settled:
                 break
         if not settled:
             warnings.warn(f"reweighted voting has not settled after {used} rounds", stacklevel=2)
