@@ -2,8 +2,9 @@
 
 Method: iteratively reweighted voting. Each round takes the weighted vote of every item and, for each annotator, the
 vote without that annotator (leave-one-out). An annotator's accuracy is the smoothed share of judgements that agree
-with the others' vote; its log odds against chance are the annotator's weight in the next round, until no accuracy
-moves. Before they count, judgements are read: one that an annotator gives mostly where the others vote for another
+with the others' vote. What it is above the agreement that the annotator would reach by chance, as always giving the
+most frequent label does, is the annotator's skill, and its log odds are the weight in the next round, until no
+accuracy moves. Before they count, judgements are read: one that an annotator gives mostly where the others vote for another
 label is read as that label, so a shifted or inverted scale speaks for what it means (`read=False` takes them as they
 are). There is one weight for each annotator, the one that is reported. Agreement is reported as nominal Krippendorff
 alpha, which corrects for chance and allows missing ratings.
@@ -64,8 +65,8 @@ def _best(labels: tuple[str, ...], scores: list[Column]) -> Column:
 
 
 class Consensus:
-    """labels: (item..., label, confidence, votes, agreement); annotators: (annotator, votes, accuracy, weight, reads):
-    reads has, for each label, what the annotator's judgement is read as. rounds, settled: how the rounds ended."""
+    """labels: (item..., label, confidence, votes, agreement); annotators: (annotator, votes, accuracy, skill, weight, reads):
+    skill is the accuracy corrected for chance, which the weight is made of; reads has, for each label, what the annotator's judgement is read as. rounds, settled: how the rounds ended."""
 
     def __init__(self, labels: DataFrame, annotators: DataFrame, rounds: int, settled: bool) -> None:
         self.labels, self.annotators, self.rounds, self.settled = labels, annotators, rounds, settled
@@ -74,11 +75,13 @@ class Consensus:
 def _weighed(votes: DataFrame, known: DataFrame | None, labels: tuple[str, ...], trust: float) -> DataFrame:
     """votes (..., annotator, j: number of the label) with `read`, the number of the label it stands for, its weight and
     the annotator's accuracy so far."""
-    chance = F.lit(float(max(1, len(labels) - 1)))
+    k = len(labels)
     if known is None:  # all count the same
-        return votes.withColumns({"read": F.col("j"), "accuracy": F.lit(trust), "weight": F.lit(1.0)})
-    told = votes.join(known.select("annotator", "accuracy", "reads"), "annotator", "left").withColumn("accuracy", F.coalesce("accuracy", F.lit(trust)))
-    return told.withColumns({"read": F.coalesce(F.get("reads", F.col("j")), F.col("j")), "weight": F.ln(F.col("accuracy") * chance / (1 - F.col("accuracy")))}).drop("reads")
+        return votes.withColumns({"read": F.col("j"), "accuracy": F.lit(trust), "skill": F.lit(trust), "weight": F.lit(1.0)})
+    told = votes.join(known.select("annotator", "accuracy", "skill", "reads"), "annotator", "left").withColumns({c: F.coalesce(c, F.lit(trust)) for c in ("accuracy", "skill")})
+    right = 1 / k + (1 - 1 / k) * F.col("skill")  # how often a judgement is right if the rest are guesses
+    weight = F.ln(right * (k - 1) / (1 - right)) if k > 1 else F.lit(1.0)
+    return told.withColumns({"read": F.coalesce(F.get("reads", F.col("j")), F.col("j")), "weight": weight}).drop("reads")
 
 
 def reweighted_voting(votes: DataFrame, item: list[str], labels: tuple[str, ...] = HARM, rounds: int = 50, tolerance: float = 1e-3, prior: float = 4.0, trust: float = 0.7, read: bool = True) -> Consensus:
@@ -98,7 +101,13 @@ def reweighted_voting(votes: DataFrame, item: list[str], labels: tuple[str, ...]
         reads = F.array(*[_best(tuple(ks), [F.col(f"n{j}_{c}") + (prior if c == j else 0) for c in ks]) if read else F.lit(j) for j in ks]).alias("reads")
         counts = F.array(*[F.array(*[F.col(f"n{j}_{c}") for c in ks]) for j in ks])
         hits = F.aggregate(F.zip_with(counts, F.col("reads"), lambda row, at: F.get(row, at)), F.lit(0).cast("long"), lambda x, y: x + y)
-        now = ["annotator", "before", ((hits + prior * trust) / (F.col("n") + prior)).alias("accuracy"), "reads"]
+        given = [sum((F.when(F.get("reads", F.lit(j)) == c, sum((F.col(f"n{j}_{x}") for x in ks), F.lit(0))).otherwise(0) for j in ks), F.lit(0)) for c in ks]
+        others = [sum((F.col(f"n{j}_{c}") for j in ks), F.lit(0)) for c in ks]
+        chance = sum((x * y for x, y in zip(given, others, strict=True)), F.lit(0)) / F.greatest(F.col("n") * F.col("n"), F.lit(1))
+        accuracy = (hits + prior * trust) / (F.col("n") + prior)
+        # bounds keep a vote of no skill a vote, should an item have no other
+        skill = F.when(chance < 1, F.least(F.greatest((accuracy - chance) / F.when(chance < 1, 1 - chance), F.lit(0.005)), F.lit(0.999))).otherwise(0.005)
+        now = ["annotator", "before", accuracy.alias("accuracy"), skill.alias("skill"), "reads"]
         most = F.max(F.abs(F.col("accuracy") - F.col("before"))).alias("most")
         known, settled, used = None, False, 0
         for used in range(1, rounds + 1):
@@ -125,7 +134,7 @@ def reweighted_voting(votes: DataFrame, item: list[str], labels: tuple[str, ...]
             F.when(F.col("votes") > 1, F.round(same / (F.col("votes") * (F.col("votes") - 1)), 6)).alias("agreement"),
         )
         names = F.array(*map(F.lit, labels))
-        raters = told.groupBy("annotator").agg(F.count("*").alias("votes"), F.round(F.max("accuracy"), 6).alias("accuracy"), F.round(F.max("weight"), 6).alias("weight"))
+        raters = told.groupBy("annotator").agg(F.count("*").alias("votes"), *[F.round(F.max(c), 6).alias(c) for c in ("accuracy", "skill", "weight")])
         raters = raters.join(known.select("annotator", "reads"), "annotator", "left").withColumn("reads", F.transform(F.coalesce("reads", F.array(*map(F.lit, range(k)))), lambda x: F.get(names, x)))
         return Consensus(cut(out, "consensus"), cut(raters, "raters"), used, settled)
     finally:

@@ -91,7 +91,9 @@ def test_consensus(spark):
     acc = {a: r["accuracy"] for a, r in raters.items()}
     assert c.settled and min(acc[f"r{k}"] for k in range(5)) > 0.75 > acc["r7"] and acc["r6"] > 0.75
     assert raters["r6"]["reads"] == list(K.HARM[::-1]) and raters["r0"]["reads"] == list(K.HARM)
-    assert all(abs(r["weight"] - np.log(r["accuracy"] * 3 / (1 - r["accuracy"]))) < 1e-3 for r in raters.values())
+    p = {a: 0.25 + 0.75 * r["skill"] for a, r in raters.items()}
+    assert all(abs(r["weight"] - np.log(p[a] * 3 / (1 - p[a]))) < 1e-3 for a, r in raters.items())
+    assert raters["r5"]["skill"] < 0.1 < 0.5 < raters["r0"]["skill"]  # who always says the same agrees by chance alone
     literal = K.reweighted_voting(votes, ["item"], read=False)
     worth = {r["annotator"]: r["accuracy"] for r in literal.annotators.collect()}
     assert worth["r6"] < 0.2 and 0.85 < right({r["item"]: r["label"] for r in literal.labels.collect()}) <= right(got) + 0.02
