@@ -6,6 +6,13 @@ first n - ceil(t n) + 1 grams. Sizes must be within the ratio, the places of the
 overlap (the smaller set's place is then among its first few), and a 256-bit parity sketch may not show more
 differences than the sets can have. No filter loses a pair; survivors are verified on their grams.
 
+A set of texts meets itself by classes of grams (`own_candidates`): the hash of a gram puts it in one of k classes, and
+as the similarity of two sets is a mean, weighted by size, of that of their classes, one class with a shared gram is at
+least as similar as they are. The filters above then hold within the class, where 64 bits of sketch tell texts of any
+length apart, so that hardly a pair but the similar ones is found. k follows from the size of the smaller set, by
+ranges of sizes; a text takes part in its own range and in those whose sets may be its smaller partners. Ranges are
+searched one after the other as far as their entries would take much room, and each shuffle is removed once searched.
+
 Scale: rarity comes from counts in 2^18 hash buckets, a table of fixed size; crowded grams are salted, left rows
 spread over salts and right rows sent to each; meetings are searched in sorted arrays and never listed by key.
 """
@@ -97,19 +104,18 @@ def _differences(ours: np.ndarray, theirs: np.ndarray, x: np.ndarray, y: np.ndar
     return total
 
 
-def meetings(entry: np.ndarray, threshold: float, itself: bool = False, block: int = 1 << 17) -> np.ndarray:
-    """Distinct (right class, left class) of the entries of one task that pass all filters. itself: all entries are
-    of one side and meet each other; pairs of one class are left out, the smaller class comes first."""
+def meetings(entry: np.ndarray, threshold: float, block: int = 1 << 17) -> np.ndarray:
+    """Distinct (right class, left class) of the entries of one task that pass all filters."""
     key, size, place, cls = (np.ascontiguousarray(entry[f]) for f in ("key", "size", "place", "cls"))
     code = (key.astype(np.uint64) << np.uint64(16)) | np.minimum(size, 0xFFFF).astype(np.uint64)
     order = np.argsort(code)
     code, size, place, cls = code[order], size[order].astype(np.int32), place[order].astype(np.int32), cls[order]
     bits = entry["bits"][order]
-    left = np.zeros(len(order), dtype=bool) if itself else (entry["left"] == 1)[order]
+    left = (entry["left"] == 1)[order]
     share = threshold / (1 + threshold)
     found = []
-    for small in (0,) if itself else (0, 1):  # the smaller set of a pair is on this side; of equal sizes, the right one
-        other = np.flatnonzero(left != (small == 1)) if not itself else np.arange(len(order))
+    for small in (0, 1):  # the smaller set of a pair is on this side; of equal sizes, the right one
+        other = np.flatnonzero(left != (small == 1))
         # the shared gram's place leaves the smaller set room for the overlap with sets of up to `most` grams
         s = size.astype(np.int64)
         most = np.minimum(np.floor(s / threshold + 1e-9), np.floor((s - place) / share + 1e-9) - s).astype(np.int64)
@@ -138,16 +144,173 @@ def meetings(entry: np.ndarray, threshold: float, itself: bool = False, block: i
             room = np.minimum(sx - place[x], sy - place[y])
             ok = (room >= needed) & (sx >= threshold * sy - 1e-9) & (sx <= sy) & (differ <= sx + sy - 2 * needed)
             a, b = cls[x[ok]], cls[y[ok]]
-            if itself:
-                a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
             found.append(np.unique(np.stack([a, b] if small == 0 else [b, a], axis=1), axis=0))
             at = stop
     return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
 
+#: Grams in a class of the largest sets of a range, at most; ratio of a range's ends, but for the first, whose sets are all one class; bits that tell classes.
+IN_CLASS, WIDTH, CLASS_BITS = 90, 1.3, 12
+OWN = [("key", "<u4"), ("size", "<u4"), ("part", "<u4"), ("bits", "<u8"), ("cls", "<i8")]
+
+
+def size_ranges(largest: int) -> list[tuple[int, int, int]]:
+    """(first size, size after the last, k) of the ranges up to the largest size."""
+    out, low, high = [], 1, IN_CLASS + 1
+    while low <= largest:
+        k = 1
+        while (high - 1) / k > IN_CLASS and k < 1 << CLASS_BITS:
+            k *= 2
+        out.append((low, high, k))
+        low, high = high, int(high * WIDTH) + 1
+    return out
+
+
+def class_prefixes(h: np.ndarray, owner: np.ndarray, k: int, rank: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
+    """(gram, owner, size of the owner's class, its sketch) of the prefix grams of all classes, given distinct grams
+    (distinct_grams) and the place of each bucket. The gram's low bits are its class."""
+    shift = np.uint64(64 - 10 - CLASS_BITS)
+    key = (owner.astype(np.uint64) << np.uint64(54)) | (((h >> np.uint64(10)) & np.uint64(k - 1)) << shift)
+    key |= (rank[_bucket(h)] << np.uint64(24)) | ((h >> np.uint64(10 + CLASS_BITS)) & np.uint64((1 << 24) - 1))
+    order = np.argsort(key)
+    key, h = key[order], h[order]
+    of = key >> shift
+    start = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(start, len(of)))
+    bits = np.bitwise_xor.reduceat(np.uint64(1) << (mixed(h, 21) >> np.uint64(58)), start) if len(of) else np.zeros(0, np.uint64)
+    keep = np.arange(len(of)) - np.repeat(start, sizes) < np.repeat(sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1, sizes)
+    return h[keep], (key[keep] >> np.uint64(54)).astype(np.int64), np.repeat(sizes, sizes)[keep], np.repeat(bits, sizes)[keep]
+
+
+def own_meetings(entry: dict[str, np.ndarray], threshold: float, below: int, block: int = 1 << 17) -> np.ndarray:
+    """Distinct (smaller class, larger class) of the entries of one task that pass all filters, if the smaller set has
+    less than `below` grams. entry: arrays by the names of OWN."""
+    code = (entry["key"].astype(np.uint64) << np.uint64(32)) | entry["size"].astype(np.uint64)
+    order = np.argsort(code)
+    code, size, part, bits, cls = code[order], entry["size"][order].astype(np.int64), entry["part"][order].astype(np.int32), entry["bits"][order], entry["cls"][order]
+    most = np.floor(size / threshold + 1e-9).astype(np.uint64)
+    low = np.arange(1, len(code) + 1)
+    count = np.searchsorted(code, (code & ~np.uint64(0xFFFFFFFF)) | most, side="right") - low
+    own = np.flatnonzero((size < below) & (count > 0))
+    low, count = low[own], count[own]
+    edge = np.concatenate([[0], np.cumsum(count)])
+    share = threshold / (1 + threshold)
+    wide = np.minimum(part[own] / threshold + 1e-9, 1 << 30).astype(np.int64)  # the largest class that such a class is similar to
+    apart = np.minimum(np.floor((1 - 2 * share) * (part[own] + wide) + 1e-6), 64).astype(np.uint8)
+    ours = bits[own]
+    found, at = [np.zeros((0, 2), np.int64)], 0
+    while at < len(own):
+        stop = max(at + 1, int(np.searchsorted(edge, edge[at] + block, side="right")) - 1)
+        n = count[at:stop]
+        y = np.arange(edge[stop] - edge[at]) + np.repeat(low[at:stop] - (edge[at:stop] - edge[at]), n)
+        differ = np.bitwise_count(np.repeat(ours[at:stop], n) ^ bits[y])
+        some = np.flatnonzero(differ <= np.repeat(apart[at:stop], n))
+        x, y, differ = own[at + np.searchsorted(edge[at + 1 : stop + 1] - edge[at], some, side="right")], y[some], differ[some]
+        sx, sy = part[x], part[y]
+        needed = np.ceil(share * (sx + sy) - 1e-9).astype(np.int64)
+        ok = (np.minimum(sx, sy) >= threshold * np.maximum(sx, sy) - 1e-9) & (differ <= sx + sy - 2 * needed) & (cls[x] != cls[y])
+        x, y = cls[x[ok]], cls[y[ok]]
+        found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0))
+        at = stop
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def gram_sizes(n: int = 5):
+    """Arrow function of a plain text: the number of its distinct grams."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(distinct_grams(list(texts), n)[2], dtype="int64")
+
+    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, T.LongType())
+
+
+def own_candidates(texts: DataFrame, threshold: float, n: int = 5, per_task: int = 400_000, crowd: int = 200_000, room: float = 0.8, least: int = 4_000_000) -> DataFrame:
+    """(r, l), r < l: pairs of classes that pass all filters, each once. texts: (cls long, text, size long), of which
+    size, the number of distinct grams, is made if it is missing. Ranges are searched together up to `least` entries, or
+    `room` bytes of entries for each character of the texts."""
+    if "size" not in texts.columns:
+        texts = cut(texts.select("cls", "text", gram_sizes(n)("text").alias("size")), "sized")
+    top = texts.agg(F.max("size").alias("top"), F.sum(F.length("text")).alias("chars")).first()
+    ranges = size_ranges(top["top"] or 0)
+    # rows of each range: (its number, sum of sizes, texts); a row takes part while the smallest partner is in the range
+    lows = F.array(*[F.lit(a) for a, _, _ in ranges]) if ranges else F.array(F.lit(1))
+    highs = F.array(*[F.lit(int((b - 1) / threshold + 1e-9)) for _, b, _ in ranges]) if ranges else F.array(F.lit(0))
+    takes = F.filter(F.sequence(F.lit(0), F.lit(max(0, len(ranges) - 1))), lambda i: (F.get(lows, i) <= F.col("size")) & (F.get(highs, i) >= F.col("size")))
+    held = {r["i"]: (r["grams"], r["texts"]) for r in texts.select("size", F.explode(takes).alias("i")).groupBy("i").agg(F.sum("size").alias("grams"), F.count("*").alias("texts")).collect()}  # a row a range
+    table = gram_counts(texts, n)
+    counts = texts.sparkSession.sparkContext.broadcast(table)  # BUCKETS numbers
+    jobs, bulk = [], 0
+    for i, (low, high, k) in enumerate(ranges):
+        if i not in held:
+            continue
+        entries = int((1 - threshold) * held[i][0] + k * held[i][1])
+        if not jobs or bulk + entries > max(least, room * (top["chars"] or 0) / sum(np.dtype(t).itemsize for _, t in OWN)):
+            jobs.append([])
+            bulk = 0
+        bulk += entries
+        jobs[-1].append((i, low, high, k, max(1, -(-entries // per_task))))
+    found = [cut(_met(texts, counts, job, threshold, n, crowd), "met", free=True) for job in jobs]
+    out = texts.sparkSession.createDataFrame([], "r long, l long") if not found else found[0]
+    for other in found[1:]:
+        out = out.unionByName(other)
+    return out  # a pair is in the range of its smaller set only
+
+
+def _met(texts: DataFrame, counts, job: list[tuple[int, ...]], threshold: float, n: int, crowd: int) -> DataFrame:
+    """Pairs of the ranges (number, first size, size after the last, k, tasks) of one job."""
+    firsts = np.cumsum([0, *[tasks for *_, tasks in job]])
+    parts = max(partitions(texts), int(firsts[-1]))
+    reach = lambda high: int((high - 1) / threshold + 1e-9)
+
+    def packed(pdf: pd.DataFrame, table: np.ndarray, rank: np.ndarray) -> Iterator[pd.DataFrame]:
+        h, owner, size = distinct_grams(list(pdf["text"]), n)
+        cls = pdf["cls"].to_numpy()
+        for (i, low, high, k, tasks), first in zip(job, firsts, strict=False):
+            mine = ((size >= low) & (size <= reach(high)))[owner]
+            if not mine.any():
+                continue
+            gram, own, part, bits = class_prefixes(h[mine], owner[mine], k, rank, threshold)
+            salts = np.maximum(1, -(-table[_bucket(gram)] // crowd))
+            which = np.repeat(np.arange(len(gram)), salts)
+            salt = (np.arange(len(which)) - np.repeat(np.cumsum(salts) - salts, salts)).astype(np.uint64)
+            drawn = (mixed(cls[own].view(np.uint64), 22) % salts.astype(np.uint64))[which]  # a row is in every pair of salts that has its own
+            salt = np.minimum(salt, drawn) * salts[which].astype(np.uint64) + np.maximum(salt, drawn)
+            g = mixed(gram[which] + salt * np.uint64(0x9E3779B97F4A7C15), 23 + i)
+            target = first + ((g & np.uint64(0xFFFFFFFF)) % np.uint64(tasks)).astype(np.int64)
+            key = (g >> np.uint64(32)).astype("<u4")
+            order = np.argsort((target.astype(np.uint64) << np.uint64(32)) | key)
+            target, which, key = target[order], which[order], key[order]
+            columns = {"key": key, "size": size[own[which]], "part": part[which], "bits": bits[which], "cls": cls[own[which]]}
+            edge = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]]))
+            stop = np.append(edge[1:], len(target))
+            yield pd.DataFrame({"task": target[edge].astype(np.int32), **{c: [np.ascontiguousarray(columns[c][a:b], dtype=t).tobytes() for a, b in zip(edge, stop, strict=True)] for c, t in OWN}})
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = counts.value
+        rank = rarity(table)[0]
+        for pdf in batches:
+            for at in range(0, len(pdf), BATCH):
+                yield from packed(pdf.iloc[at : at + BATCH], table, rank)
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = int(np.searchsorted(firsts, pdf["task"].iloc[0], side="right")) - 1
+        entry = {c: np.concatenate([np.frombuffer(x, dtype=t) for x in pdf[c]]) for c, t in OWN}
+        both = own_meetings(entry, threshold, job[at][2])
+        return pd.DataFrame({"r": both[:, 0], "l": both[:, 1]})
+
+    some = F.lit(False)
+    for _, low, high, _, _ in job:
+        some = some | F.col("size").between(low, reach(high))
+    entries = spread(texts.where(some).select("cls", "text")).mapInPandas(emit, "task int, " + ", ".join(f"{c} binary" for c, _ in OWN))
+    return entries.repartitionById(parts, "task").groupBy("task").applyInPandas(search, "r long, l long").distinct()
+
+
 def candidates(texts: DataFrame, threshold: float, n: int = 5, per_task: int = 400_000, crowd: int = 50_000, itself: bool = False) -> DataFrame:
     """(r, l): distinct pairs of a left and a right class that pass all filters. texts: (cls long, l int, r int, text);
     l and r say on which sides a class is. itself: both sides are all texts (l and r are not needed), r < l."""
+    if itself:
+        return own_candidates(texts, threshold, n, per_task, crowd)
     rows = texts.count()
     counts = texts.sparkSession.sparkContext.broadcast(gram_counts(texts, n))  # BUCKETS numbers
     parts = partitions(texts, -(-rows * 60 // per_task))
@@ -156,17 +319,14 @@ def candidates(texts: DataFrame, threshold: float, n: int = 5, per_task: int = 4
         gram, own, place, size, bits = prefixes(list(pdf["text"]), rank, threshold, n)
         salts = np.maximum(1, -(-table[_bucket(gram)] // crowd))
         cls, entries, targets = pdf["cls"].to_numpy(), [], []
-        for kind, flag in (("r", 0),) if itself else (("l", 1), ("r", 0)):
-            mine = np.arange(len(own)) if itself else np.flatnonzero(pdf[kind].to_numpy()[own] == 1)
+        for kind, flag in (("l", 1), ("r", 0)):
+            mine = np.flatnonzero(pdf[kind].to_numpy()[own] == 1)
             drawn = mixed(cls[own[mine]].view(np.uint64), 22) % salts[mine].astype(np.uint64)
             if flag:  # a left row is in one salt, a right row in all
                 which, salt = mine, drawn
             else:
                 which = np.repeat(mine, salts[mine])
                 salt = (np.arange(len(which)) - np.repeat(np.cumsum(salts[mine]) - salts[mine], salts[mine])).astype(np.uint64)
-                if itself:  # a row is in every pair of salts that has its own
-                    own_salt = np.repeat(drawn, salts[mine])
-                    salt = np.minimum(salt, own_salt) * salts[which].astype(np.uint64) + np.maximum(salt, own_salt)
             e = np.empty(len(which), dtype=ENTRY)
             g = mixed(gram[which] + salt * np.uint64(0x9E3779B97F4A7C15), 23)
             e["key"], e["size"], e["place"], e["left"] = (g >> np.uint64(32)).astype(np.uint32), size[own[which]], place[which], flag
@@ -188,7 +348,7 @@ def candidates(texts: DataFrame, threshold: float, n: int = 5, per_task: int = 4
                 yield packed(pdf.iloc[at : at + BATCH], table, rank)
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        both = meetings(np.concatenate([np.frombuffer(x, dtype=ENTRY) for x in pdf["entries"]]), threshold, itself)
+        both = meetings(np.concatenate([np.frombuffer(x, dtype=ENTRY) for x in pdf["entries"]]), threshold)
         return pd.DataFrame({"r": both[:, 0], "l": both[:, 1]})
 
     # one task for each part: merged by size, or spread by a hash, they would grow with the input
@@ -223,13 +383,18 @@ def text_classes(df: DataFrame, key: str, text: str, order: str) -> DataFrame:
 def near_pairs(df: DataFrame, key: str, text: str, order: str, threshold: float = 0.85, n: int = 5) -> tuple[DataFrame, DataFrame]:
     """(members (class, key, order), links (a, b, similarity) of different classes, a < b). Equal texts are one class,
     named by its first (order, key) as a struct; all blank texts are one class."""
-    rows = cut(text_classes(df, key, text, order), "setjoin")
-    classes = cut(rows.groupBy("cls", "rest").agg(F.min(F.struct("order", "key")).alias("class"), F.first("text").alias("text")), "classes")
-    filled = classes.where("text <> ''")
-    found = candidates(filled.select("cls", "text"), threshold, n, itself=True)
-    a, b = filled.select(F.col("cls").alias("l"), F.col("class").alias("x"), F.col("text").alias("t")), filled.select(F.col("cls").alias("r"), F.col("class").alias("y"), F.col("text").alias("u"))
+    keyed = text_classes(df, key, text, order)
+    rows = cut(keyed.select("key", "order", "cls", "rest"), "setjoin")
+    # the texts are written once, one of each class
+    classes = keyed.groupBy("cls", "rest").agg(F.min(F.struct("order", "key")).alias("class"), F.first("text").alias("text"))
+    classes = cut(classes.withColumn("size", gram_sizes(n)("text")), "classes", free=True)
+    found = own_candidates(classes.where("text <> ''").select("cls", "text", "size"), threshold, n)
+    # texts that share the first half of their key come along here, and the check tells them apart
+    involved = found.select(F.explode(F.array("l", "r")).alias("cls")).distinct()
+    held = cut(classes.where("text <> ''").join(involved, "cls", "left_semi").select("cls", "class", "text"), "held", free=True)
+    a, b = held.select(F.col("cls").alias("l"), F.col("class").alias("x"), F.col("text").alias("t")), held.select(F.col("cls").alias("r"), F.col("class").alias("y"), F.col("text").alias("u"))
     links = found.join(a, "l").join(b, "r").withColumn("similarity", similarity(n)("t", "u")).where(F.col("similarity") >= threshold - 1e-12)
-    links = cut(links.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity"), "links")
+    links = cut(links.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity"), "links", free=True)
     return rows.join(classes.select("cls", "rest", "class"), ["cls", "rest"]).select("class", "key", "order"), links
 
 

@@ -78,10 +78,23 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
-def cut(df: DataFrame, label: str = "t") -> DataFrame:
+#: Removes the shuffle files of a query when it ends, instead of when the driver happens to collect its garbage.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame, label: str = "t", free: bool = False) -> DataFrame:
     """df written as a Parquet table in the shared folder and read back: its lineage ends there and it
-    survives the loss of executors. The table is removed when the driver's process ends."""
+    survives the loss of executors. The table is removed when the driver's process ends. free: the shuffles that made
+    it are removed at once."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(_FREE, None)
+    try:
+        if free:
+            spark.conf.set(_FREE, "true")
+            df = df.select("*")  # planned under the setting
+        df.write.parquet(path)
+    finally:
+        if free:
+            spark.conf.unset(_FREE) if before is None else spark.conf.set(_FREE, before)
     return spark.read.schema(df.schema).parquet(path)

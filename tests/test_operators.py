@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -198,6 +200,25 @@ def test_set_join_against_brute_force(spark):
     assert kept == {j for j in range(len(texts)) if not any((i, j) in want for i in range(j))}
 
 
+def test_set_join_meets_few_but_similar_texts(spark):
+    """Long texts of the same words: hardly a pair is compared in full but the similar ones, at every size."""
+    from cowrie.functions.grams import gram_set
+
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abdefgiklmnorstuwy"), 6)) for _ in range(600)]
+    texts = [" ".join(rng.choice(words, n)) for n in (140, 160, 185, 300) for _ in range(60)]
+    texts += [t[: int(len(t) * share)] + t[int(len(t) * share) + 60 :] for t in texts[::12] for share in (0.2, 0.7)] + [t[: int(len(t) * 0.88)] for t in texts[::9]]
+    grams = [gram_set(t) for t in texts]
+    alike = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if len(grams[i] & grams[j]) >= 0.85 * len(grams[i] | grams[j])}
+    df = spark.createDataFrame(list(enumerate(texts)), "cls long, text string").persist()
+    met = [tuple(sorted(r)) for r in setjoin.candidates(df, 0.85, itself=True).collect()]
+    assert set(met) >= alike and len(alike) > 60
+    assert len(met) == len(set(met)) < 2 * len(alike)
+    # the same, however ranges are searched
+    alone = {tuple(sorted(r)) for r in setjoin.own_candidates(df, 0.85, per_task=5_000, room=0, least=0).collect()}
+    assert alone == set(met)
+
+
 def test_guard(spark):
     rules = guard.Rules(("iba", "omi mimu"), ("dose",), "no", "see a doctor", "note")
     asked = []
