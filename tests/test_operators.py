@@ -219,6 +219,27 @@ def test_set_join_meets_few_but_similar_texts(spark):
     assert alone == set(met)
 
 
+def test_set_join_writes_each_text_once(spark, monkeypatch):
+    """q_near_classes: of what is written, only the table of classes has every text; copies and unlike texts come once or not at all."""
+    from cowrie import session
+
+    written = {}
+
+    def cut(df, label="t", **more):
+        out = session.cut(df, label, **more)
+        written.setdefault(label, []).append(out)
+        return out
+
+    monkeypatch.setattr(setjoin, "cut", cut)
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abdefgiklmnorstuwy"), 6)) for _ in range(600)]
+    texts = [" ".join(rng.choice(words, 150)) for _ in range(40)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *texts[:10], texts[11][:-9]])], "id int, t string")
+    setjoin.near_pairs(df, "id", "t", "id")
+    held = {label: sum(out.count() for out in outs) for label, outs in written.items() if any("text" in out.columns for out in outs)}
+    assert held["classes"] == 41 and sum(held.values()) - 41 == 2
+
+
 def test_guard(spark):
     rules = guard.Rules(("iba", "omi mimu"), ("dose",), "no", "see a doctor", "note")
     asked = []
