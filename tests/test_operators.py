@@ -240,6 +240,22 @@ def test_set_join_writes_each_text_once(spark, monkeypatch):
     assert held["classes"] == 41 and sum(held.values()) - 41 == 2
 
 
+def test_shuffles_of_a_written_table_are_removed(spark):
+    """q_deduplicated: room that a shuffle took is free once its table is written."""
+    from cowrie.session import cut
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {x for x in str(disk.getAllFiles().mkString("|")).split("|") if "shuffle_" in x}
+    before, setting = shuffles(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    out = cut(spark.range(1000, numPartitions=3).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("s")), "t", free=True)
+    for _ in range(50):
+        if shuffles() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffles() <= before and out.agg(F.sum("s")).first()[0] == 499500
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == setting
+
+
 def test_guard(spark):
     rules = guard.Rules(("iba", "omi mimu"), ("dose",), "no", "see a doctor", "note")
     asked = []
