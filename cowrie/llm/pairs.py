@@ -8,9 +8,10 @@ which words end sentences. An
 expectation-maximisation label model estimates each function's reliability and every pair's posterior from how the
 votes agree; a pair keeps each defect whose posterior reaches that defect's cutoff.
 
-Training: the model of declining answers is fitted on at most about `sample` answers to questions out of scope and
-twice as many others, chosen by a hash of their id, and the model of sentences' ends on the latter; without answers to
-questions out of scope the former does not vote.
+Training: the model of declining answers is fitted on the counts of words in all answers to questions out of scope and
+all others, and the model of sentences' ends on all of the latter; without answers to questions out of scope the former
+does not vote. A model holds the words that are so frequent that a few thousand answers would hold some, so that its
+size does not follow the data.
 
 Scale: votes are made in one pass; the model is fitted on counts of distinct vote patterns (at most 3 to the
 number of functions rows per defect, whatever the data) and applied by looking the pattern up.
@@ -91,54 +92,81 @@ def _declines(sentence: str) -> bool:
 
 
 class DecliningModel:
-    """Mean log odds of an answer's words and pairs of words between answers to questions out of scope and others."""
+    """Mean log odds of an answer's words and pairs of words between answers to questions out of scope and others.
+    counts: in how many of `yes` answers and of `no` others a feature is."""
 
-    def __init__(self, yes: list[str], no: list[str], smooth: float = 0.5, least: int = 2) -> None:
-        counts = [Counter(f for t in side for f in self.features(t)) for side in (yes, no)]
-        kept = [f for f in counts[0].keys() | counts[1].keys() if counts[0][f] + counts[1][f] >= least]
-        a, b = len(yes) + 2 * smooth, len(no) + 2 * smooth
-        self.weights = {f: math.log((counts[0][f] + smooth) / a) - math.log((counts[1][f] + smooth) / b) for f in kept}
-        self.usable = len(yes) >= 20 and len(no) >= 20
+    def __init__(self, counts: dict[str | tuple[str, str], tuple[float, float]], yes: float, no: float, smooth: float = 0.5) -> None:
+        a, b = yes + 2 * smooth, no + 2 * smooth
+        self.weights = {f: math.log((x + smooth) / a) - math.log((y + smooth) / b) for f, (x, y) in counts.items()}
+        self.usable = yes >= 20 and no >= 20
 
     @staticmethod
-    def features(text: str) -> set:
-        words = _words(fold(text))
+    def features(words: list[str]) -> set:
         return {*words, *zip(words, words[1:])}
 
     def score(self, words: list[str]) -> float:
         """Above zero for what reads like declining, given the words of a folded text; zero if nothing is known."""
         if not self.usable:
             return 0.0
-        known = [w for w in map(self.weights.get, {*words, *zip(words, words[1:])}) if w is not None]
+        known = [w for w in map(self.weights.get, self.features(words)) if w is not None]
         return math.fsum(known) / len(known) if known else 0.0
 
 
 class EndingModel:
-    """How often each word ends a sentence, from texts' sentences but their last, which may be cut."""
+    """How often each word ends a sentence. counts: how often a word is in a sentence, and ends one."""
 
-    def __init__(self, texts: list[str], least: int = 5) -> None:
-        every, last = Counter(), Counter()
-        for text in texts:
-            for sentence in _SENTENCES.split(fold(text))[:-1]:
-                if words := _words(sentence):
-                    every.update(words)
-                    last[words[-1]] += 1
-        self.rates = {w: (last[w] + 0.5) / (n + 1) for w, n in every.items() if n >= least}
+    def __init__(self, counts: dict[str, tuple[float, float]]) -> None:
+        self.rates = {w: (last + 0.5) / (n + 1) for w, (n, last) in counts.items()}
 
     def rate(self, word: str) -> float | None:
         return self.rates.get(word)
 
 
-def fit_answer_models(df: DataFrame, expected: Column | None, id_col: str = "id", output: str = "output", sample: int = 4000) -> tuple[DecliningModel, EndingModel]:
-    """Models of how answers read where `expected` is true (declined on purpose) and of how sentences end."""
-    known = df.select(F.xxhash64(F.col(f"`{id_col}`").cast("string")).alias("k"), F.coalesce(expected, F.lit(False)).alias("e") if expected is not None else F.lit(False).alias("e"), F.col(f"`{output}`").alias("t")).where("t is not null and trim(t) <> ''")
+def _answer_counts(known: DataFrame, most: int = 1 << 19) -> DataFrame:
+    """(feature, yes, no, every, last) of rows (e, t): in how many texts with and without e a word, or a pair of words
+    with a blank between, is; and, of the texts without e, how often a word is in a sentence and ends one. The last
+    sentence of a text, which may be cut, does not count. Tasks sum up to `most` features before they pass them on."""
+
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = [Counter() for _ in range(4)]
+
+        def summed() -> pd.DataFrame:
+            names = list(dict.fromkeys(f for c in sums for f in c))
+            out = pd.DataFrame({"feature": np.array([f if isinstance(f, str) else " ".join(f) for f in names], dtype=object), **{k: np.array([c[f] for f in names], dtype=np.int64) for k, c in zip(("yes", "no", "every", "last"), sums, strict=True)}})
+            for c in sums:
+                c.clear()
+            return out
+
+        for pdf in parts:
+            for e, text in zip(pdf["e"], pdf["t"], strict=True):
+                said = [_words(x) for x in _SENTENCES.split(fold(text))]
+                sums[0 if e else 1].update(DecliningModel.features([w for x in said for w in x]))
+                if not e:
+                    for words in said[:-1]:
+                        sums[2].update(words)
+                        sums[3].update(words[-1:])
+                if len(sums[0]) + len(sums[1]) > most:
+                    yield summed()
+        if any(sums):
+            yield summed()
+
+    return spread(known.select("e", "t")).mapInPandas(count, "feature string, yes long, no long, every long, last long").groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("yes", "no", "every", "last")])
+
+
+def fit_answer_models(df: DataFrame, expected: Column | None, output: str = "output", per: tuple[int, int] = (4000, 8000), least: tuple[int, int] = (2, 5)) -> tuple[DecliningModel, EndingModel]:
+    """Models of how answers read where `expected` is true (declined on purpose) and of how sentences end, from the
+    counts of all answers, given as they are in per[0] answers where it is true and per[1] others on average, so that
+    the models' smoothing, and what their scores mean, does not follow the size of the table. They hold features that
+    are in least[0] of these, and words that are in sentences of per[1] others least[1] times."""
+    known = df.select(F.coalesce(expected, F.lit(False)).alias("e") if expected is not None else F.lit(False).alias("e"), F.col(f"`{output}`").alias("t")).where("t is not null and trim(t) <> ''")
     sizes = {r["e"]: r["count"] for r in known.groupBy("e").count().collect()}
-    scale, sides = 1 << 20, []
-    for e, most in ((True, sample), (False, 2 * sample)):
-        share = min(1.0, most / max(1, sizes.get(e, 0)))
-        rows = known.where((F.col("e") == e) & (F.pmod("k", F.lit(scale)) < share * scale)).select("t").collect() if sizes.get(e) else []  # at most about `most` texts
-        sides.append(sorted(r["t"] for r in rows))
-    return DecliningModel(*sides), EndingModel(sides[1])
+    yes, no = sizes.get(True, 0), sizes.get(False, 0)
+    a, b = min(1.0, per[0] / max(1, yes)), min(1.0, per[1] / max(1, no))
+    common, placed = F.col("yes") * a + F.col("no") * b >= least[0] - 1e-9, F.col("every") * b >= least[1] - 1e-9
+    rows = _answer_counts(known).where(common | placed).withColumns({"common": common, "placed": placed}).collect()  # of bounded number: what `per` answers hold
+    split = lambda f: tuple(f.split(" ")) if " " in f else f
+    declining = DecliningModel({split(r["feature"]): (r["yes"] * a, r["no"] * b) for r in rows if r["common"]}, yes * a, no * b)
+    return declining, EndingModel({r["feature"]: (r["every"] * b, r["last"] * b) for r in rows if r["placed"]})
 
 
 # Words, without accents, that no Yoruba sentence ends with.
@@ -314,7 +342,7 @@ def pair_defects(df: DataFrame, model: LanguageModel, id_col: str = "id", instru
     """(id, keep..., p_<defect> for each defect, defects): posteriors and all defects that reach their cutoff, in
     the order of DEFECTS. expected: where an answer is meant to decline."""
     spark, cutoffs = df.sparkSession, cutoffs or CUTOFFS
-    votes = cut(label_votes(df, model, fit_answer_models(df, expected, id_col, output), id_col, instruction, output, keep), "votes")
+    votes = cut(label_votes(df, model, fit_answer_models(df, expected, output), id_col, instruction, output, keep), "votes")
     out = votes
     for d in DEFECTS:
         rows = votes.groupBy(d).count().collect()  # at most 3 ** FUNCTIONS[d] rows

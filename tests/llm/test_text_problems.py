@@ -1,5 +1,6 @@
 """Problems 1, 3, 7, 8, 10: text operators, their defined results and edge cases."""
 
+import math
 import re
 import unicodedata
 
@@ -212,3 +213,17 @@ def test_languages_of_answers(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(1, "x")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r["id"], r["field"]): r["lang"] for r in Q.queries()["p7_answers"](spark, str(tmp_path)).collect()}
     assert got == {("1", "answer_yo_mt"): "yo", ("1", "answer_yo_final"): "en", ("2", "answer_yo_final"): "yo"}
+
+
+def test_answer_models_count_all_answers(spark):
+    declined = [(i, "Mo ko le dahun. E lo ri dokita", True) for i in range(5000)]
+    others = [(10_000 + i, f"Omi mimu dara. Ounje naa dara{' gan' if i % 5 == 0 else ''}. O pari{' lana' if i % 4 == 0 else ''}", False) for i in range(11_000)]
+    df = spark.createDataFrame([*declined, *others, (1, " ", True), (2, None, False)], "id long, output string, e boolean").repartition(3)
+    declining, endings = P.fit_answer_models(df, F.col("e"))
+    per = 8000 / 11_000  # counts are given as of 4,000 and 8,000 answers
+    weight = lambda yes, no: math.log((yes * 0.8 + 0.5) / 4001) - math.log((no * per + 0.5) / 8001)
+    assert declining.weights["dahun"] == pytest.approx(weight(5000, 0), rel=1e-12) and declining.weights["gan"] == pytest.approx(weight(0, 2200), rel=1e-12) and declining.weights["pari", "lana"] == pytest.approx(weight(0, 2750), rel=1e-12)
+    assert endings.rate("gan") == pytest.approx((2200 * per + 0.5) / (2200 * per + 1), rel=1e-12) and endings.rate("mimu") == pytest.approx(0.5 / 8001, rel=1e-12)
+    assert endings.rate("dara") == pytest.approx((19_800 * per + 0.5) / (22_000 * per + 1), rel=1e-12) and endings.rate("pari") is None
+    sums = {r["feature"]: tuple(r)[1:] for r in P._answer_counts(df.where("trim(output) <> ''").select("e", F.col("output").alias("t")), most=3).collect()}  # passed on often
+    assert sums["dara gan"] == (0, 2200, 0, 0) and sums["dara"] == (0, 11_000, 22_000, 19_800)
