@@ -341,13 +341,13 @@ def q_near_pairs(spark, d):
     """Pairs of near documents: the first documents of different classes of equal texts, and each copy with the first
     document of its class (q_near_classes has the membership)."""
     docs = table(spark, d, "documents").where(text.blank_to_null(F.col("text")).isNotNull())
-    return setjoin.star_pairs(*setjoin.near_pairs(docs, "doc_id", "text", "doc_id")).select(F.col("key_a").alias("doc_a"), F.col("key_b").alias("doc_b"), F.round("similarity", 6).alias("similarity"))
+    return setjoin.star_pairs(*setjoin.near_pairs(docs, "doc_id", "text", "doc_id", tidy=True)).select(F.col("key_a").alias("doc_a"), F.col("key_b").alias("doc_b"), F.round("similarity", 6).alias("similarity"))
 
 
 @query
 def q_near_classes(spark, d):
     """One row per document: the first document of its class of equal texts, and the number of linked classes."""
-    members, links = setjoin.near_pairs(table(spark, d, "documents"), "doc_id", "text", "doc_id")
+    members, links = setjoin.near_pairs(table(spark, d, "documents"), "doc_id", "text", "doc_id", tidy=True)
     degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
     return members.join(degree, "class", "left").select(F.col("key").alias("doc_id"), F.col("class.key").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
 

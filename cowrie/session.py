@@ -71,21 +71,33 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Paths in the shared folder by their last part.
+_written: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder; what is written there is removed when the driver's process ends."""
-    path = f"{shared_folder(spark)}/cowrie/{label}-{uuid.uuid4().hex}"
+    name = f"{label}-{uuid.uuid4().hex}"
+    path = _written[name] = f"{shared_folder(spark)}/cowrie/{name}"
     atexit.register(_forget, spark, path)
     return path
 
 
+def drop(*tables: DataFrame) -> None:
+    """Removes the tables written by cut that these read: nothing may read them again. Other files stay."""
+    for df in tables:
+        for name in {os.path.basename(os.path.dirname(f)) for f in df.inputFiles()} & _written.keys():
+            _forget(df.sparkSession, _written.pop(name))
+
+
 #: Removes the shuffle files of a query when it ends, instead of when the driver happens to collect its garbage.
 _FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def cut(df: DataFrame, label: str = "t", free: bool = False) -> DataFrame:
+def cut(df: DataFrame, label: str = "t", free: bool = False, codec: str | None = None) -> DataFrame:
     """df written as a Parquet table in the shared folder and read back: its lineage ends there and it
-    survives the loss of executors. The table is removed when the driver's process ends. free: the shuffles that made
-    it are removed at once."""
+    survives the loss of executors. The table is removed by drop or when the driver's process ends. free: the shuffles
+    that made it are removed at once. codec: how it is compressed, if not as the session does."""
     spark = df.sparkSession
     path = scratch(spark, label)
     before = spark.conf.get(_FREE, None)
@@ -93,7 +105,7 @@ def cut(df: DataFrame, label: str = "t", free: bool = False) -> DataFrame:
         if free:
             spark.conf.set(_FREE, "true")
             df = df.select("*")  # planned under the setting
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     finally:
         if free:
             spark.conf.unset(_FREE) if before is None else spark.conf.set(_FREE, before)

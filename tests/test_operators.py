@@ -1,3 +1,4 @@
+import os
 import time
 
 import numpy as np
@@ -256,6 +257,22 @@ def test_shuffles_of_a_written_table_are_removed(spark):
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == setting
 
 
+def test_set_join_leaves_no_working_tables(spark):
+    """q_deduplicated: when its result is there, the tables of texts and of candidates are gone, not kept until the process ends."""
+    from cowrie.session import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file://") + "/cowrie"
+    tables = lambda: set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    before = tables()
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(list("abdefgiklmnorstuwy"), 6)) for _ in range(600)]
+    texts = [" ".join(rng.choice(words, 150)) for _ in range(40)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *texts[:10], texts[11][:-9], "", None])], "id int, t string")
+    kept = setjoin.without_later_duplicates(df, "id", "t", "id")
+    assert {x.rpartition("-")[0] for x in tables() - before} == {"members", "links"}
+    assert {r["id"] for r in kept.collect()} == {*range(40), 51}
+
+
 def test_guard(spark):
     rules = guard.Rules(("iba", "omi mimu"), ("dose",), "no", "see a doctor", "note")
     asked = []
