@@ -182,6 +182,20 @@ def class_prefixes(h: np.ndarray, owner: np.ndarray, k: int, rank: np.ndarray, t
     return h[keep], (key[keep] >> np.uint64(54)).astype(np.int64), np.repeat(sizes, sizes)[keep], np.repeat(bits, sizes)[keep]
 
 
+#: Columns of entries whose bytes are written plane by plane: their high bytes are mostly zero and are compressed away.
+PLANES = ("size", "part")
+
+
+def packed_column(x: np.ndarray, name: str) -> bytes:
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes() if name in PLANES else x.tobytes()
+
+
+def unpacked_column(b: bytes, name: str, kind: str) -> np.ndarray:
+    if name not in PLANES:
+        return np.frombuffer(b, dtype=kind)
+    return np.ascontiguousarray(np.frombuffer(b, dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind)[:, 0]
+
+
 def own_meetings(entry: dict[str, np.ndarray], threshold: float, below: int, block: int = 1 << 17) -> np.ndarray:
     """Distinct (smaller class, larger class) of the entries of one task that pass all filters, if the smaller set has
     less than `below` grams. entry: arrays by the names of OWN."""
@@ -279,12 +293,12 @@ def _met(texts: DataFrame, counts, job: list[tuple[int, ...]], threshold: float,
             g = mixed(gram[which] + salt * np.uint64(0x9E3779B97F4A7C15), 23 + i)
             target = first + ((g & np.uint64(0xFFFFFFFF)) % np.uint64(tasks)).astype(np.int64)
             key = (g >> np.uint64(32)).astype("<u4")
-            order = np.argsort((target.astype(np.uint64) << np.uint64(32)) | key)
+            order = np.argsort(target, kind="stable")  # a text's entries stay together: what they share is compressed away
             target, which, key = target[order], which[order], key[order]
             columns = {"key": key, "size": size[own[which]], "part": part[which], "bits": bits[which], "cls": cls[own[which]]}
             edge = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]]))
             stop = np.append(edge[1:], len(target))
-            yield pd.DataFrame({"task": target[edge].astype(np.int32), **{c: [np.ascontiguousarray(columns[c][a:b], dtype=t).tobytes() for a, b in zip(edge, stop, strict=True)] for c, t in OWN}})
+            yield pd.DataFrame({"task": target[edge].astype(np.int32), **{c: [packed_column(np.ascontiguousarray(columns[c][a:b], dtype=t), c) for a, b in zip(edge, stop, strict=True)] for c, t in OWN}})
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = counts.value
@@ -295,7 +309,7 @@ def _met(texts: DataFrame, counts, job: list[tuple[int, ...]], threshold: float,
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         at = int(np.searchsorted(firsts, pdf["task"].iloc[0], side="right")) - 1
-        entry = {c: np.concatenate([np.frombuffer(x, dtype=t) for x in pdf[c]]) for c, t in OWN}
+        entry = {c: np.concatenate([unpacked_column(x, c, t) for x in pdf[c]]) for c, t in OWN}
         both = own_meetings(entry, threshold, job[at][2])
         return pd.DataFrame({"r": both[:, 0], "l": both[:, 1]})
 
@@ -365,19 +379,19 @@ def similarity(n: int = 5):
     return F.pandas_udf(run, T.DoubleType())
 
 
-def text_classes(df: DataFrame, key: str, text: str, order: str) -> DataFrame:
+def text_classes(df: DataFrame, key: str, text: str, order: str, texts: bool = True) -> DataFrame:
     """(cls, rest, key, order, text): df's plain texts; equal texts have equal cls and rest, the halves of a 128-bit
-    key. Null counts as empty."""
+    key. Null counts as empty. texts: with the texts themselves."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            texts = [plain(t or "") for t in pdf["text"]]
-            keys = np.array([text_key(t) for t in texts], dtype=np.int64).reshape(-1, 2)
-            yield pdf.assign(text=texts, cls=keys[:, 0], rest=keys[:, 1])
+            flat = [plain(t or "") for t in pdf["text"]]
+            keys = np.array([text_key(t) for t in flat], dtype=np.int64).reshape(-1, 2)
+            yield pdf[["key", "order"]].assign(**({"text": flat} if texts else {}), cls=keys[:, 0], rest=keys[:, 1])
 
     flat = spread(df.select(F.col(key).alias("key"), F.col(order).alias("order"), F.col(text).alias("text")))
     kinds = dict(flat.dtypes)
-    return flat.mapInPandas(run, f"key {kinds['key']}, order {kinds['order']}, text string, cls long, rest long")
+    return flat.mapInPandas(run, f"key {kinds['key']}, order {kinds['order']}, {'text string, ' * texts}cls long, rest long")
 
 
 def near_pairs(df: DataFrame, key: str, text: str, order: str, threshold: float = 0.85, n: int = 5, tidy: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -385,7 +399,7 @@ def near_pairs(df: DataFrame, key: str, text: str, order: str, threshold: float
     named by its first (order, key) as a struct; all blank texts are one class. tidy: the tables of texts and of
     candidates are removed at the end, not when the driver's process ends."""
     keyed = text_classes(df, key, text, order)
-    rows = cut(keyed.select("key", "order", "cls", "rest"), "setjoin")
+    rows = cut(text_classes(df, key, text, order, texts=False), "setjoin")
     # the texts are written once, one of each class
     classes = keyed.groupBy("cls", "rest").agg(F.min(F.struct("order", "key")).alias("class"), F.first("text").alias("text"))
     classes = cut(classes.withColumn("size", gram_sizes(n)("text")), "classes", free=True, codec="zstd")

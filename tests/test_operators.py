@@ -273,6 +273,33 @@ def test_set_join_leaves_no_working_tables(spark):
     assert {r["id"] for r in kept.collect()} == {*range(40), 51}
 
 
+def test_set_join_entries_are_compressed(spark):
+    """q_near_classes: entries take much less room in the shuffle than their bytes, of which most are hashes."""
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abdefgiklmnorstuwy"), 6)) for _ in range(900)]
+    texts = spark.createDataFrame([(int(rng.integers(1 << 62)), " ".join(rng.choice(words, 150))) for _ in range(1500)], "cls long, text string").withColumn("size", setjoin.gram_sizes(5)("text")).repartition(4).persist()
+    texts.count()
+    counts = spark.sparkContext.broadcast(setjoin.gram_counts(texts, 5))
+    top = max(setjoin.distinct_grams([r["text"] for r in texts.collect()], 5)[2])
+    number, (low, high, k) = next((i, r) for i, r in enumerate(setjoin.size_ranges(int(top))) if r[1] > top)
+    spark.sparkContext.setJobGroup("entries", "entries")
+    setjoin._met(texts, counts, [(number, low, high, k, 2)], 0.85, 5, 200_000).collect()
+    spark.sparkContext.setJobGroup("rest", "rest")
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    stages = {i for job in tracker.getJobIdsForGroup("entries") for i in tracker.getJobInfo(job).stageIds}
+    written = sum(store.lastStageAttempt(i).shuffleWriteBytes() for i in stages)
+    rank = setjoin.rarity(counts.value)[0]
+    entries = 0
+    for part in np.array_split([r["text"] for r in texts.collect()], 4):
+        h, owner, size = setjoin.distinct_grams(list(part), 5)
+        mine = ((size >= low) & (size <= int((high - 1) / 0.85 + 1e-9)))[owner]
+        entries += len(setjoin.class_prefixes(h[mine], owner[mine], k, rank, 0.85)[0])
+    assert entries > 50_000 and 0 < written < 0.6 * entries * sum(np.dtype(t).itemsize for _, t in setjoin.OWN)
+    x = np.array([0, 1, 255, 256, 2**31], dtype="<u4")
+    assert all((setjoin.unpacked_column(setjoin.packed_column(x, c), c, "<u4") == x).all() for c in ("key", "size"))
+
+
 def test_guard(spark):
     rules = guard.Rules(("iba", "omi mimu"), ("dose",), "no", "see a doctor", "note")
     asked = []
